@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyvec.llm import mixing, near_dup, quality, sp_codec, toxicity
+from polyvec.llm import html_extract, licenses, media, mixing, near_dup, packing, quality, sp_codec, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.offending_sentences(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -24,6 +36,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_read(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_read(spark, sf_dir, "documents"))
 
@@ -32,9 +48,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode(_read(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.mixture_sql(), "op8_quality": quality.report_sql()}
+    return {"op4_warc": warc.round_trip_sql(), "op6_mixing": mixing.mixture_sql(), "op8_quality": quality.report_sql()}
