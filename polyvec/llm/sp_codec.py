@@ -24,7 +24,7 @@ from polyvec.llm.textvec import resident, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-WORDS_KEPT = 600_000  # words that a worker remembers; it starts afresh beyond: speed only
+WORDS_KEPT = 200_000  # words that a worker remembers; it starts afresh beyond: speed only
 
 
 class Codec:
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 6_000_000):
+            for batch in slices(whole, "text"):
                 own, column = codec(model), batch.column("text")
                 ids, count = own.encode(column)
                 back = pc.equal(own.decode(ids, count), pc.fill_null(column.cast(pa.large_string()), ""))
