@@ -201,7 +201,7 @@ def merged_units(rows: DataFrame) -> DataFrame:
     """One row a file: code in line order, distinct lists in order, summed complexity, flags of any."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "code", "calls", "imports")))
     out = rows.groupBy("file").agg(ordered.alias("u"), F.sum("complexity").alias("complexity"), *[F.bool_or(c).alias(c) for c in ("has_loops", "has_branches", "has_error_handling")])
-    lists = {c: F.array_distinct(F.flatten(F.transform("u", lambda s, c=c: s[c]))) for c in ("calls", "imports")}
+    lists = {c: F.array_distinct(F.flatten(F.col(f"u.{c}"))) for c in ("calls", "imports")}
     return out.select("file", F.array_join(F.transform("u", lambda s: s["code"]), "\n").alias("code"), *[v.alias(k) for k, v in lists.items()], "complexity", "has_loops", "has_branches", "has_error_handling")
 
 

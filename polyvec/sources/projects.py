@@ -53,7 +53,10 @@ def not_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, gitignore: str = "", extra: tuple[str, ...] = (), forced: tuple[str, ...] = ()) -> DataFrame:
     """The files below root in a known language, up to 512 KiB, that no rule ignores."""
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    # Spark lists no hidden folders, so those that are wanted are named.
+    hidden = [spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{h}") for h in HIDDEN_ALLOWED]
+    paths = [base, *(p.toString() for p in hidden if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + re.escape(re.sub(r"^[a-z0-9]+:/+", "/", base)) + "/", "")
     rows = files.where(F.col("length") <= MOST_BYTES).withColumn("file", relative)
     rows = rows.where(~ignored(F.col("file"), extra, forced) & language(F.col("file")).isNotNull() & not_ignored(F.col("file"), gitignore_regexes(gitignore)) & included(F.col("file"), patterns or []))
