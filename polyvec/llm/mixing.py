@@ -41,7 +41,7 @@ def _plan(counted: DataFrame, weights: dict | None, budget: int | None) -> DataF
     if weights is None:
         each = each.withColumn("weight", F.floor(F.sqrt("total")).cast("decimal(18,0)"))
     else:
-        given = spark.createDataFrame([(k, round(w * 10**6)) for k, w in weights.items()], "source string, weight decimal(18,0)")
+        given = spark.createDataFrame([(k, round(w * 10**6)) for k, w in weights.items()], "source string, weight long").withColumn("weight", F.col("weight").cast("decimal(18,0)"))
         each = each.join(given, each["source"].eqNullSafe(given["source"]), "left").select(each["source"], "total", "parts", F.coalesce("weight", F.lit(0).cast("decimal(18,0)")).alias("weight"))
     # The totals are one row; a window over all sources has one row a source.
     over = each.agg(F.sum("weight").alias("all_weight"), F.sum("total").alias("all_total"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyvec.llm.scratch import fresh
+
 LEAST_KEPT = 0.6
-BOILERPLATE = "cookie|javascript|click here|sign in|log in|subscribe|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|share (this|on)|read more"
+BOILERPLATE = "cookies?|javascript|click here|sign in|log in|subscribe|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|share (this|on)|read more"
 _SYMBOLS = r"[#$%&*+=<>@^~{}|\\_]+"
 _BARS = "[|»›•]+"
 _CLOSING = "[.!?:;…。！？\"'”»)]$"
@@ -40,15 +42,16 @@ def cleaned(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     and blank texts are rejected. Other columns, nulls in them and repeated rows stay; n_chars is
     set only if there is such a column. An empty table stays empty.
     """
-    kept = decided(docs).where(accepted(least_kept))
-    out = {"text": F.array_join("_quality.kept", "\n")}
+    name = fresh("_quality", docs.columns)
+    kept = decided(docs, name).where(accepted(least_kept, name))
+    out = {"text": F.array_join(f"{name}.kept", "\n")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(F.array_join("_quality.kept", "\n")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.length(F.array_join(f"{name}.kept", "\n")).cast(docs.schema["n_chars"].dataType)
     return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 
-def decided(docs: DataFrame) -> DataFrame:
-    """docs with the struct _quality(lines, kept). It comes from a generator, past which the optimiser
+def decided(docs: DataFrame, name: str = "_quality") -> DataFrame:
+    """docs with the struct `name`(lines, kept). It comes from a generator, past which the optimiser
     pushes no expression: the rules run once, however often their result is used."""
     lines = F.filter(F.transform(F.split(F.replace(F.replace("text", F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit(" ")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -58,17 +61,18 @@ def decided(docs: DataFrame) -> DataFrame:
             bad = bad | rule
         return ~bad
 
-    split = docs.select("*", F.explode(F.array(F.struct(lines.alias("lines")))).alias("_split"))
-    kept = F.array_distinct(F.filter("_split.lines", passes))
-    return split.select(*docs.columns, F.explode(F.array(F.struct(F.col("_split.lines").alias("lines"), kept.alias("kept")))).alias("_quality"))
+    mid = fresh("_split", [*docs.columns, name])
+    split = docs.select("*", F.explode(F.array(F.struct(lines.alias("lines")))).alias(mid))
+    kept = F.array_distinct(F.filter(f"{mid}.lines", passes))
+    return split.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(F.struct(F.col(f"{mid}.lines").alias("lines"), kept.alias("kept")))).alias(name))
 
 
 def _chars(lines: str) -> Column:
     return F.length(F.array_join(lines, ""))
 
 
-def accepted(least_kept: float) -> Column:
-    return (F.size("_quality.kept") > 0) & (_chars("_quality.kept") >= least_kept * _chars("_quality.lines"))
+def accepted(least_kept: float, name: str = "_quality") -> Column:
+    return (F.size(f"{name}.kept") > 0) & (_chars(f"{name}.kept") >= least_kept * _chars(f"{name}.lines"))
 
 
 def report(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:

@@ -48,3 +48,11 @@ class Scratch:
         for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no taken column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
