@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from polyvec.functions.predicate import where
 from polyvec.operators import fulltext, fusion, metadata as meta
+from polyvec.operators.codec import encode_docs
 from polyvec.operators.index import IndexConfig, SearchParameters, VectorIndex, create, evict, exact_search, renumber, repair, search, statistics, update, without
 from polyvec.sources.store import Store, list_indices
 
@@ -44,13 +45,21 @@ class Engine:
         index's. Tells the regime."""
         base = self.count()
         docs = renumber(docs).withColumn("doc_id", F.col("doc_id") + base)
-        pending = self.index.docs.where(F.col("doc_id") >= self.buffered[0]) if self.index is not None and self.buffered else None
+        n_new = docs.count()
+        held = self.buffered[1] - self.buffered[0] if self.buffered else 0
+        again = held and held + n_new >= self.config.buffer_size  # the buffered ones get the larger codebook too
+        pending = self.index.docs.where(F.col("doc_id") >= self.buffered[0]) if again else None
         index, regime = update(self.index, docs, pending, self.config)
         n = index.meta["documents"]
         self.buffered = ((self.buffered or (base, n))[0], n) if regime == "buffer" else None
+        new = rows.withColumn("doc_id", (F.col("doc_id") + base).cast("long")) if rows is not None else None
+        if regime in ("buffer", "expand") and pending is None and (self.most is None or n <= self.most):
+            # Only the new documents are written.
+            self.store.append(index, docs, encode_docs(docs, index.codec), new, new_codec=regime == "expand")
+            self.reload()
+            return regime
         table = self.rows
-        if rows is not None:
-            new = rows.withColumn("doc_id", (F.col("doc_id") + base).cast("long"))
+        if new is not None:
             table = new if table is None else meta.add(table, new)
         if self.most is not None and n > self.most:
             cut = n - self.most

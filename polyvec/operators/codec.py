@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyvec.operators.vectors import dot, matrix
+from polyvec.operators.vectors import dot, every_task, matrix
 
 
 def assign(e: np.ndarray, centroids: np.ndarray, budget: int = 256 << 20) -> np.ndarray:
@@ -109,7 +109,7 @@ def decode_docs(codes: DataFrame, codec: Codec) -> DataFrame:
 
 def assign_tokens(tokens: DataFrame, centroids: DataFrame, keep: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """keep columns, centroid_id, product: the centroid of the greatest product, the highest id of equals."""
-    pairs = tokens.crossJoin(F.broadcast(centroids))  # a codebook: its size grows with the root of the corpus and is held by every task anyway
+    pairs = tokens.crossJoin(every_task(centroids))
     best = F.max(F.struct(dot(F.col("emb"), F.col("vec")).alias("product"), F.col("centroid_id")))
     return pairs.groupBy(*keep).agg(best.alias("b")).select(*keep, F.col("b.centroid_id").alias("centroid_id"), F.col("b.product").alias("product"))
 
@@ -137,5 +137,5 @@ def outliers(tokens: DataFrame, centroids: DataFrame, threshold: float) -> DataF
     """doc_id, pos, distance2 of the tokens whose nearest centroid is farther than the threshold."""
     from polyvec.operators.vectors import squared_distance
 
-    near = tokens.crossJoin(F.broadcast(centroids)).groupBy("doc_id", "pos").agg(F.min(squared_distance(F.col("emb"), F.col("vec"))).alias("distance2"))
+    near = tokens.crossJoin(every_task(centroids)).groupBy("doc_id", "pos").agg(F.min(squared_distance(F.col("emb"), F.col("vec"))).alias("distance2"))
     return near.where(F.col("distance2") > threshold * threshold)

@@ -217,6 +217,16 @@ def renumber(rows: DataFrame, key: str = "doc_id", block: int = 1 << 16) -> Data
     return rows.join(new, key).withColumn(key, F.col("_new")).select(*rows.columns)
 
 
+def running_start(rows: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """rows with one more column: the sum of value over all smaller keys. As in renumber(), only a
+    table of blocks is ordered as a whole. Keys are distinct whole numbers."""
+    placed = rows.withColumn("_block", F.floor(F.col(key) / block))
+    sums = placed.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    starts = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    own = F.sum(value).over(Window.partitionBy("_block").orderBy(key)) - F.col(value)
+    return placed.withColumn("_own", own).join(starts, "_block").withColumn(name, F.col("_before") + F.col("_own")).select(*rows.columns, name)
+
+
 def without(index: VectorIndex, gone: DataFrame, renumber_ids: bool = True) -> VectorIndex:
     """The index without the documents of gone(doc_id); ids that it lacks are ignored. The survivors
     are numbered anew from 0, unless told otherwise."""

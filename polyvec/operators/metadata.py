@@ -57,18 +57,19 @@ def delete(rows: DataFrame, gone: DataFrame) -> DataFrame:
 def gap_ranges(gone: DataFrame, block: int = 1 << 16) -> DataFrame:
     """first_id, last_id, n of each run of consecutive ids.
 
-    Runs are found within blocks of the id space, then those that meet at a block's edge are joined:
-    only that last step sees all runs.
+    Runs are found within blocks of the id space. Only those that touch a block's edge can go on in
+    the next one; they, two a block at most, are joined in one ordered pass.
     """
     from pyspark.sql import Window
 
     ids = gone.select("doc_id").distinct().withColumn("_block", F.floor(F.col("doc_id") / block))
     island = F.col("doc_id") - F.row_number().over(Window.partitionBy("_block").orderBy("doc_id"))
-    runs = ids.withColumn("_island", island).groupBy("_block", "_island").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    runs = ids.withColumn("_island", island).groupBy("_block", "_island").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).select("a", "b")
+    at_edge = (F.pmod("a", F.lit(block)) == 0) | (F.pmod("b", F.lit(block)) == block - 1)
     order = Window.orderBy("a")
     opens = F.coalesce((F.col("a") != F.lag("b").over(order) + 1).cast("int"), F.lit(1))
-    runs = runs.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
-    return runs.groupBy("_run").agg(F.min("a").alias("first_id"), F.max("b").alias("last_id")).select("first_id", "last_id", (F.col("last_id") - F.col("first_id") + 1).alias("n"))
+    edge = runs.where(at_edge).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order)).groupBy("_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("a", "b")
+    return runs.where(~at_edge).unionByName(edge).select(F.col("a").alias("first_id"), F.col("b").alias("last_id"), (F.col("b") - F.col("a") + 1).alias("n"))
 
 
 def repaired(rows: DataFrame, n_documents: int) -> DataFrame:

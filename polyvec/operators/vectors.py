@@ -78,3 +78,9 @@ def query_matrix(queries: DataFrame, most_bytes: int = 256 << 20) -> tuple[np.nd
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     values = got.column("qvec").combine_chunks().flatten().to_numpy()
     return ids[first], first, values.reshape(len(ids), -1)
+
+
+def every_task(table: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
+    """A codebook for a cross join: by broadcast if it has at most most_rows rows, which is counted
+    first; else as it is, and the join goes block by block."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table

@@ -10,7 +10,7 @@ from polyvec.functions.predicate import where
 from polyvec.operators import codec as codecs
 from polyvec.operators import index as indexes
 from polyvec.operators import maxsim, metrics, pooling
-from polyvec.operators.vectors import dot, nested, normalized
+from polyvec.operators.vectors import dot, every_task, normalized
 from polyvec.plans.base import ASSIGNED, CENTROIDS, SCORES, TOKENS, docs, every_query, read, tokens, top
 
 K = 10
@@ -73,7 +73,7 @@ def _probe(spark, sf_dir, eligible: DataFrame | None = None, scale=None):
     centroids = _centroids(spark, sf_dir)
     if eligible is not None:
         centroids = centroids.join(eligible, "centroid_id", "left_semi")
-    products = every_query(spark, sf_dir).crossJoin(F.broadcast(centroids)).select("query_id", "qpos", "centroid_id", dot(F.col("qvec"), F.col("vec")).alias("s"))
+    products = every_query(spark, sf_dir).crossJoin(every_task(centroids)).select("query_id", "qpos", "centroid_id", dot(F.col("qvec"), F.col("vec")).alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id", "qpos").orderBy(F.col("s").desc(), "centroid_id"))
     products = products.withColumn("most", F.max("s").over(Window.partitionBy("query_id", "centroid_id"))).withColumn("place", place)
     if scale is None:

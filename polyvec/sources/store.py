@@ -1,14 +1,23 @@
-"""Indexes on disk: versions of Parquet tables, and a pointer that is moved when a version is whole."""
+"""Indexes on disk: immutable Parquet segments, and numbered manifests that say which make a version.
+
+An append writes the segments of the new documents and a manifest; nothing else is touched, so its
+cost is that of the batch. A rewrite (deletes, a rebuild) writes whole tables. Readers keep the
+version they opened; segments that none of the last manifests name are removed.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polyvec.operators.codec import Codec
-from polyvec.operators.index import VectorIndex
+from polyvec.operators.index import VectorIndex, inverted
+
+TABLES = ("docs", "codes", "ivf", "metadata")
 
 
 class Store:
@@ -16,67 +25,117 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs_path = self._p("")
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._p(folder)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def versions(self) -> list[str]:
-        if not self._fs.exists(self._fs_path):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._fs_path) if s.getPath().getName().startswith("v"))
+        return [n.removesuffix(".json") for n in self._names("versions") if n.endswith(".json")]
 
     def current(self) -> str | None:
-        marks = [v for v in self.versions() if self._fs.exists(self._p(f"{v}/_complete"))]
-        return marks[-1] if marks else None
+        return (self.versions() or [None])[-1]
+
+    def _manifest(self, version: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0])
+
+    def _write(self, name: str, table: DataFrame) -> str:
+        segment = f"data/{name}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.path}/{segment}")
+        return segment
+
+    def _codec(self, codec: Codec) -> str:
+        head = (codec.nbits, codec.cutoffs.tolist(), codec.weights.tolist(), codec.average.tolist(), codec.threshold)
+        rows = [(i, v.tolist(), *(head if i == 0 else (None,) * 5)) for i, v in enumerate(codec.centroids)]
+        schema = "centroid_id int, vec array<double>, nbits int, cutoffs array<double>, weights array<double>, average array<double>, threshold double"
+        return self._write("codec", self.spark.createDataFrame(rows, schema).coalesce(1))
+
+    def _publish(self, manifest: dict, keep: int) -> str:
+        """The manifest appears under its number by a rename, whole or not at all."""
+        last = self.current()
+        version = f"v{int(last[1:]) + 1 if last else 1:08d}"
+        draft, final = self._p(f"versions/_{uuid.uuid4().hex}"), self._p(f"versions/{version}.json")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer published {version}")
+        kept = self.versions()[-keep:]
+        used = {s.split("/")[1] for v in kept for s in (x for part in self._manifest(v)["tables"].values() for x in part)}
+        for name in self._names("data"):
+            if name not in used:
+                self._fs.delete(self._p(f"data/{name}"), True)
+        for old in self.versions()[:-keep]:
+            self._fs.delete(self._p(f"versions/{old}.json"), False)
+        return version
+
+    @staticmethod
+    def _lists(codes: DataFrame) -> DataFrame:
+        return inverted(codes).repartition("centroid_id").sortWithinPartitions("centroid_id", "doc_id")
 
     def save(self, index: VectorIndex, metadata: DataFrame | None = None, keep: int = 2) -> str:
-        """Writes a new version, marks it complete, drops all but the last `keep`; readers of older ones are not disturbed before that."""
-        last = self.versions()
-        version = f"v{int(last[-1][1:]) + 1 if last else 1:08d}"
-        base = f"{self.path}/{version}"
-        index.docs.write.parquet(f"{base}/docs")
-        index.codes.write.parquet(f"{base}/codes")
-        index.ivf.repartition("centroid_id").sortWithinPartitions("centroid_id", "doc_id").write.parquet(f"{base}/ivf")
+        """Writes all tables anew."""
+        codes = self._write("codes", index.codes)
+        tables = {"docs": [self._write("docs", index.docs)], "codes": [codes], "ivf": [self._write("ivf", self._lists(self.spark.read.parquet(f"{self.path}/{codes}")))], "codec": [self._codec(index.codec)]}
+        tables["metadata"] = [self._write("metadata", metadata)] if metadata is not None else []
+        return self._publish({"tables": tables, "meta": index.meta}, keep)
+
+    def append(self, index: VectorIndex, docs: DataFrame, codes: DataFrame, metadata: DataFrame | None = None, new_codec: bool = False, keep: int = 2) -> str:
+        """Adds segments with the new documents to the current version; index has the new totals."""
+        tables = {k: list(v) for k, v in self._manifest(self.current())["tables"].items()}
+        segment = self._write("codes", codes)
+        tables["docs"].append(self._write("docs", docs))
+        tables["codes"].append(segment)
+        tables["ivf"].append(self._write("ivf", self._lists(self.spark.read.parquet(f"{self.path}/{segment}"))))
         if metadata is not None:
-            metadata.write.parquet(f"{base}/metadata")
-        c = index.codec
-        book = [(i, v.tolist()) for i, v in enumerate(c.centroids)]
-        self.spark.createDataFrame(book, "centroid_id int, vec array<double>").coalesce(1).write.parquet(f"{base}/centroids")
-        row = (c.nbits, c.cutoffs.tolist(), c.weights.tolist(), c.average.tolist(), c.threshold, json.dumps(index.meta))
-        self.spark.createDataFrame([row], "nbits int, cutoffs array<double>, weights array<double>, average array<double>, threshold double, meta string").coalesce(1).write.parquet(f"{base}/codec")
-        self._fs.create(self._p(f"{version}/_complete")).close()
-        for old in self.versions()[:-keep]:
-            self._fs.delete(self._p(old), True)
-        return version
+            tables["metadata"].append(self._write("metadata", metadata))
+        if new_codec:
+            tables["codec"] = [self._codec(index.codec)]
+        return self._publish({"tables": tables, "meta": index.meta}, keep)
+
+    def _table(self, manifest: dict, name: str) -> DataFrame:
+        return self.spark.read.option("mergeSchema", name == "metadata").parquet(*[f"{self.path}/{s}" for s in manifest["tables"][name]])
 
     def load(self, version: str | None = None) -> VectorIndex:
         version = version or self.current()
         if version is None:
-            raise FileNotFoundError(f"no complete index in {self.path}")
-        read = lambda t: self.spark.read.parquet(f"{self.path}/{version}/{t}")
-        book = read("centroids").orderBy("centroid_id").toArrow().column("vec").combine_chunks()
-        row = read("codec").first()
-        centroids = book.flatten().to_numpy().reshape(len(book), -1)
-        codec = Codec(row["nbits"], centroids, np.array(row["cutoffs"]), np.array(row["weights"]), np.array(row["average"]), row["threshold"])
-        return VectorIndex(codec, read("docs"), read("codes"), read("ivf"), json.loads(row["meta"]))
+            raise FileNotFoundError(f"no index in {self.path}")
+        manifest = self._manifest(version)
+        rows = self._table(manifest, "codec").orderBy("centroid_id").toArrow()
+        book = rows.column("vec").combine_chunks()
+        head = {c: rows.column(c)[0].as_py() for c in ("nbits", "cutoffs", "weights", "average", "threshold")}
+        codec = Codec(head["nbits"], book.flatten().to_numpy().reshape(len(book), -1), np.array(head["cutoffs"]), np.array(head["weights"]), np.array(head["average"]), head["threshold"])
+        return VectorIndex(codec, *(self._table(manifest, t) for t in ("docs", "codes", "ivf")), manifest["meta"])
 
     def metadata(self) -> DataFrame | None:
         version = self.current()
-        if version is None or not self._fs.exists(self._p(f"{version}/metadata")):
-            return None
-        return self.spark.read.parquet(f"{self.path}/{version}/metadata")
+        manifest = self._manifest(version) if version else {"tables": {"metadata": []}}
+        return self._table(manifest, "metadata") if manifest["tables"]["metadata"] else None
+
+    def compact(self) -> str:
+        """One segment a table again, after many appends."""
+        return self.save(self.load(), self.metadata())
 
     def drop(self) -> bool:
         return self._fs.delete(self._fs_path, True)
 
 
 def list_indices(spark: SparkSession, root: str) -> list[str]:
-    """The names of the complete indexes below root."""
+    """The names of the indexes below root."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
     return [n for n in names if Store(spark, f"{root.rstrip('/')}/{n}").current()]
+
+
+def segment_sizes(store: Store) -> DataFrame:
+    """table, segments: how many segments each table of the current version has."""
+    manifest = store._manifest(store.current())
+    return store.spark.createDataFrame([(k, len(v)) for k, v in manifest["tables"].items()], "table string, segments int").orderBy(F.col("table"))

@@ -36,11 +36,9 @@ def read_npy(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
 
 def documents(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """docs(doc_id, embs) of rows(row, values) and lengths(doc_id, n): documents follow each other in rows."""
-    from pyspark.sql import Window
+    from polyvec.operators.index import running_start
 
-    # One row a document, of two numbers: the running sum is over a narrow table.
-    ends = F.sum("n").over(Window.orderBy("doc_id"))
-    spans = lengths.withColumn("_end", ends).select("doc_id", F.explode(F.sequence(F.col("_end") - F.col("n"), F.col("_end") - 1)).alias("row")).where("row >= 0")
+    spans = running_start(lengths.where("n > 0"), "doc_id", "n", "_start").select("doc_id", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("n") - 1)).alias("row"))
     joined = rows.join(spans, "row")
     return joined.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "values"))), lambda s: s["values"]).alias("embs"))
 
