@@ -217,6 +217,16 @@ def renumber(rows: DataFrame, key: str = "doc_id", block: int = 1 << 16) -> Data
     return rows.join(new, key).withColumn(key, F.col("_new")).select(*rows.columns)
 
 
+def numbered(rows: DataFrame, *keys: str, name: str = "doc_id", buckets: int = 4096) -> DataFrame:
+    """rows with dense numbers from 0 as one more column, the same at every run: by buckets of the first
+    key's hash, and in a bucket by the keys, which together tell rows apart."""
+    placed = rows.withColumn("_block", F.pmod(F.xxhash64(keys[0]), F.lit(buckets)))
+    sizes = placed.groupBy("_block").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(*keys)) - 1
+    return placed.withColumn("_place", place).join(starts, "_block").withColumn(name, (F.col("_start") + F.col("_place")).cast("long")).drop("_block", "_place", "_start")
+
+
 def running_start(rows: DataFrame, key: str, value: str, name: str, block: int = 1 << 16) -> DataFrame:
     """rows with one more column: the sum of value over all smaller keys. As in renumber(), only a
     table of blocks is ordered as a whole. Keys are distinct whole numbers."""
