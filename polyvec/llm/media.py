@@ -24,6 +24,7 @@ from polyvec.llm.scratch import Scratch
 
 HEAD = 64
 SHARD_BYTES = 1 << 29
+BUNDLE_BYTES = 1 << 20
 
 
 def png(data: bytes, width: int = 64) -> bytes:
@@ -93,8 +94,12 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///") if path.startswith("file:") else path)
 
 
-def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """digest, shard, offset, length of distinct (digest, payload) rows, written as tar files below folder."""
+def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """digest, shard, offset, length of distinct (digest, payload) rows, written as tar files below folder.
+
+    A payload is a member named after its digest. Payloads smaller than a member's own header share
+    members (bundles) of up to bundle_bytes; rows point into those all the same.
+    """
     from pyspark import TaskContext
 
     def run(batches):
@@ -102,29 +107,63 @@ def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
         name, out, at, count = "", None, 0, 0
+        bundle: list[tuple[bytes, bytes]] = []
+        rows: list[tuple] = []
+
+        def member(title: str, data: bytes) -> int:
+            """Writes a member; tells where its data begins."""
+            nonlocal name, out, at, count
+            if out is None or at >= shard_bytes:
+                close()
+                name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{count}.tar"
+                out, at, count = system.open_output_stream(f"{base}/{name}"), 0, count + 1
+            info = tarfile.TarInfo(title)
+            info.size = len(data)
+            out.write(info.tobuf(tarfile.USTAR_FORMAT))
+            out.write(data)
+            out.write(bytes(-len(data) % 512))
+            begin = at + 512
+            at = begin + len(data) + (-len(data) % 512)
+            return begin
+
+        def close() -> None:
+            if out is not None:
+                out.write(bytes(1024))
+                out.close()
+
+        def flush() -> None:
+            if bundle:
+                begin = member(f"bundle/{bundle[0][0].hex()}", b"".join(p for _, p in bundle))
+                for digest, payload in bundle:
+                    rows.append((digest, name, begin, len(payload)))
+                    begin += len(payload)
+                bundle.clear()
+
+        def done():
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
+            rows.clear()
+            return batch
+
+        held = 0
         for batch in batches:
-            rows: list[tuple] = []
             for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if out is None or at >= shard_bytes:
-                    if out is not None:
-                        out.write(bytes(1024))
-                        out.close()
-                    name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{count}.tar"
-                    out, at, count = system.open_output_stream(f"{base}/{name}"), 0, count + 1
-                info = tarfile.TarInfo(f"{digest[:2]}/{digest}")
-                info.size = len(payload)
-                out.write(info.tobuf(tarfile.USTAR_FORMAT))
-                out.write(payload)
-                out.write(bytes(-len(payload) % 512))
-                rows.append((digest, name, at + 512, len(payload)))
-                at += 512 + len(payload) + (-len(payload) % 512)
+                if len(payload) >= 512:
+                    begin = member(f"{digest.hex()[:2]}/{digest.hex()}", payload)
+                    rows.append((digest, name, begin, len(payload)))
+                    continue
+                bundle.append((digest, payload))
+                held += len(payload)
+                if held >= bundle_bytes:
+                    flush()
+                    held = 0
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
-        if out is not None:
-            out.write(bytes(1024))
-            out.close()
+                yield done()
+        flush()
+        if rows:
+            yield done()
+        close()
 
-    return distinct.select("digest", "payload").mapInArrow(run, "digest string, shard string, offset long, length long")
+    return distinct.select("digest", "payload").mapInArrow(run, "digest binary, shard string, offset long, length long")
 
 
 META = "kind string, width int, height int, bits int, channels int, rate int, duration_ms long"
@@ -151,7 +190,7 @@ def read_headers(index: DataFrame, folder: str, head: int = HEAD) -> DataFrame:
         if file is not None:
             file.close()
 
-    return index.select("digest", "shard", "offset", "length").mapInArrow(run, f"digest string, shard string, offset long, length long, {META}")
+    return index.select("digest", "shard", "offset", "length").mapInArrow(run, f"digest binary, shard string, offset long, length long, {META}")
 
 
 def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
@@ -175,15 +214,24 @@ def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
 def media_table(media: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     """media_id, digest, shard, offset, length and the metadata columns of media (media_id, payload).
 
-    Payloads are stored once however many rows have them; an empty payload has length 0 and kind
-    application/octet-stream. A null payload gives nulls. Repeated rows each stay. Further columns
-    are ignored; an empty table gives no rows.
+    Payloads are stored once however many rows have them. Digests come first, from a pass that moves
+    no payload; a payload that only one row has is then written by the task that reads it, and only
+    those that several rows share are brought together by digest. The list of shared digests is
+    joined, by broadcast only while Spark finds it small.
+
+    An empty payload has length 0 and kind application/octet-stream. A null payload gives nulls.
+    Repeated rows each stay. Further columns are ignored; an empty table gives no rows.
     """
-    rows = media.select("media_id", "payload").withColumn("digest", F.sha2("payload", 256))
-    distinct = rows.where("payload is not null").groupBy("digest").agg(F.first("payload").alias("payload"))
-    index = scratch.write(write_shards(distinct, folder))
+    rows = media.select("media_id", "payload").withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    named = scratch.write(rows.select("media_id", "digest"))
+    shared = scratch.write(named.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("shared")))
+    marked = rows.where("payload is not null").join(shared, "digest", "left")
+    once = marked.where("shared is null").select("digest", "payload")
+    often = marked.where("shared").groupBy("digest").agg(F.first("payload").alias("payload"))
+    index = scratch.write(write_shards(once.unionByName(often), folder))
     known = scratch.write(read_headers(index, folder))
-    return rows.select("media_id", "digest").join(known, "digest", "left").select("media_id", *known.columns)
+    scratch.drop(index, shared)
+    return named.join(known, "digest", "left").select("media_id", F.lower(F.hex("digest")).alias("digest"), *known.columns[1:])
 
 
 def media_columns(spark: SparkSession, pages: DataFrame, embeddings: DataFrame) -> DataFrame:
