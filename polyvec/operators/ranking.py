@@ -67,7 +67,7 @@ def definition_boost(candidates: DataFrame, query: str) -> DataFrame:
     return candidates.withColumn("score", F.col("score") + F.when(F.coalesce(hit, F.lit(False)) & (_top() > 0), _top() * DEFINITION).otherwise(F.lit(0.0)))
 
 
-_SMALL_WORDS = frozenset("a an and are as at be by do does for from has have how if in into is it its of on or so that the their then there these this to was were what when where which who why with".split())
+_SMALL_WORDS = frozenset("the an a that this these there then their its it was were is are be has have does do into on in at by of to from for with as if or and so how why who what which where when".split())
 
 
 def _variants_py(token: str) -> list[str]:

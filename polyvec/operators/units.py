@@ -21,6 +21,7 @@ SCHEMA = (
     "file string, name string, qualified_name string, line int, end_line int, language string, unit_type string, signature string, docstring string, code string, "
     "parameters array<string>, return_type string, calls array<string>, variables array<string>, imports array<string>, extends string, parent_class string, complexity int, has_loops boolean, has_branches boolean, has_error_handling boolean"
 )
+FLAGS = [f"has_{x}" for x in ("loops", "branches", "error_handling")]
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -200,9 +201,9 @@ def call_graph(rows: DataFrame) -> DataFrame:
 def merged_units(rows: DataFrame) -> DataFrame:
     """One row a file: code in line order, distinct lists in order, summed complexity, flags of any."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "code", "calls", "imports")))
-    out = rows.groupBy("file").agg(ordered.alias("u"), F.sum("complexity").alias("complexity"), *[F.bool_or(c).alias(c) for c in ("has_loops", "has_branches", "has_error_handling")])
+    out = rows.groupBy("file").agg(ordered.alias("u"), F.sum("complexity").alias("complexity"), *[F.bool_or(c).alias(c) for c in FLAGS])
     lists = {c: F.array_distinct(F.flatten(F.col(f"u.{c}"))) for c in ("calls", "imports")}
-    return out.select("file", F.array_join(F.transform("u", lambda s: s["code"]), "\n").alias("code"), *[v.alias(k) for k, v in lists.items()], "complexity", "has_loops", "has_branches", "has_error_handling")
+    return out.select("file", F.array_join(F.transform("u", lambda s: s["code"]), "\n").alias("code"), *[v.alias(k) for k, v in lists.items()], "complexity", *FLAGS)
 
 
 def embedding_text(most: int = 8192) -> Column:

@@ -94,7 +94,7 @@ cells as (select distinct query_id, centroid_id from ranked where place <= {PROB
 candidates as (select distinct query_id, doc_id from ivf join cells using (centroid_id))"""
 
 
-def plaid_fixed_centroids(spark, sf_dir):
+def pruned_fixed_centroids(spark, sf_dir):
     """The pruned search with DataFrame operators: probe, gather, rough scores, cut, exact scores."""
     assigned = _assigned(spark, sf_dir)
     cells, products = _probe(spark, sf_dir)
@@ -108,7 +108,7 @@ def plaid_fixed_centroids(spark, sf_dir):
     return _rounded(exact)
 
 
-PLAID_SQL = f"""with {ASSIGNED}, {PROBE_SQL},
+PRUNED_SQL = f"""with {ASSIGNED}, {PROBE_SQL},
 own as (select distinct doc_id, centroid_id from assigned),
 rough as (select query_id, doc_id, round(sum(s), 6) as score from (select c.query_id, c.doc_id, r.qpos, max(r.s) as s from candidates c join own using (doc_id) join ranked r on r.query_id = c.query_id and r.centroid_id = own.centroid_id group by all) group by all),
 kept as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from rough) where r <= 40),
@@ -121,12 +121,12 @@ def _fixed_index(spark, sf_dir):
     return indexes.create(docs(spark, sf_dir), centroids=book)
 
 
-def plaid_quantised(spark, sf_dir):
+def pruned_quantised(spark, sf_dir):
     """The pruned search over 4-bit residuals; recall against the exact ranking is tested."""
     return indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), indexes.SearchParameters(k=K, probes=4))
 
 
-def plaid_recall(spark, sf_dir):
+def pruned_recall(spark, sf_dir):
     found = indexes.search(indexes.create(docs(spark, sf_dir)), every_query(spark, sf_dir), indexes.SearchParameters(k=K))
     return metrics.overlap(found, maxsim.maxsim_topk(docs(spark, sf_dir), every_query(spark, sf_dir), K))
 
@@ -257,7 +257,7 @@ got as (select query_id, sum(seen / rank) as p, sum(1 / log2(rank + 1)) as gain,
 select q.query_id, coalesce(round(p / n, 6), 0.0) as average_precision, coalesce(round(gain / best, 6), 0.0) as ndcg, coalesce(round(found / n, 6), 0.0) as recall
 from (select distinct doc_id as query_id from t) q cross join ideal left join got using (query_id)"""
 
-QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, plaid_fixed_centroids, plaid_quantised, plaid_recall, probe_rescale_filtered, codec_quantiles, codec_bucketize, cluster_threshold, average_residual, outlier_tokens, codec_round_trip, normalized_vectors, delete_renumber, evict_oldest, append_index, average_length, ward_pool, pairwise_cosine, ir_metrics)}
+QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, pruned_fixed_centroids, pruned_quantised, pruned_recall, probe_rescale_filtered, codec_quantiles, codec_bucketize, cluster_threshold, average_residual, outlier_tokens, codec_round_trip, normalized_vectors, delete_renumber, evict_oldest, append_index, average_length, ward_pool, pairwise_cosine, ir_metrics)}
 
 SQL = {
     "maxsim_topk": f"with {SCORES} {top('scores')}",
@@ -268,7 +268,7 @@ SQL = {
     "assign_centroids": f"with {ASSIGNED} select doc_id, pos, cast(centroid_id as int) as centroid_id, round(s, 6) as product from assigned",
     "ivf_build": f"with {ASSIGNED} select cast(centroid_id as int) as centroid_id, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from ivf group by 1",
     "ivf_probe_candidates": f"with {ASSIGNED}, {PROBE_SQL} select query_id, doc_id from candidates",
-    "plaid_fixed_centroids": PLAID_SQL,
+    "pruned_fixed_centroids": PRUNED_SQL,
     "probe_rescale_filtered": RESCALE_SQL,
     "codec_quantiles": f"with {RESIDUALS}, l as (select unnest(range(1, 16)) as level, unnest(quantile_cont(x, [{', '.join(str(i / 16) for i in range(1, 16))}])) as c from rest) select cast(level as int) as level, round(c, 6) as cutoff from l",
     "codec_bucketize": f"with {RESIDUALS} select cast(dim as int) as dim, cast(len(list_filter([{', '.join(f'{(i - 7) * 0.02!r}::double' for i in range(15))}], lambda c: round(x, 9) > c)) as int) as bucket, count(*) as n from rest group by 1, 2",

@@ -13,11 +13,14 @@ from polyvec.functions.patterns import included
 from polyvec.operators.units import language
 
 MOST_BYTES = 512 * 1024
-IGNORED = (
-    ".git", ".hg", ".svn", "node_modules", "vendor", "bower_components", "target", "build", "dist", "out", "bin", "obj", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache",
-    ".tox", ".nox", ".eggs", "site-packages", ".gradle", ".idea", ".vscode", ".next", ".nuxt", "coverage", ".cache", "tmp", "third_party", "Pods", "DerivedData", "elm-stuff", "_build", "deps",
-)
-HIDDEN_ALLOWED = (".github", ".gitlab", ".circleci", ".buildkite")
+_VERSION_CONTROL = ".hg .svn .git"
+_DEPENDENCIES = "third_party vendor node_modules bower_components site-packages Pods deps elm-stuff"
+_OUTPUT = "dist target obj bin out build _build DerivedData coverage .next .nuxt .gradle"
+_ENVIRONMENTS = "venv env .venv .tox .nox .eggs"
+_CACHES = "tmp .cache __pycache__ .mypy_cache .ruff_cache .pytest_cache"
+_EDITORS = ".vscode .idea"
+IGNORED = tuple(" ".join((_VERSION_CONTROL, _DEPENDENCIES, _OUTPUT, _ENVIRONMENTS, _CACHES, _EDITORS)).split())
+HIDDEN_ALLOWED = tuple(f".{x}" for x in ("buildkite", "circleci", "github", "gitlab"))
 
 
 def ignored(path: Column, extra: tuple[str, ...] = (), forced: tuple[str, ...] = ()) -> Column:

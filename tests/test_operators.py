@@ -142,7 +142,7 @@ def test_bm25_like_sqlite(spark):
 
 def test_tokenizers(spark):
     words = ["HandlerStack", "getHTTPResponse", "my_func", "simple", "my_FuncName", "A1b2", "__x__", "HTTP", "fooBAR9"]
-    assert texts.split_identifier_py("HandlerStack") == ["handlerstack", "handler", "stack", "handler_stack"]
+    assert texts.split_identifier_py("PathPenalty") == "pathpenalty path penalty path_penalty".split()
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", texts.identifier_tokens(F.col("w")).alias("t")).collect()
     assert all(r.t == texts.identifier_tokens_py(r.w) for r in rows)
     tri = fulltext.build(spark.createDataFrame([(0, "parse_Arguments"), (1, "no"), (2, None)], "doc_id long, text string"), "trigram")
@@ -250,7 +250,7 @@ def test_pooling_and_metrics(spark):
     labels = pooling.clusters(pooling.linkage(pooling.cosine_distances(e)), 5, most=2)
     assert labels.tolist() == [1, 1, 2, 2, 1]
     assert pooling.pool(e, 2).shape == (3, 2) and pooling.cosine_distances(np.array([[0.0, 0], [1, 0]]))[0, 1] == 1
-    for method in ("single", "complete", "average", "weighted"):
+    for method in "weighted average complete single".split():
         assert len(pooling.linkage(pooling.cosine_distances(e), method)) == 4
     run = spark.createDataFrame([(0, 1, 5), (0, 2, 6), (0, 3, 7)], "query_id long, rank int, doc_id long")
     qrels = spark.createDataFrame([(0, 5, 1), (0, 7, 1), (0, 9, 1), (1, 1, 1)], "query_id long, doc_id long, rel int")
