@@ -40,9 +40,9 @@ class Engine:
     def info(self) -> dict:
         return dict(self.index.meta) | {"tokenizer": self.tokenizer, "has_metadata": self.rows is not None} if self.index else {"documents": 0}
 
-    def add(self, docs: DataFrame, rows: DataFrame | None = None) -> str:
+    def add(self, docs: DataFrame, rows: DataFrame | None = None, marks: dict | None = None) -> str:
         """Adds docs(doc_id, embs) and metadata(doc_id, ...) with ids counted from 0; they go on from the
-        index's. Tells the regime."""
+        index's. Tells the regime. marks are kept with the index's totals (see info())."""
         base = self.count()
         docs = renumber(docs).withColumn("doc_id", F.col("doc_id") + base)
         n_new = docs.count()
@@ -50,6 +50,7 @@ class Engine:
         again = held and held + n_new >= self.config.buffer_size  # the buffered ones get the larger codebook too
         pending = self.index.docs.where(F.col("doc_id") >= self.buffered[0]) if again else None
         index, regime = update(self.index, docs, pending, self.config)
+        index.meta = (self.index.meta if self.index else {}) | index.meta | (marks or {})
         n = index.meta["documents"]
         self.buffered = ((self.buffered or (base, n))[0], n) if regime == "buffer" else None
         new = rows.withColumn("doc_id", (F.col("doc_id") + base).cast("long")) if rows is not None else None
@@ -111,7 +112,17 @@ class Engine:
             return where(self.rows, condition, values).select("doc_id")
         return self.spark.createDataFrame([(int(i),) for i in ids], "doc_id long") if ids is not None else None
 
+    def publish_text(self) -> None:
+        """Writes the keyword index of the current version; searches then read only the postings they need."""
+        self._built_text().save(f"{self.store.path}/text/{self.store.current()}")
+
     def text_index(self) -> fulltext.TextIndex:
+        """The written keyword index of this version, or one that is built while searching."""
+        if self.store.exists(f"text/{self.store.current()}/totals/_SUCCESS"):
+            return fulltext.load(self.spark, f"{self.store.path}/text/{self.store.current()}")
+        return self._built_text()
+
+    def _built_text(self) -> fulltext.TextIndex:
         from polyvec.functions.text import row_text
 
         columns = [c for c, t in self.rows.dtypes if c != "doc_id"]

@@ -35,6 +35,9 @@ class Store:
         at = self._p(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._p(name))
+
     def versions(self) -> list[str]:
         return [n.removesuffix(".json") for n in self._names("versions") if n.endswith(".json")]
 
@@ -70,6 +73,9 @@ class Store:
         for name in self._names("data"):
             if name not in used:
                 self._fs.delete(self._p(f"data/{name}"), True)
+        for name in self._names("text"):
+            if name not in kept:
+                self._fs.delete(self._p(f"text/{name}"), True)
         for old in self.versions()[:-keep]:
             self._fs.delete(self._p(f"versions/{old}.json"), False)
         return version

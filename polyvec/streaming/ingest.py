@@ -14,20 +14,20 @@ from polyvec.engine import Engine
 def ingest(stream: DataFrame, engine: Engine, checkpoint: str, interval: str = "100 milliseconds", done: Callable[[int, str], None] | None = None) -> DataStreamWriter:
     """A writer that adds every batch of stream(doc_id, embs, metadata columns) to the index.
 
-    The last batch number is kept in the metadata's column _batch, so a batch that is delivered again
-    after a failure is not added twice.
+    The number of the last batch is kept in the index's manifest, which a batch publishes together with
+    its documents: a batch that is delivered again after a failure is not added twice.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        if engine.rows is not None and "_batch" in engine.rows.columns and (engine.rows.agg(F.max("_batch")).first()[0] or -1) >= number:
+        if engine.info().get("last_batch", -1) >= number:
             return
         from polyvec.operators.index import renumber
 
         batch = renumber(batch).persist()
         columns = [c for c in batch.columns if c != "embs"]
-        regime = engine.add(batch.select("doc_id", "embs"), batch.select(*columns).withColumn("_batch", F.lit(number).cast("long")))
+        regime = engine.add(batch.select("doc_id", "embs"), batch.select(*columns), {"last_batch": number})
         batch.unpersist()
         if done is not None:
             done(number, regime)

@@ -102,6 +102,8 @@ def test_engine_cycle(spark, tmp_path):
     assert engine.metadata().first()["size"] == 5
     assert engine.update_metadata("size = ?", [7], {"lang": "Zig"}) == 1
     assert engine.search(text="zig").collect()[0].size == 7
+    engine.publish_text()
+    assert engine.text_index().buckets and engine.search(text="zig").collect()[0].size == 7
     engine.add(frame(spark, data[:2]), metadata_rows.from_rows(spark, [{"name": "new", "extra": 1.5}, {"name": "newer"}]))
     assert engine.count() == 27 and "extra" in engine.rows.columns
     assert Engine(spark, f"file://{tmp_path}/index").count() == 27
@@ -290,7 +292,7 @@ def test_stream_into_index(spark, tmp_path):
     seen = []
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     ingest(stream, engine, f"{tmp_path}/cp", done=lambda n, regime: seen.append(regime)).trigger(availableNow=True).start().awaitTermination()
-    assert engine.count() == 24 and seen[0] == "create" and len(seen) == 2
+    assert engine.count() == 24 and seen[0] == "create" and len(seen) == 2 and engine.info()["last_batch"] == 1
     spark.createDataFrame([(0, "tag = ?", ["t0"])], "n int, condition string, values array<string>").coalesce(1).write.parquet(f"{tmp_path}/del")
     gone = spark.readStream.schema("n int, condition string, values array<string>").parquet(f"{tmp_path}/del")
     deletions(gone, engine, f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination()
