@@ -24,7 +24,7 @@ from polyvec.llm.textvec import resident, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-WORDS_KEPT = 200_000  # words that a worker remembers; it starts afresh beyond: speed only
+WORDS_KEPT = 80_000  # words in each of the two generations that a worker remembers: speed only
 
 
 class Codec:
@@ -68,6 +68,7 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merges(self, text: str) -> list[str]:
         """The definition: join the adjacent pair of the best score (the leftmost of equals) until none is a piece."""
@@ -93,26 +94,33 @@ class Codec:
         self.pairs[(a << 24) + b] = ok
         return ok
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a word (blanks as BLANK). Signs that are no piece become bytes, or the unknown id."""
-        last: list = [None] * (len(word) + 1)
-        get, alone, pair = self.pairs.get, self.alone, self._pair
+    def encode_word(self, word: str, before: tuple[str, list] = ("", [None])) -> tuple[list[int], list]:
+        """(ids, table) of a word (blanks as BLANK). Signs that are no piece become bytes, or the unknown id.
+
+        before: another word and its table, of which the prefixes common to both are taken over."""
+        known, table = before
         done = 0  # prefixes up to here have their last token; matches come by their ends, longest first
+        for a, b in zip(known, word):
+            if a != b:
+                break
+            done += 1
+        last: list = table[: done + 1] + [None] * (len(word) - done)
+        get, alone, pair = self.pairs.get, self.alone, self._pair
         for end, (token, size) in self.automaton.iter(word):
             if end < done:
                 continue
             while done < end:  # a sign that ends no piece stands for itself
                 last[done + 1] = -1 - ord(word[done])
                 done += 1
-            before = last[end + 1 - size]
-            if before is None:
+            left = last[end + 1 - size]
+            if left is None:
                 ok = alone.get(token)
                 if ok is None:
                     ok = alone[token] = self.merges(word[: end + 1]) == [word[: end + 1]]
             else:
-                ok = get((before << 24) + token)
+                ok = get((left << 24) + token)
                 if ok is None:
-                    ok = pair(before, token)
+                    ok = pair(left, token)
             if ok:
                 done = end + 1
                 last[done] = token
@@ -132,7 +140,7 @@ class Codec:
                 out.extend([self.bytes[b] for b in reversed(sign)] if self.bytes else [self.unknown])
                 end -= 1
         out.reverse()
-        return out
+        return out, last
 
     def split(self, column) -> tuple[pa.Array, np.ndarray]:
         """(words of all texts one after another, number of them by text)."""
@@ -162,13 +170,22 @@ class Codec:
             return np.zeros(0, np.int32), count
         coded = words.dictionary_encode()
         if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        known, found = self.words, []
-        for word in coded.dictionary.to_pylist():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = np.array(self.encode_word(word.replace(" ", BLANK)), np.int32).tobytes()
-            found.append(ids)
+            self.words, self.older = {}, self.words
+        known, every, new = self.words, coded.dictionary.to_pylist(), []
+        for word in every:
+            if word not in known:
+                ids = self.older.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    known[word] = ids
+        before = ("", [None])
+        for word in sorted(new):  # neighbours share the start of their tables
+            plain = word.replace(" ", BLANK)
+            ids, table = self.encode_word(plain, before)
+            before = (plain, table)
+            known[word] = np.array(ids, np.int32).tobytes()
+        found = [known[w] for w in every]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.int32)
         code = coded.indices.to_numpy()
