@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from polyvec.llm.scratch import Scratch
 
 SEED = 17
-PART_ROWS = 20_000
+PART_ROWS = 5_000
 _SPACE = 1 << 60
 
 
