@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyvec.functions.text import TOKENIZERS
+from polyvec.functions.text import TOKENIZERS, fold
 from polyvec.operators.maxsim import ranked
 
 K1, B = 1.2, 0.75
@@ -26,6 +27,7 @@ class TextIndex:
     doc_stats: DataFrame
     totals: DataFrame  # n, avgdl
     buckets: int = 0
+    docs: DataFrame | None = None  # doc_id, text of an index that isn't written
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Writes the tables; postings in hash buckets of terms, so that a query opens few files."""
@@ -44,9 +46,27 @@ def build(docs: DataFrame, tokenizer: str = "unicode61", text: str = "text") ->
     """The index of docs(doc_id, text). Null texts have no tokens but count as documents."""
     split = TOKENIZERS[tokenizer][0]
     tokens = docs.select("doc_id", F.coalesce(split(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    stats = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return TextIndex(tokenizer, postings, stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    length = F.greatest(F.coalesce(F.length(text), F.lit(0)) - 2, F.lit(0)) if tokenizer == "trigram" else F.size("tokens")
+    stats = (docs if tokenizer == "trigram" else tokens).select("doc_id", length.cast("long").alias("dl"))
+    own = docs.select("doc_id", F.col(text).alias("text"))
+    return TextIndex(tokenizer, _postings(tokens), stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), docs=own)
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def _scanned(index: TextIndex, terms: list[str]) -> DataFrame:
+    """The terms' postings from the texts themselves: only texts that hold a term are cut into tokens.
+
+    Identifier tokens may be put together from parts, so there every text is cut."""
+    split = TOKENIZERS[index.tokenizer][0]
+    rows = index.docs
+    if index.tokenizer != "identifier_aware":
+        plain = fold(F.col("text")) if index.tokenizer == "unicode61" else F.lower("text")
+        rows = rows.select("doc_id", "text", plain.alias("_plain")).where(reduce(lambda a, b: a | b, [F.contains(F.col("_plain"), F.lit(t)) for t in terms]))
+    tokens = rows.select("doc_id", split(F.col("text")).alias("tokens"))
+    return _postings(tokens).where(F.col("term").isin(terms))
 
 
 class QueryError(ValueError):
@@ -152,7 +172,7 @@ def matches(index: TextIndex, query: str) -> DataFrame:
     terms = sorted({t for p in phrases for t in p})
     if tree is None or not terms:
         return spark.createDataFrame([], "doc_id long, score double")
-    postings = index.postings.where(F.col("term").isin(terms))
+    postings = index.postings.where(F.col("term").isin(terms)) if index.docs is None else _scanned(index, terms)
     if index.buckets:  # the partitions of these terms, by the same hash as in save()
         names = spark.createDataFrame([(t,) for t in terms], "term string")
         numbers = [r[0] for r in names.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")).collect()]

@@ -123,11 +123,11 @@ def _fixed_index(spark, sf_dir):
 
 def pruned_quantised(spark, sf_dir):
     """The pruned search over 4-bit residuals; recall against the exact ranking is tested."""
-    return indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), indexes.SearchParameters(k=K, probes=4))
+    return indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), indexes.SearchParameters(k=K, probes=4, centroid_threshold=None))
 
 
 def pruned_recall(spark, sf_dir):
-    found = indexes.search(indexes.create(docs(spark, sf_dir)), every_query(spark, sf_dir), indexes.SearchParameters(k=K))
+    found = indexes.search(indexes.create(docs(spark, sf_dir)), every_query(spark, sf_dir), indexes.SearchParameters(k=K, probes=32, centroid_threshold=None))
     return metrics.overlap(found, maxsim.maxsim_topk(docs(spark, sf_dir), every_query(spark, sf_dir), K))
 
 
