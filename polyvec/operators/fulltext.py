@@ -56,17 +56,20 @@ def _postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def _scanned(index: TextIndex, terms: list[str]) -> DataFrame:
-    """The terms' postings from the texts themselves: only texts that hold a term are cut into tokens.
+def _scanned(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """The terms' postings from the texts themselves: only texts that hold all of a phrase are cut into tokens.
 
     Identifier tokens may be put together from parts, so there every text is cut."""
     split = TOKENIZERS[index.tokenizer][0]
     rows = index.docs
     if index.tokenizer != "identifier_aware":
         plain = fold(F.col("text")) if index.tokenizer == "unicode61" else F.lower("text")
-        rows = rows.select("doc_id", "text", plain.alias("_plain")).where(reduce(lambda a, b: a | b, [F.contains(F.col("_plain"), F.lit(t)) for t in terms]))
+        # Trigrams in a row are a substring; words of a phrase are all there at least.
+        needed = [[p[0] + "".join(t[-1] for t in p[1:])] if index.tokenizer == "trigram" else list(p) for p in phrases if p]
+        holds = [reduce(lambda a, b: a & b, [F.contains(F.col("_plain"), F.lit(t)) for t in words]) for words in needed]
+        rows = rows.select("doc_id", "text", plain.alias("_plain")).where(reduce(lambda a, b: a | b, holds))
     tokens = rows.select("doc_id", split(F.col("text")).alias("tokens"))
-    return _postings(tokens).where(F.col("term").isin(terms))
+    return _postings(tokens).where(F.col("term").isin(sorted({t for p in phrases for t in p})))
 
 
 class QueryError(ValueError):
@@ -172,7 +175,7 @@ def matches(index: TextIndex, query: str) -> DataFrame:
     terms = sorted({t for p in phrases for t in p})
     if tree is None or not terms:
         return spark.createDataFrame([], "doc_id long, score double")
-    postings = index.postings.where(F.col("term").isin(terms)) if index.docs is None else _scanned(index, terms)
+    postings = index.postings.where(F.col("term").isin(terms)) if index.docs is None else _scanned(index, phrases)
     if index.buckets:  # the partitions of these terms, by the same hash as in save()
         names = spark.createDataFrame([(t,) for t in terms], "term string")
         numbers = [r[0] for r in names.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")).collect()]
