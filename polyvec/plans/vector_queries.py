@@ -68,7 +68,7 @@ def ivf_build(spark, sf_dir):
     return codecs.inverted_lists(_assigned(spark, sf_dir)).groupBy("centroid_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def _probe(spark, sf_dir, eligible: DataFrame | None = None, scale=None):
+def _probe(spark, sf_dir, eligible: DataFrame | None = None, scale=None, probes: int = PROBES, threshold: float | None = THRESHOLD):
     """cells(query_id, centroid_id): the best of each query token whose best product over the query is high enough."""
     centroids = _centroids(spark, sf_dir)
     if eligible is not None:
@@ -77,10 +77,13 @@ def _probe(spark, sf_dir, eligible: DataFrame | None = None, scale=None):
     place = F.row_number().over(Window.partitionBy("query_id", "qpos").orderBy(F.col("s").desc(), "centroid_id"))
     products = products.withColumn("most", F.max("s").over(Window.partitionBy("query_id", "centroid_id"))).withColumn("place", place)
     if scale is None:
-        products = products.withColumn("probes", F.lit(PROBES))
+        products = products.withColumn("probes", F.lit(probes))
     else:
         products = products.crossJoin(F.broadcast(scale))
-    return products.where((F.col("place") <= F.col("probes")) & (F.col("most") >= THRESHOLD)).select("query_id", "centroid_id").distinct(), products
+    cells = products.where(F.col("place") <= F.col("probes"))
+    if threshold is not None:
+        cells = cells.where(F.col("most") >= threshold)
+    return cells.select("query_id", "centroid_id").distinct(), products
 
 
 def ivf_probe_candidates(spark, sf_dir):
@@ -94,18 +97,30 @@ cells as (select distinct query_id, centroid_id from ranked where place <= {PROB
 candidates as (select distinct query_id, doc_id from ivf join cells using (centroid_id))"""
 
 
+def _exact(spark, sf_dir, kept: DataFrame) -> DataFrame:
+    pairs = kept.join(tokens(spark, sf_dir), "doc_id").join(every_query(spark, sf_dir), "query_id")
+    exact = pairs.groupBy("query_id", "doc_id", "qpos").agg(F.max(dot(F.col("emb"), F.col("qvec"))).alias("s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
+    return _rounded(exact)
+
+
 def pruned_fixed_centroids(spark, sf_dir):
-    """The pruned search with DataFrame operators: probe, gather, rough scores, cut, exact scores."""
+    """The pruned search with DataFrame operators: probe, gather, rough scores, cut, exact scores.
+
+    Its constants exercise each step against the SQL; on this codebook they leave most queries
+    without a candidate (README). pruned_every_candidate is the search to use."""
     assigned = _assigned(spark, sf_dir)
     cells, products = _probe(spark, sf_dir)
     candidates = codecs.inverted_lists(assigned).join(cells, "centroid_id").select("query_id", "doc_id").distinct()
     own = assigned.select("doc_id", "centroid_id").distinct()
     rough = candidates.join(own, "doc_id").join(products.select("query_id", "qpos", "centroid_id", "s"), ["query_id", "centroid_id"])
     rough = rough.groupBy("query_id", "doc_id", "qpos").agg(F.max("s").alias("s")).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    kept = maxsim.ranked(rough, 40).select("query_id", "doc_id")
-    pairs = kept.join(tokens(spark, sf_dir), "doc_id").join(every_query(spark, sf_dir), "query_id")
-    exact = pairs.groupBy("query_id", "doc_id", "qpos").agg(F.max(dot(F.col("emb"), F.col("qvec"))).alias("s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
-    return _rounded(exact)
+    return _exact(spark, sf_dir, maxsim.ranked(rough, 40).select("query_id", "doc_id"))
+
+
+def pruned_every_candidate(spark, sf_dir):
+    """The pruned search with the operator's number of probes, no threshold, and exact scores of every candidate."""
+    cells, _ = _probe(spark, sf_dir, probes=indexes.SearchParameters.probes, threshold=None)
+    return _exact(spark, sf_dir, codecs.inverted_lists(_assigned(spark, sf_dir)).join(cells, "centroid_id").select("query_id", "doc_id").distinct())
 
 
 PRUNED_SQL = f"""with {ASSIGNED}, {PROBE_SQL},
@@ -257,7 +272,7 @@ got as (select query_id, sum(seen / rank) as p, sum(1 / log2(rank + 1)) as gain,
 select q.query_id, coalesce(round(p / n, 6), 0.0) as average_precision, coalesce(round(gain / best, 6), 0.0) as ndcg, coalesce(round(found / n, 6), 0.0) as recall
 from (select distinct doc_id as query_id from t) q cross join ideal left join got using (query_id)"""
 
-QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, pruned_fixed_centroids, pruned_quantised, pruned_recall, probe_rescale_filtered, codec_quantiles, codec_bucketize, cluster_threshold, average_residual, outlier_tokens, codec_round_trip, normalized_vectors, delete_renumber, evict_oldest, append_index, average_length, ward_pool, pairwise_cosine, ir_metrics)}
+QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, pruned_fixed_centroids, pruned_every_candidate, pruned_quantised, pruned_recall, probe_rescale_filtered, codec_quantiles, codec_bucketize, cluster_threshold, average_residual, outlier_tokens, codec_round_trip, normalized_vectors, delete_renumber, evict_oldest, append_index, average_length, ward_pool, pairwise_cosine, ir_metrics)}
 
 SQL = {
     "maxsim_topk": f"with {SCORES} {top('scores')}",
