@@ -117,6 +117,22 @@ def test_near_duplicates_depth_limit(spark):
     assert sum(got[a] == got[b] for a, b in similar_pairs(texts, 0.65)) == len(similar_pairs(texts, 0.65))
 
 
+def test_near_duplicates_of_single_members(spark):
+    """Near copies of one member of a large group, unlike all its others, are found."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = [base[:300] + [f"p{i}x{j}" for j in range(60)] for i in range(1100)]
+    members = rng.sample(range(200, 1100), 150)
+    for i in members:
+        # The member's own words stay, so that no other member is similar to the copy.
+        texts.append([f"c{i}x{j}" for j in range(95)] + texts[i][95:])
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = groups(near_dup.near_duplicates(docs), range(len(texts)))
+    assert len({got[i] for i in range(1100)}) == 1
+    assert sum(got[1100 + n] == got[i] for n, i in enumerate(members)) >= 0.97 * len(members)
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dup.near_duplicates(odd)
     assert [tuple(r) for r in got.collect()] == [(6, 5)]
