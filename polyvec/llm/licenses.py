@@ -60,14 +60,14 @@ def identifier(word: str) -> tuple[str, int]:
     return word, CLOSED
 
 
-def read_expression(text: str) -> tuple[list[str], int]:
-    """The tokens of the longest valid expression at the start of text, and where it ends.
+def read_expression(text: str, at: int = 0) -> tuple[list[str], int]:
+    """The tokens of the longest valid expression of text from place at on, and where it ends.
 
     Tokens are taken while they can continue an expression; trailing operators and unclosed
     parentheses are given back."""
     out: list[str] = []
-    good: tuple[int, int] = (0, 0)
-    depth, operand, at = 0, True, 0
+    good: tuple[int, int] = (0, at)
+    depth, operand = 0, True
     while True:
         while at < len(text) and text[at] == " ":
             at += 1
@@ -101,22 +101,31 @@ def evaluate(tokens: list[str]) -> tuple[int, list[str], str]:
     """(class, licences, normal form) of an expression by the shunting-yard method.
 
     or takes the freer class, and the stricter; with a known exception softens copyleft. with
-    binds closest, then and, then or; equals group from the left."""
-    values: list[tuple[int, list[str], str, int]] = []
+    binds closest, then and, then or; equals group from the left. The left side's names and parts
+    grow in place, so that long chains cost what they are long."""
+    values: list[tuple[int, set[str], list[str], int]] = []
     stack: list[str] = []
 
     def apply(op: str) -> None:
         right, left = values.pop(), values.pop()
         rank = _RANK[op]
         if op == "with":
-            name = EXCEPTIONS.get(right[2].lower(), right[2])
-            known = right[2].lower() in EXCEPTIONS
+            word = "".join(right[2])
+            name = EXCEPTIONS.get(word.lower(), word)
+            known = word.lower() in EXCEPTIONS
             kind = WEAK if known and left[0] == COPYLEFT else left[0] if known else CLOSED
-            values.append((kind, left[1], f"{left[2]} WITH {name}", rank))
+            left[2].append(f" WITH {name}")
+            values.append((kind, left[1], left[2], rank))
             return
         kind = min(left[0], right[0]) if op == "or" else max(left[0], right[0])
-        shown = [f"({v[2]})" if v[3] < rank else v[2] for v in (left, right)]
-        values.append((kind, left[1] + right[1], f" {op.upper()} ".join(shown), rank))
+        for v in (left, right):
+            if v[3] < rank:
+                v[2][0] = "(" + v[2][0]
+                v[2].append(")")
+        left[1].update(right[1])
+        left[2].append(f" {op.upper()} ")
+        left[2].extend(right[2])
+        values.append((kind, left[1], left[2], rank))
 
     for word in tokens:
         if word == "(":
@@ -130,14 +139,14 @@ def evaluate(tokens: list[str]) -> tuple[int, list[str], str]:
                 apply(stack.pop())
             stack.append(word)
         elif stack and stack[-1] == "with":
-            values.append((CLOSED, [], word, 9))
+            values.append((CLOSED, set(), [word], 9))
         else:
             name, kind = identifier(word)
-            values.append((kind, [name], name, 9))
+            values.append((kind, {name}, [name], 9))
     while stack:
         apply(stack.pop())
     kind, names, shown, _ = values[0]
-    return kind, sorted(set(names)), shown
+    return kind, sorted(names), "".join(shown)
 
 
 def _automaton():
@@ -166,11 +175,11 @@ def scan_text(text: str, automaton) -> list[tuple[int, str, int, list[str]]]:
         if start < reach:
             continue
         if name is None:
-            tokens, more = read_expression(text[end:].lstrip()[:4000])
+            tokens, stop = read_expression(text, end)
             if tokens:
                 kind, names, shown = evaluate(tokens)
                 found.append((start, shown, kind, names))
-                end += more
+                end = stop
         else:
             found.append((start, name, LICENSES[name][0], [name]))
         reach = end

@@ -236,6 +236,16 @@ def test_license_scan_against_naive(spark, documents):
             assert found.get(r.doc_id, set()) == hit
 
 
+@pytest.mark.parametrize("form", ["{}", "({})"])
+def test_license_expression_is_read_whole(form):
+    """Expressions of more than 4,000 characters, with the strictest licence at the end."""
+    automaton = licenses._automaton()
+    for n in (500, 503, 5000):
+        text = "code SPDX-License-Identifier: " + form.format(" AND ".join(["MIT"] * n + ["GPL-3.0"]))
+        ((place, _, kind, names),) = licenses.scan_text(text + "\nmore", automaton)
+        assert (place, kind, names) == (5, licenses.COPYLEFT, ["GPL-3.0", "MIT"])
+
+
 def test_license_odd(spark, odd, empty):
     rows = odd.unionByName(spark.createDataFrame([(20, "x SPDX-License-Identifier: MIT OR\n Apache-2.0 x", *odd_rows()[0][2:]), (21, "permit license; MIT licensees", *odd_rows()[0][2:]), (None, "Released under the\nMIT   License", *odd_rows()[0][2:])], SCHEMA))
     got = {r.doc_id: (r.expression, r.category, r.allowed) for r in licenses.scan(rows).collect()}
