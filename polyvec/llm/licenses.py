@@ -2,8 +2,10 @@
 evaluation of and / or / with expressions.
 
 White space is folded and case ignored before the scan, so a notice may be wrapped. A hit must
-stand free of letters and digits, and of hits that overlap the longest counts. What follows an
-SPDX-License-Identifier tag is read as the longest valid expression.
+stand free of letters and digits; of hits that overlap the first counts, of several from one place
+the longest. What follows an SPDX-License-Identifier tag is read as the longest valid expression
+of its line. There the first operand may be any word, since a tag names a licence, known or not;
+further ones must look like identifiers, so that prose after a tag is not taken for a licence.
 """
 
 from __future__ import annotations
@@ -44,47 +46,93 @@ LICENSES: dict[str, tuple[int, tuple[str, ...]]] = {
     "LicenseRef-All-Rights-Reserved": (CLOSED, ("all rights reserved",)),
     "LicenseRef-Proprietary": (CLOSED, ("proprietary and confidential", "unauthorized copying of this file")),
 }
+#: Further identifiers that tags may name, by class. They announce themselves by no phrase.
+MORE: dict[int, str] = {
+    PERMISSIVE: """0BSD AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AML Apache-1.0 Apache-1.1 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 Borceux
+        BSD-1-Clause BSD-2-Clause-Patent BSD-2-Clause-Views BSD-3-Clause-Attribution BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-3-Clause-Modification BSD-3-Clause-Open-MPI BSD-4-Clause BSD-4-Clause-UC
+        BSD-Protection BSD-Source-Code BSL-1.0 bzip2-1.0.5 bzip2-1.0.6 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-PDDC CDLA-Permissive-1.0 CDLA-Permissive-2.0 CNRI-Python Crossword curl DOC ECL-1.0
+        ECL-2.0 EFL-1.0 EFL-2.0 Entessa FSFAP FSFUL FSFULLR FTL Fair GD HPND ICU IJG ImageMagick Info-ZIP Intel JasPer-2.0 JSON Latex2e Leptonica Libpng libpng-2.0 libtiff Linux-OpenIB MirOS MIT-0 MIT-advertising MIT-CMU
+        MIT-enna MIT-feh MIT-Modern-Variant MITNFA mpich2 MS-PL MTLL MulanPSL-1.0 MulanPSL-2.0 Multics NAIST-2003 NBPL-1.0 NCSA Net-SNMP NetCDF Newsletr NIST-PD NLPL NTP NTP-0 O-UDA-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1
+        OGTSL OLDAP-2.7 OLDAP-2.8 OML OpenSSL PDDL-1.0 PHP-3.0 PHP-3.01 Plexus PostgreSQL psfrag psutils PSF-2.0 Python-2.0 Python-2.0.1 Qhull Rdisc RSA-MD Ruby SAX-PD Saxpath SGI-B-2.0 SMLNJ SSH-OpenSSH SSH-short SunPro Swrule
+        TCL TCP-wrappers TOSL TU-Berlin-1.0 TU-Berlin-2.0 UCL-1.0 Unicode-3.0 Unicode-DFS-2015 Unicode-DFS-2016 UPL-1.0 Vim VSL-1.0 W3C W3C-19980720 W3C-20150513 WTFPL X11 Xerox Xnet xpp XSkat Zed Zend-2.0 zlib-acknowledgement ZPL-1.1 ZPL-2.0 ZPL-2.1""",
+    WEAK: """APSL-1.0 APSL-1.1 APSL-1.2 APSL-2.0 CDDL-1.0 CDDL-1.1 CECILL-C CPL-1.0 EPL-1.0 ErlPL-1.1 GPL-2.0-with-autoconf-exception GPL-2.0-with-bison-exception GPL-2.0-with-classpath-exception GPL-2.0-with-font-exception
+        GPL-2.0-with-GCC-exception GPL-3.0-with-autoconf-exception GPL-3.0-with-GCC-exception IPL-1.0 LGPL-2.0 LGPLLR LPL-1.0 LPL-1.02 LPPL-1.0 LPPL-1.1 LPPL-1.2 LPPL-1.3a LPPL-1.3c MPL-1.0 MPL-1.1 MPL-2.0-no-copyleft-exception MS-RL Nokia NPL-1.0 NPL-1.1
+        CDLA-Sharing-1.0 SPL-1.0 wxWindows""",
+    COPYLEFT: """AGPL-1.0 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CECILL-1.0 CECILL-1.1 CECILL-2.0 CECILL-2.1 CECILL-B CPAL-1.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 GFDL-1.1 GFDL-1.2 GFDL-1.3 GPL-1.0 NGPL ODbL-1.0 OSL-1.0 OSL-1.1 OSL-2.0 OSL-2.1
+        OSL-3.0 QPL-1.0 RPL-1.1 RPL-1.5 RPSL-1.0 Sleepycat SISSL SSPL-1.0 TAPR-OHL-1.0 CERN-OHL-S-2.0 CERN-OHL-W-2.0 Watcom-1.0""",
+    NONCOMMERCIAL: """Aladdin CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-ND-1.0 CC-BY-NC-ND-2.0 CC-BY-NC-ND-2.5 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-2.5 CC-BY-NC-SA-3.0
+        CC-BY-ND-1.0 CC-BY-ND-2.0 CC-BY-ND-2.5 CC-BY-ND-3.0 NPOSL-3.0 PolyForm-Noncommercial-1.0.0 PolyForm-Small-Business-1.0.0 Parity-7.0.0 Prosperity-3.0.0""",
+    CLOSED: "BUSL-1.1 Elastic-2.0 NONE NOASSERTION",
+}
+CLASS_OF: dict[str, int] = {k: v[0] for k, v in LICENSES.items()} | {k: kind for kind, names in MORE.items() for k in names.split()}
 #: Exceptions that soften a copyleft licence to weak copyleft.
-EXCEPTIONS = {x.lower(): x for x in ("Classpath-exception-2.0", "LLVM-exception", "GCC-exception-3.1", "Autoconf-exception-3.0", "Linux-syscall-note", "Font-exception-2.0")}
+EXCEPTIONS = {
+    x.lower(): x
+    for x in """389-exception Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Bootloader-exception Classpath-exception-2.0 CLISP-exception-2.0 DigiRule-FOSS-exception eCos-exception-2.0 FLTK-exception Font-exception-2.0
+    freertos-exception-2.0 GCC-exception-2.0 GCC-exception-3.1 gnu-javamail-exception GPL-3.0-linking-exception GPL-CC-1.0 i2p-gpl-java-exception LGPL-3.0-linking-exception Libtool-exception Linux-syscall-note LLVM-exception LZMA-exception
+    mif-exception Nokia-Qt-exception-1.1 OCaml-LGPL-linking-exception OpenJDK-assembly-exception-1.0 openvpn-openssl-exception PS-or-PDF-font-exception-20170817 Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 Qwt-exception-1.0 Swift-exception u-boot-exception-2.0
+    Universal-FOSS-exception-1.0 WxWindows-exception-3.1""".split()
+}
 TAG = "spdx-license-identifier:"
-_IDS = {k.lower(): k for k in LICENSES}
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.\-]*\+?")
+_IDS = {k.lower(): k for k in CLASS_OF}
+_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.\-:]*\+?")
 _RANK = {"or": 1, "and": 2, "with": 3}
+_SUFFIX = re.compile(r"(\+|-only|-or-later)$")
+#: An unknown operand that is an identifier all the same: a reference, or a name that ends in a version.
+_NAMED = re.compile(r"(licenseref|documentref)-.+|[a-z][a-z0-9.]*(-[a-z0-9.]+)*-v?\d[\w.]*")
+_EXCEPTION = re.compile(r"[a-z0-9.\-]*-(exception|note)(-[\w.]+)?|additionref-.+")
+_BREAKS = re.compile(r"\s*[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]\s*")
+_BLANKS = re.compile(r"[^\S\n]+")
 
 
 def identifier(word: str) -> tuple[str, int]:
     """(canonical name, class) of a licence word; -only, -or-later and + are understood."""
-    bare = re.sub(r"(\+|-only|-or-later)$", "", word.lower())
+    low = word.lower()
+    bare = low if low in _IDS else _SUFFIX.sub("", low)
     if bare in _IDS:
-        return _IDS[bare] + ("-or-later" if word.lower().endswith(("+", "-or-later")) else ""), LICENSES[_IDS[bare]][0]
+        return _IDS[bare] + ("-or-later" if bare != low and low.endswith(("+", "-or-later")) else ""), CLASS_OF[_IDS[bare]]
     return word, CLOSED
 
 
+def named(word: str) -> bool:
+    """Does the (lower-case) word look like a licence identifier?"""
+    return identifier(word)[0] != word or word in _IDS or _NAMED.fullmatch(_SUFFIX.sub("", word)) is not None
+
+
 def read_expression(text: str, at: int = 0) -> tuple[list[str], int]:
-    """The tokens of the longest valid expression of text from place at on, and where it ends.
+    """The tokens of the longest valid expression in the line of text from place at on, and where it ends.
 
-    Tokens are taken while they can continue an expression; trailing operators and unclosed
-    parentheses are given back."""
+    Tokens are taken while they can continue an expression: the first operand is any word, others
+    must look like identifiers, and what follows with like an exception. Trailing operators and
+    unclosed parentheses are given back."""
     out: list[str] = []
     good: tuple[int, int] = (0, at)
-    depth, operand = 0, True
+    depth, operand, first = 0, True, True
     while True:
         while at < len(text) and text[at] == " ":
             at += 1
         m = _TOKEN.match(text, at)
         if not m:
             break
-        word = m[0] if m[0] in "()" else m[0].rstrip(".")
+        word = m[0] if m[0] in "()" else m[0].rstrip(".:")
         if operand:
             if word == "(":
+                if out and out[-1] == "with":
+                    break
                 depth += 1
             elif word in _RANK or word == ")":
                 break
-            else:
+            elif out and out[-1] == "with":
+                if not (word in EXCEPTIONS or _EXCEPTION.fullmatch(word)):
+                    break
                 operand = False
+            else:
+                if not (first or named(word)):
+                    break
+                operand = first = False
         elif word == ")" and depth:
             depth -= 1
-        elif word in _RANK:
+        elif word in _RANK and not (word == "with" and (out[-1] == ")" or out[-2:-1] == ["with"])):
             operand = True
         else:
             break
@@ -162,10 +210,12 @@ def _automaton():
 
 
 def scan_text(text: str, automaton) -> list[tuple[int, str, int, list[str]]]:
-    """(place, expression, class, licences) of every tag and notice, by place in the folded text."""
-    text = " ".join(text.lower().split())
+    """(place, expression, class, licences) of every tag and notice, by place in the folded text.
+
+    Folding makes a run of white space one sign: a line break where it has one, else a blank."""
+    text = _BLANKS.sub(" ", _BREAKS.sub("\n", text.lower().strip()))
     spans = []
-    for end, (size, name) in automaton.iter(text):
+    for end, (size, name) in automaton.iter(text.replace("\n", " ")):
         start = end + 1 - size
         if (start and text[start - 1].isalnum()) or (name and end + 1 < len(text) and text[end + 1].isalnum()):
             continue
@@ -191,8 +241,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
     All notices of a document hold together: its expression joins the distinct ones by AND in
     order of appearance, its category is the strictest, and it is allowed if that is permissive or
-    weak copyleft. Unknown identifiers count as closed. Null and empty texts have no hit;
-    repeated rows are scanned each; texts are scanned whole; an empty table gives no rows.
+    weak copyleft. Unknown identifiers count as closed. Null and empty texts have no hit; a null
+    doc_id stays null; doc_id may be of any type. Repeated rows are scanned each; texts are scanned
+    whole, however long; columns other than doc_id and text are ignored, whatever their names.
+    Where phrases begin at one place the longest counts (no two are equal, so there are no other
+    ties). An empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

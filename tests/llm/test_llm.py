@@ -169,7 +169,10 @@ def test_license_expressions():
     assert ok("(mit or gpl-3.0-only) and cc-by-nc-4.0") == (licenses.NONCOMMERCIAL, "(MIT OR GPL-3.0) AND CC-BY-NC-4.0")
     assert ok("gpl-2.0+ with classpath-exception-2.0") == (licenses.WEAK, "GPL-2.0-or-later WITH Classpath-exception-2.0")
     assert ok("gpl-2.0 with foo-exception")[0] == licenses.CLOSED
-    assert licenses.read_expression("mit or the rest")[0] == ["mit", "or", "the"]
+    assert ok("gpl-3.0-linking-exception") == (licenses.CLOSED, "gpl-3.0-linking-exception") and ok("gpl-2.0-with-classpath-exception") == (licenses.WEAK, "GPL-2.0-with-classpath-exception")
+    assert ok("proprietary or mit") == (licenses.PERMISSIVE, "proprietary OR MIT") and ok("mit and licenseref-acme") == (licenses.CLOSED, "MIT AND licenseref-acme")
+    for prose in ("mit or the rest", "mit and this module", "mit with some changes", "mit and well-known", "mit with (isc)", "mit\nand isc"):
+        assert licenses.read_expression(prose)[0] == ["mit"], prose
     assert licenses.read_expression("(mit or isc")[0] == [] and licenses.read_expression("mit and")[0] == ["mit"] and licenses.read_expression("and mit")[0] == []
 
 
@@ -227,13 +230,78 @@ def test_license_expressions_at_random():
         assert licenses.evaluate(tokens)[0] == naive_expression(tokens)
 
 
+def naive_scan(text):
+    """(expression, category, allowed, licences) of a text by trying every phrase at every place."""
+    low = re.sub(r"\s+", lambda m: "\n" if len(m[0].splitlines()) > 1 or m[0].splitlines() != [m[0]] else " ", text.lower().strip())
+    flat = low.replace("\n", " ")
+    phrases = [(p, n) for n, (_, ps) in licenses.LICENSES.items() for p in ps]
+    at, found = 0, []
+    starts = sorted({m.start() for p, _ in phrases for m in re.finditer(re.escape(p), flat)} | {m.start() for m in re.finditer(licenses.TAG, flat)})
+    for start in starts:
+        if start < at or (start and flat[start - 1].isalnum()):
+            continue
+        here = [(len(p), n) for p, n in phrases if flat.startswith(p, start) and not flat[start + len(p) : start + len(p) + 1].isalnum()]
+        if flat.startswith(licenses.TAG, start):
+            rest = low[start + len(licenses.TAG) :].split("\n")[0]
+            for end in range(len(rest), 0, -1):  # the longest beginning of the line that parses
+                m = re.fullmatch(r"[a-z0-9 ().:+\-]+", rest[:end])
+                tokens = re.findall(r"[()]|[^\s()]+", rest[:end]) if m and not rest[:end].endswith((" ", ".", ":")) and not rest[end : end + 1].isalnum() and rest[end : end + 1] not in ("-", "+") else []
+                if tokens and naive_valid(tokens):
+                    found.append((licenses.evaluate(tokens)[2], naive_expression(tokens), {licenses.identifier(t)[0] for i, t in enumerate(tokens) if t not in ("and", "or", "with", "(", ")") and (not i or tokens[i - 1] != "with")}))
+                    at = start + len(licenses.TAG) + end
+                    break
+            else:
+                at = start + len(licenses.TAG)
+        elif here:
+            size, name = max(here)
+            found.append((name, licenses.LICENSES[name][0], {name}))
+            at = start + size
+    if not found:
+        return None
+    shown = list(dict.fromkeys(f[0] for f in found))
+    worst = max(f[1] for f in found)
+    joined = shown[0] if len(shown) == 1 else " AND ".join(f"({x})" if " OR " in x else x for x in shown)
+    return joined, licenses.CLASSES[worst], worst <= licenses.WEAK, sorted(set().union(*(f[2] for f in found)))
+
+
+def naive_valid(tokens):
+    """Is it an expression whose operands look like identifiers? By a grammar on one sign a token."""
+    signs, first = "", True
+    for i, t in enumerate(tokens):
+        if t in ("(", ")"):
+            signs += t
+        elif t in ("and", "or"):
+            signs += "o"
+        elif t == "with":
+            signs += "w"
+        elif i and tokens[i - 1] == "with":
+            signs += "e" if t in licenses.EXCEPTIONS or "-exception" in t or "-note" in t else "?"
+        else:
+            signs += "a" if first or licenses.named(t) else "?"
+            first = False
+    signs = signs.replace("awe", "a")
+    while True:
+        less = signs.replace("(a)", "a").replace("aoa", "a")
+        if less == signs:
+            return signs == "a"
+        signs = less
+
+
+TAGGED = [
+    "x SPDX-License-Identifier: MIT\nand this module does x", "// spdx-license-identifier: MIT or the rest", "SPDX-License-Identifier: (MIT OR GPL-3.0-only) AND BSD-3-Clause */", "SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0.",
+    "SPDX-License-Identifier: Proprietary\nSPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier:", "SPDX-License-Identifier: (MIT", "SPDX-License-Identifier: AND", "SPDX-License-Identifier: LicenseRef-Acme-7 AND MIT, under the MIT License",
+    "GNU Lesser General Public License, version 2.1 and GNU Affero\n  General Public License, version 3", "permit license; a MIT  \n License, all rights reserved.", "SPDX-License-Identifier: WTFPL or Beerware with fun",
+]
+
+
 def test_license_scan_against_naive(spark, documents):
-    found = {r.doc_id: set(r.licenses) for r in licenses.scan(documents).collect()}
-    for r in documents.collect():
-        text = " ".join(r.text.lower().split())
-        hit = {n for n, (_, phrases) in licenses.LICENSES.items() for p in phrases if re.search(rf"(?<![^\W_]){re.escape(p)}(?![^\W_])", text)}
-        if "gnu lesser" not in text and "affero" not in text:
-            assert found.get(r.doc_id, set()) == hit
+    """Every document, and texts with tags: expression, category, allowed and licences."""
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(TAGGED)], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").unionByName(more)
+    found = {r.doc_id: (r.expression, r.category, r.allowed, r.licenses) for r in licenses.scan(rows).collect()}
+    want = {r.doc_id: naive_scan(r.text) for r in rows.collect()}
+    assert found == {k: v for k, v in want.items() if v is not None}
+    assert found[10**6][:2] == ("MIT", "permissive") and found[10**6 + 1][0] == "MIT" and 10**6 + 5 not in found
 
 
 @pytest.mark.parametrize("form", ["{}", "({})"])
@@ -249,7 +317,9 @@ def test_license_expression_is_read_whole(form):
 def test_license_odd(spark, odd, empty):
     rows = odd.unionByName(spark.createDataFrame([(20, "x SPDX-License-Identifier: MIT OR\n Apache-2.0 x", *odd_rows()[0][2:]), (21, "permit license; MIT licensees", *odd_rows()[0][2:]), (None, "Released under the\nMIT   License", *odd_rows()[0][2:])], SCHEMA))
     got = {r.doc_id: (r.expression, r.category, r.allowed) for r in licenses.scan(rows).collect()}
-    assert got == {20: ("MIT OR Apache-2.0", "permissive", True), None: ("MIT", "permissive", True)}
+    assert got == {20: ("MIT", "permissive", True), None: ("MIT", "permissive", True)}
+    named = rows.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(1).alias("expression"), F.lit(2).alias("n_hits"))
+    assert {r.doc_id for r in licenses.scan(named).collect()} == {"d20", None}
     assert licenses.scan(empty).count() == 0
 
 
