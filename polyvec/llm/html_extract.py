@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from polyvec.llm.textvec import slices
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s>/]*)[^>]*>?|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</\s*([a-zA-Z][^\s></]*)[^>]*>?|[^<]+|<", re.S)
+_OPEN = re.compile(r"<([a-zA-Z][^\s></]*)")
+_STOP = re.compile(r"[<>\"']")
 _NAME = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe svg object select button textarea head title".split())
 RAW = frozenset("script style noscript template textarea title".split())
+_RAW_END = {tag: re.compile(rf"</\s*{tag}\b[^>]*>?", re.I) for tag in RAW}
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset(("p", "pre", "td", "blockquote", "li", "dd"))
 #: A tag that opens closes an open one of these, up to a container.
@@ -43,66 +46,132 @@ class Node:
         self.points, self.scored, self.chars, self.linked = 0.0, False, 0, 0
 
 
+class Tags:
+    """Ends of tags in one pass: what a tag has scanned is not scanned again.
+
+    A tag ends at the first > outside quotes. A quote without a partner is an ordinary sign. A tag
+    without > ends before the next < outside quotes, or with the page."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.partner = {'"': True, "'": True}  # may there be another one further on?
+
+    def end(self, at: int) -> tuple[int, int]:
+        """(end of the attributes, end of the tag) of the tag whose name ends at `at`."""
+        source = self.source
+        while True:
+            m = _STOP.search(source, at)
+            if m is None:
+                return len(source), len(source)
+            sign, place = m[0], m.start()
+            if sign == ">":
+                return place, place + 1
+            if sign == "<":
+                return place, place
+            at = place + 1
+            if self.partner[sign]:
+                close = source.find(sign, at)
+                if close < 0:
+                    self.partner[sign] = False
+                else:
+                    at = close + 1
+
+
+class Open:
+    """The open elements, innermost last, and where those of a name are: no step climbs the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+        self.fences: list[int] = []  # of FENCES
+        self.hard: list[int] = []  # of those, without cells
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        tag, place = node.tag, len(self.nodes)
+        self.at.setdefault(tag, []).append(place)
+        if tag in FENCES:
+            self.fences.append(place)
+            if tag not in ("td", "th"):
+                self.hard.append(place)
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at place and all in it."""
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            for places in (self.fences, self.hard):
+                if places and places[-1] == len(self.nodes):
+                    places.pop()
+
+    def before(self, tag: str) -> None:
+        """Closes what an opening tag ends without an end tag of its own."""
+        if tag in BLOCKS and tag != "hr":  # an open paragraph ends where a block starts
+            p = self.last("p")
+            if p > max(self.fences[-1] if self.fences else 0, self.last("li")):
+                self.cut(p)
+        if tag in CLOSES:
+            near = max(self.last(t) for t in CLOSES[tag])
+            if near > (self.hard[-1] if self.hard else 0):
+                self.cut(near)
+                if tag == "tr" and self.nodes[-1].tag == "tr":
+                    self.cut(len(self.nodes) - 1)
+
+    def close(self, tag: str) -> None:
+        """An end tag: closes the innermost element of its name, but none across a container."""
+        place = self.last(tag)
+        if place and (tag in FENCES or place > (self.fences[-1] if self.fences else 0)):
+            self.cut(place)
+
+
 def tree(source: str) -> tuple[Node, str]:
-    """(root, title). Never fails: what is no tag is text, and open tags close at the end."""
-    root = node = Node("#root", None, 0.0, 0)
+    """(root, title), in time linear in the page. Never fails: what is no tag is text, and open tags
+    close at the end."""
+    root = Node("#root", None, 0.0, 0)
     title, place = "", 0
     at, size = 0, len(source)
+    tags, opened = Tags(source), Open(root)
     while at < size:
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        close, opened, attributes = m[1], m[2], m[3]
-        if opened:
-            tag = opened.lower()
-            if tag in RAW and not (attributes or "").endswith("/"):
-                end = re.compile(rf"</\s*{tag}\b[^>]*>?", re.I).search(source, at)
+        begin = _OPEN.match(source, at) if source[at] == "<" else None
+        if begin:
+            stop, at = tags.end(begin.end())
+            tag, attributes = begin[1].lower(), source[begin.end() : stop]
+            if tag in RAW and not attributes.endswith("/"):
+                end = _RAW_END[tag].search(source, at)
                 if tag == "title" and not title:
                     title = _SPACE.sub(" ", _html.unescape(source[at : end.start() if end else size])).strip()
                 at = end.end() if end else size
                 continue
-            if tag in BLOCKS and tag != "hr":
-                up = node  # an open paragraph ends where a block starts
-                while up.parent is not None and up.tag not in FENCES and up.tag != "p" and up.tag != "li":
-                    up = up.parent
-                if up.tag == "p":
-                    node = up.parent
-            if tag in CLOSES:
-                up = node
-                while up.parent is not None and up.tag not in CLOSES[tag] and (up.tag not in FENCES or up.tag in ("td", "th")):
-                    up = up.parent
-                if up.tag in CLOSES[tag]:
-                    node = up.parent
-                    if tag == "tr" and node is not None and node.tag == "tr":
-                        node = node.parent
+            opened.before(tag)
+            node = opened.nodes[-1]
             if tag in ("br", "hr"):
                 node.kids.append("\n")
                 continue
             if tag in VOID:
                 continue
             weight = START.get(tag, 0.0)
-            if attributes:
+            if len(attributes) > 4:
                 for a, b, c in _NAME.findall(attributes):
                     name = a or b or c
                     weight += (25.0 if GOOD.search(name) else 0.0) - (25.0 if BAD.search(name) else 0.0)
             place += 1
             new = Node(tag, node, weight, place)
             node.kids.append(new)
-            if not (attributes or "").endswith("/"):
-                node = new
-        elif close:
-            tag = close.lower()
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if tag not in FENCES and up.tag in FENCES:
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            if not attributes.endswith("/"):
+                opened.push(new)
+            continue
+        m = _OTHER.match(source, at)
+        at = m.end()
+        if m[1]:
+            opened.close(m[1].lower())
         elif m[0][0] != "<" or m[0] == "<":
-            node.kids.append(_html.unescape(m[0]))
+            opened.nodes[-1].kids.append(_html.unescape(m[0]))
         elif m[0].startswith("<![CDATA["):
-            node.kids.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
+            opened.nodes[-1].kids.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
     return root, title
 
 
@@ -212,8 +281,10 @@ def extract(source: str) -> tuple[str, str, float, str]:
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, title, text, points, container of every page.
 
-    A null html gives nulls, an empty one empty strings and 0 points. Pages are parsed whole,
-    repeated rows each, further columns are ignored; an empty table gives no rows.
+    A null html gives nulls, an empty one empty strings and 0 points; a null page_id stays null.
+    Pages are parsed whole, in time linear in their length, also broken ones. Repeated rows are
+    parsed each; of containers with equal points the first counts. Columns other than page_id and
+    html are ignored, whatever their names; an empty table gives no rows.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
 

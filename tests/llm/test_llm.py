@@ -569,8 +569,31 @@ def naive_best(source):
                     up.scored, up.points = True, up.weight
                 up.points += points / share
                 up = up.parent
-    scored = [(n.points * (1 - links(n) / size(n)), -k, n.tag) for k, n in enumerate(reader.nodes) if n.scored and size(n)]
-    return max(scored)[::2] if scored else (0.0, "")
+    for n in reader.nodes:
+        n.points *= 1 - links(n) / size(n) if size(n) else 1
+    scored = [(n.points, -k, n) for k, n in enumerate(reader.nodes) if n.scored and size(n)]
+    if not scored:
+        return 0.0, "", None
+    most, _, best = max(scored)
+
+    def text(n):
+        """With a line break before and after every block."""
+        if n is not best and n.weight <= -15:
+            return ""
+        inner = "".join(k if isinstance(k, str) else text(k) for k in n.kids)
+        return f"\n{inner}\n" if n.tag in html_extract.BLOCKS else inner
+
+    kept = []
+    for n in best.parent.kids:
+        if isinstance(n, str):
+            continue
+        take = n is best or (n.scored and n.points >= max(10.0, most * 0.2))
+        if n.tag == "p" and not take:
+            plain, dense = " ".join(own(n).split()), links(n) / size(n) if size(n) else 1.0
+            take = dense < 0.25 if len(plain) > 80 else bool(plain) and dense == 0 and any(plain.endswith(x) or x + " " in plain for x in ".!?。")
+        if take:
+            kept += [" ".join(x.split()) for x in text(n).split("\n") if x.strip()]
+    return most, best.tag, "\n".join(kept)
 
 
 def test_html_scores_against_naive():
@@ -584,13 +607,17 @@ def test_html_scores_against_naive():
         tag = rng.choice(["div", "section", "article"])
         name = rng.choice(["", " class='sidebar'", " id='story'", " class=\"x\""])
         inner = "".join(block(depth - 1) if depth and rng.random() < 0.5 else paragraph() for _ in range(rng.randint(1, 4)))
-        return f"<{tag}{name}>{inner}<p>end of block</p></{tag}>"
+        return f"<{tag}{name}>{inner}<p>end of block{rng.choice(['', '.', ', or not', ' <i>in</i> <b>parts</b>! More'])}</p></{tag}>"
 
-    for _ in range(100):
-        source = f"<html><body>{block(3)}{block(2)}</body></html>"
-        points, tag = naive_best(source)
-        _, _, got, container = html_extract.extract(source)
-        assert got == pytest.approx(points) and container == tag
+    dropped = siblings = 0
+    for _ in range(300):
+        source = f"<html><body>{block(3)}{block(2)}{paragraph()}{block(1)}</body></html>"
+        points, tag, text = naive_best(source)
+        _, got_text, got, container = html_extract.extract(source)
+        assert got == pytest.approx(points) and container == tag and (text is None or got_text == text)
+        dropped += "sidebar" in source
+        siblings += text is not None and len(html_extract._lines(html_extract.tree(source)[0], frozenset())) > text.count("\n") + 1
+    assert dropped and siblings
 
 
 def test_html_by_hand():
@@ -602,11 +629,37 @@ def test_html_by_hand():
         html_extract.extract(broken)
 
 
+BROKEN = {"<a ": "<a ", "unclosed quotes": '<a b="x ', "no end in sight": "<a '>' ", "open inline tags and blocks": "<i><h1>", "open items": "<ul><li>", "open cells": "<table><tr><td>", "end tags of nothing": "<i></b>", "ids": '<p id="', "signs": "<"}
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_html_is_linear_on_broken_pages(name):
+    import time
+
+    took = []
+    for size in (100_000, 800_000):
+        source = BROKEN[name] * (size // len(BROKEN[name]))
+        began = time.perf_counter()
+        html_extract.extract(source)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 15 and took[1] < 24 * max(took[0], 0.02)  # eight times the page
+
+
+def test_html_tags_by_hand():
+    text = lambda x: html_extract.extract(x)[1]
+    assert text('<p a=">" b=\'"\'>one</p> 1 < 2 <b>two') == "one\n1 < 2 two"
+    assert text("<p <b>bold</b> rest") == "bold rest" and text('<p title="no end>one <p>two') == "one\ntwo"
+    assert text("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == "a\nb\nc\nd\ne"
+    assert text("x <a") == "x" and text("<div><p>a</div>b</p>c") == "a\nbc"
+
+
 def test_html_odd(spark):
     rows = spark.createDataFrame([(1, None, "x"), (None, "<p>" + "long text, " * 20000, "x"), (2, "", "x"), (2, "", "x")], "page_id long, html string, title string")
     got = html_extract.extracted(rows).collect()
     assert len(got) == 4 and [r.text for r in got if r.page_id == 1] == [None] and len([r for r in got if r.page_id is None][0].text) > 200000
     assert html_extract.extracted(rows.limit(0)).count() == 0
+    clash = rows.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page_id"), "html", *[F.lit(1).alias(c) for c in ("text", "points", "container", "title")])
+    assert {r.page_id for r in html_extract.extracted(clash).collect()} == {"p1", "p2", None}
 
 
 def test_html_finds_articles(spark, small):
