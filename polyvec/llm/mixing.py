@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from polyvec.llm.scratch import Scratch
+from polyvec.llm.scratch import Scratch, column
 
 SEED = 17
 PART_ROWS = 5_000
@@ -61,8 +61,10 @@ def mixture(docs: DataFrame, weights: dict | None = None, budget: int | None = N
 
     whole: instead, docs' own columns, the text at the cut shortened to its taken tokens and n_chars
     with it. Null sources are a source of their own. Null and empty texts have no tokens; they come
-    along where the mixture passes them, a source of only such texts gives nothing. Ties of keys
-    go by doc_id, then by token count; repeated rows each count. An empty table gives no rows.
+    along where the mixture passes them, a source of only such texts gives nothing. A null doc_id has
+    a key of its own. Ties of keys go by doc_id, then by token count; repeated rows each count.
+    Very long texts count whole, and are cut by tokens only if the budget ends in them. Other columns
+    may have any names, those of helpers and with dots too. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id"), _key(seed).alias("mix_key"), tokens().alias("n_tokens"))
@@ -76,7 +78,7 @@ def mixture(docs: DataFrame, weights: dict | None = None, budget: int | None = N
     sums = placed(counted).groupBy("source", "part").agg(F.sum("n_tokens").alias("in_part"))
     before = F.coalesce(F.sum("in_part").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = scratch.write(sums.select("source", "part", before.alias("before")))
-    rows = placed(docs.select(*[F.col(c).alias(f"_doc_{c}") for c in docs.columns], F.col("source").cast("string").alias("source"), "doc_id", _key(seed).alias("mix_key"), tokens().alias("n_tokens")) if whole else counted)
+    rows = placed(docs.select(*[F.col(column(c)).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)], F.col("source").cast("string").alias("source"), "doc_id", _key(seed).alias("mix_key"), tokens().alias("n_tokens")) if whole else counted)
     rows = rows.join(offsets, _same(rows, offsets) & (rows["part"] == offsets["part"])).drop(offsets["source"]).drop(offsets["part"])
     order = Window.partitionBy("source", "part").orderBy("mix_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("start_token", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
@@ -86,14 +88,15 @@ def mixture(docs: DataFrame, weights: dict | None = None, budget: int | None = N
     taken = F.when(F.col("epoch") < full, F.col("n_tokens")).otherwise(F.least("n_tokens", rest - F.col("start_token")))
     if not whole:
         return rows.select("source", "epoch", "doc_id", "mix_key", "n_tokens", "start_token", taken.alias("taken_tokens"))
-    pieces = F.split("_doc_text", r"(?<=\s)(?=\S)")
-    lead = F.col("_doc_text").rlike(r"^\s").cast("int")
+    own = {c.lower(): f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    pieces = F.split(own["text"], r"(?<=\s)(?=\S)")
+    lead = F.col(own["text"]).rlike(r"^\s").cast("int")
     short = F.array_join(F.slice(pieces, F.lit(1), taken.cast("int") + lead), "")
-    text = F.when(taken < F.col("n_tokens"), F.rtrim(short)).otherwise(F.col("_doc_text"))
+    text = F.when(taken < F.col("n_tokens"), F.rtrim(short)).otherwise(F.col(own["text"]))
     out = {"text": text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(taken < F.col("n_tokens"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc_n_chars"))
-    return rows.select(*[out.get(c, F.col(f"_doc_{c}")).alias(c) for c in docs.columns])
+    if "n_chars" in own:
+        out["n_chars"] = F.when(taken < F.col("n_tokens"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))
+    return rows.select(*[out.get(c.lower(), F.col(own[c.lower()])).alias(c) for c in docs.columns])
 
 
 def mixture_sql(seed: int = SEED) -> str:

@@ -1,7 +1,8 @@
 """Line-first quality rules: failing lines are removed, then documents that lost too much go.
 
 Every rule is a built-in expression, so the whole step stays in the JVM and needs no shuffle.
-RULES holds the same rules as DuckDB SQL for the oracle; the two are kept side by side.
+sql() holds the same rules as DuckDB SQL for the oracle; the two are kept side by side. Boilerplate is
+known in English, German, French and Spanish.
 """
 
 from __future__ import annotations
@@ -9,10 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyvec.llm.scratch import fresh
+from polyvec.llm.scratch import column, fresh
 
 LEAST_KEPT = 0.6
-BOILERPLATE = "cookies?|javascript|click here|sign in|log in|subscribe|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|share (this|on)|read more"
+BOILERPLATE = "|".join(
+    (
+        "cookies?|javascript|click here|sign in|log in|subscribe|privacy policy|terms of (use|service)|all rights reserved|lorem ipsum|share (this|on)|read more",
+        "alle rechte vorbehalten|hier klicken|datenschutzerklärung|nutzungsbedingungen|newsletter abonnieren",
+        "tous droits réservés|cliquez ici|politique de confidentialité|mentions légales|lire la suite",
+        "todos los derechos reservados|haga clic aquí|política de privacidad|aviso legal|iniciar sesión",
+    )
+)
 _SYMBOLS = r"[#$%&*+=<>@^~{}|\\_]+"
 _BARS = "[|»›•]+"
 _CLOSING = "[.!?:;…。！？\"'”»)]$"
@@ -39,15 +47,16 @@ def cleaned(docs: DataFrame, least_kept: float = LEAST_KEPT) -> DataFrame:
     Lines are trimmed; blank ones don't count. A line that fails a rule or repeats an earlier line
     of its document is removed. A document is rejected if the removed lines hold more than
     1 - least_kept of the characters of its non-blank lines, or if nothing is left: so null, empty
-    and blank texts are rejected. Other columns, nulls in them and repeated rows stay; n_chars is
-    set only if there is such a column. An empty table stays empty.
+    and blank texts are rejected. Other columns, whatever their names, nulls in them and repeated rows
+    stay; n_chars is set only if there is such a column. Very long texts and lines are judged whole.
+    Of equal lines the first stays. An empty table stays empty.
     """
     name = fresh("_quality", docs.columns)
     kept = decided(docs, name).where(accepted(least_kept, name))
     out = {"text": F.array_join(f"{name}.kept", "\n")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(F.array_join(f"{name}.kept", "\n")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[out[c].alias(c) if c in out else F.col(column(c)) for c in docs.columns])
 
 
 def decided(docs: DataFrame, name: str = "_quality") -> DataFrame:
@@ -64,7 +73,7 @@ def decided(docs: DataFrame, name: str = "_quality") -> DataFrame:
     mid = fresh("_split", [*docs.columns, name])
     split = docs.select("*", F.explode(F.array(F.struct(lines.alias("lines")))).alias(mid))
     kept = F.array_distinct(F.filter(f"{mid}.lines", passes))
-    return split.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(F.struct(F.col(f"{mid}.lines").alias("lines"), kept.alias("kept")))).alias(name))
+    return split.select(*[F.col(column(c)) for c in docs.columns], F.explode(F.array(F.struct(F.col(f"{mid}.lines").alias("lines"), kept.alias("kept")))).alias(name))
 
 
 def _chars(lines: str) -> Column:

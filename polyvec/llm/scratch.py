@@ -26,12 +26,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes tables under one new folder; drop() removes those that are no longer read."""
+    """Writes tables under one new folder; drop() removes those that are no longer read. A table that a
+    result still reads lazily can't be dropped here: the folder goes when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{uuid.uuid4().hex}"
         self.count = 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
     def path(self) -> str:
         self.count += 1
@@ -50,6 +55,18 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def file_system(path: str):
+    """(pyarrow file system, path in it) of a URI, as tasks see it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///") if path.startswith("file:") else path)
+
+
+def column(name: str) -> str:
+    """name for F.col(), whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, with underscores before it until no taken column has it."""
     low = {c.lower() for c in taken}

@@ -20,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polyvec.llm.scratch import fresh
 from polyvec.llm.textvec import resident, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 WORDS_KEPT = 80_000  # words in each of the two generations that a worker remembers: speed only
+PAIRS_KEPT = 1_000_000  # pairs of tokens that a worker remembers: speed only
 
 
 class Codec:
@@ -91,6 +93,8 @@ class Codec:
     def _pair(self, a: int, b: int) -> bool:
         left, right = self._text(a), self._text(b)
         ok = self.merges(left + right) == [left, right]
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
         self.pairs[(a << 24) + b] = ok
         return ok
 
@@ -227,7 +231,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     The ids are those of the model's own library. A null text has null ids and round_trip; an
     empty one no ids. A sign BLANK in a text becomes a blank, as in the library, so round_trip is
-    false there. Very long texts are encoded whole, repeated rows each; an empty table stays empty.
+    false there. Of pairs with equal scores the leftmost merges first. doc_id may be null and of
+    any type. Very long texts are encoded whole, repeated rows each; columns other than doc_id and
+    text are ignored, whatever their names; an empty table stays empty.
     """
     source = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -250,9 +256,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """rows (with ids array<int>) with one more column, decoded; null for null ids."""
+    """rows (with ids array<int>) with one more column, decoded; null for null ids.
+
+    Where rows have a column of that name, the new one gets underscores before it. Empty ids give
+    an empty text; repeated rows are decoded each; other columns, nulls in them too, stay as they are.
+    """
     kind = rows.schema
     at = rows.columns.index("ids")
+    name = fresh("decoded", rows.columns)
     from pyspark.sql.types import StringType
 
     def run(batches):
@@ -261,6 +272,6 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             count = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
             text = codec(model).decode(np.asarray(lists.flatten()).astype(np.int32), count).cast(pa.string())
             text = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, type(kind)([*kind.fields]).add("decoded", StringType()))
+    return rows.mapInArrow(run, type(kind)([*kind.fields]).add(name, StringType()))

@@ -361,6 +361,31 @@ def test_packing_loses_nothing(documents):
         assert got[r.doc_id] == [*tokenizer.encoding.encode_ordinary(r.text), tokenizer.end]
 
 
+def test_packing_in_groups_and_by_any_id(documents):
+    """Groups bound what a task holds; every document is there once, whatever its id's type."""
+    tokenizer = packing.Tokenizer(packing.VOCABULARY)
+    named = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(1).alias("shard"))
+    rows = packing.pack(named, length=128, group=5_000).collect()
+    got = unpacked(rows, 128, tokenizer.end)
+    assert got == {f"d{r.doc_id}": [*tokenizer.encoding.encode_ordinary(r.text), tokenizer.end] for r in documents.collect() if r.text}
+    assert len({(r.shard, r.row) for r in rows}) == len(rows)
+
+
+def test_packed_files_round_trip(spark, documents, tmp_path):
+    rows = packing.pack(documents.repartition(3), length=256)
+    index = packing.write(rows, f"file://{tmp_path}/p")
+    key = lambda r: (r.n_tokens, bytes(r.ids), bytes(r.position_ids), tuple(r.cu_seqlens), tuple(r.doc_ids), tuple(r.starts))
+    back = packing.read(spark, f"file://{tmp_path}/p")
+    assert sorted(map(key, back.collect())) == sorted(map(key, rows.collect())) and index.count() == back.count()
+    whole = {f: packing.matrix(f"{tmp_path}/p/data/{f}.ids", 256) for f in {r.file for r in index.collect()}}
+    assert all((whole[r.file][r.row] == np.frombuffer(r.ids, "<u2")).all() for r in back.collect())
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        packing.write(rows, f"file://{tmp_path}/p")
+    assert packing.read(spark, f"file://{tmp_path}/p").count() == index.count()
+    packing.write(packing.pack(documents.limit(0)), f"file://{tmp_path}/none")
+    assert packing.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_run_tokenizer_is_the_library():
     rng = random.Random(9)
     tokenizer = packing.Tokenizer(packing.VOCABULARY)
@@ -512,6 +537,9 @@ def test_mixture_odd(odd, empty):
     whole = mixing.mixture(odd, whole=True)
     assert whole.columns == odd.columns and whole.count() == len(got)
     assert mixing.mixture(empty).count() == 0 and mixing.mixture(empty, whole=True).count() == 0
+    dotted = odd.withColumnRenamed("part", "a.b").withColumnRenamed("total", "tick`s").withColumn("_doc_0", F.lit(1))
+    again = mixing.mixture(dotted, whole=True)
+    assert again.columns == dotted.columns and again.count() == len(got) and quality.cleaned(dotted).columns == dotted.columns
 
 
 # 7. HTML
@@ -675,6 +703,7 @@ def test_quality_rules():
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
+    cases |= {"Alle Rechte vorbehalten.": "boilerplate", "Cliquez ici pour lire la suite.": "boilerplate", "Política de privacidad, en esta página.": "boilerplate"}
     rows = spark.createDataFrame([(k,) for k in [*cases, "An ordinary sentence, of words."]], "x string")
     got = {r.x: {k for k, v in r.asDict().items() if v is True} for r in rows.select("x", *[c.alias(n) for n, c in quality.line_fails(F.trim("x")).items()]).collect()}
     for line, rule in cases.items():
@@ -716,6 +745,8 @@ def test_codec_odd(odd, empty):
     assert all(r.round_trip for k, r in got.items() if k[0] not in (2, 8) and r.ids is not None)
     back = {r.doc_id: r.decoded for r in sp_codec.decode(sp_codec.encode(odd)).collect() if r.doc_id}
     assert back[5] == LONG and back[2] is None and back[3] == ""
+    clash = sp_codec.decode(sp_codec.encode(odd).withColumn("decoded", F.lit("own")))
+    assert clash.columns == ["doc_id", "n_ids", "ids", "round_trip", "decoded", "_decoded"] and {r._decoded for r in clash.collect() if r.doc_id == 5} == {LONG} and {r.decoded for r in clash.collect()} == {"own"}
     assert sp_codec.encode(empty).count() == 0
 
 
