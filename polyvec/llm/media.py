@@ -5,7 +5,8 @@ digest; a row refers to it by shard, offset and length. Metadata columns (kind,
 rate, duration) come from reading the first HEAD bytes of a payload in place, never the rest.
 
 Shards are named after the partition and the attempt, and the index of what was written is itself a
-written table: a task that runs again leaves an unreferenced file, never a wrong row.
+written table: a task that runs again leaves an unreferenced file, never a wrong row. A shard is given
+by its whole address, so rows can be read wherever they go.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import io
 import struct
 import tarfile
+import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyvec.llm.scratch import Scratch
+from polyvec.llm.scratch import Scratch, file_system, shared_root
 
 HEAD = 64
 SHARD_BYTES = 1 << 29
@@ -88,12 +90,6 @@ def vector_sounds(embeddings: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "media_id string, payload binary")
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///") if path.startswith("file:") else path)
-
-
 def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """digest, shard, offset, length of distinct (digest, payload) rows, written as tar files below folder.
 
@@ -104,7 +100,7 @@ def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
 
     def run(batches):
         context = TaskContext.get()
-        system, base = _file_system(folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         name, out, at, count = "", None, 0, 0
         bundle: list[tuple[bytes, bytes]] = []
@@ -135,7 +131,7 @@ def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
             if bundle:
                 begin = member(f"bundle/{bundle[0][0].hex()}", b"".join(p for _, p in bundle))
                 for digest, payload in bundle:
-                    rows.append((digest, name, begin, len(payload)))
+                    rows.append((digest, f"{folder}/{name}", begin, len(payload)))
                     begin += len(payload)
                 bundle.clear()
 
@@ -149,7 +145,7 @@ def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
             for digest, payload in zip(batch.column("digest").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 if len(payload) >= 512:
                     begin = member(f"{digest.hex()[:2]}/{digest.hex()}", payload)
-                    rows.append((digest, name, begin, len(payload)))
+                    rows.append((digest, f"{folder}/{name}", begin, len(payload)))
                     continue
                 bundle.append((digest, payload))
                 held += len(payload)
@@ -169,44 +165,53 @@ def write_shards(distinct: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
 META = "kind string, width int, height int, bits int, channels int, rate int, duration_ms long"
 
 
-def read_headers(index: DataFrame, folder: str, head: int = HEAD) -> DataFrame:
+class _Files:
+    """The open file of the last shard read."""
+
+    def __init__(self):
+        self.name, self.file, self.systems = None, None, {}
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.name:
+            self.close()
+            folder, _, name = shard.rpartition("/")
+            if folder not in self.systems:
+                self.systems[folder] = file_system(folder)
+            system, base = self.systems[folder]
+            self.name, self.file = shard, system.open_input_file(f"{base}/{name}")
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.name = self.file = None
+
+
+def read_headers(index: DataFrame, head: int = HEAD) -> DataFrame:
     """index (digest, shard, offset, length) with the metadata columns, from the first head bytes of each payload."""
     columns = [x.split()[0] for x in META.split(", ")]
     types = [pa.string(), *[pa.int32()] * 5, pa.int64()]
 
     def run(batches):
-        system, base = _file_system(folder)
-        name, file = None, None
+        files = _Files()
         for batch in batches:
-            rows = []
-            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
-                if shard != name:
-                    if file is not None:
-                        file.close()
-                    name, file = shard, system.open_input_file(f"{base}/{shard}")
-                rows.append(header(file.read_at(min(head, length), offset), length))
+            rows = [header(files.read(shard, offset, min(head, length)), length) for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)]
             meta = [pa.array([r[c] for r in rows], t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("digest", "shard", "offset", "length")), *meta], names=["digest", "shard", "offset", "length", *columns])
-        if file is not None:
-            file.close()
+        files.close()
 
     return index.select("digest", "shard", "offset", "length").mapInArrow(run, f"digest binary, shard string, offset long, length long, {META}")
 
 
-def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
+def read_payloads(rows: DataFrame) -> DataFrame:
     """rows (media_id, shard, offset, length) as media_id, payload: one range read each."""
 
     def run(batches):
-        system, base = _file_system(folder)
+        files = _Files()
         for batch in batches:
-            out = []
-            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
-                if shard is None:
-                    out.append(None)
-                    continue
-                with system.open_input_file(f"{base}/{shard}") as file:
-                    out.append(file.read_at(length, offset))
+            out = [files.read(shard, offset, length) if shard is not None else None for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True)]
             yield pa.record_batch([batch.column("media_id"), pa.array(out, pa.binary())], names=["media_id", "payload"])
+        files.close()
 
     return rows.select("media_id", "shard", "offset", "length").mapInArrow(run, "media_id string, payload binary")
 
@@ -219,8 +224,11 @@ def media_table(media: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     those that several rows share are brought together by digest. The list of shared digests is
     joined, by broadcast only while Spark finds it small.
 
-    An empty payload has length 0 and kind application/octet-stream. A null payload gives nulls.
-    Repeated rows each stay. Further columns are ignored; an empty table gives no rows.
+    An empty payload has length 0 and kind application/octet-stream. A null payload gives nulls, a
+    null media_id stays null. Repeated rows each stay; the copies of a payload are equal, so it does
+    not matter which is written. Payloads of any length are kept whole. Columns other than media_id
+    and payload are ignored, whatever their names; an empty table gives no rows. media is read twice:
+    for the digests and for the payloads.
     """
     rows = media.select("media_id", "payload").withColumn("digest", F.unhex(F.sha2("payload", 256)))
     named = scratch.write(rows.select("media_id", "digest"))
@@ -229,15 +237,21 @@ def media_table(media: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
     once = marked.where("shared is null").select("digest", "payload")
     often = marked.where("shared").groupBy("digest").agg(F.first("payload").alias("payload"))
     index = scratch.write(write_shards(once.unionByName(often), folder))
-    known = scratch.write(read_headers(index, folder))
+    known = scratch.write(read_headers(index))
     scratch.drop(index, shared)
     return named.join(known, "digest", "left").select("media_id", F.lower(F.hex("digest")).alias("digest"), *known.columns[1:])
 
 
-def media_columns(spark: SparkSession, pages: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """The media table of all pages (as pictures) and all vectors (as sounds), in new shards."""
-    scratch = Scratch(spark)
-    return media_table(page_images(pages).unionByName(vector_sounds(embeddings)), scratch.path(), scratch)
+def media_columns(spark: SparkSession, pages: DataFrame, embeddings: DataFrame, folder: str | None = None) -> DataFrame:
+    """The media table of all pages (as pictures) and all vectors (as sounds).
+
+    folder: where the shards go; by default a new one in the folder that the cluster shares, which
+    stays. Every row names its shard in full. The pictures and sounds stand for media that would be
+    read from a table; they are drawn again where that would be read again, which costs less disk
+    than keeping them.
+    """
+    folder = folder or f"{shared_root(spark)}/media-{uuid.uuid4().hex}"
+    return media_table(page_images(pages).unionByName(vector_sounds(embeddings)), folder, Scratch(spark))
 
 
 def tar_members(data: bytes) -> dict[str, bytes]:

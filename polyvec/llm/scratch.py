@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,39 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Log:
+    """Numbered manifests below a path: each appears whole, by a rename, and the last one counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log/{name}".rstrip("/"))
+
+    def _last(self) -> int:
+        at = self._at("")
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return max((int(n[1:-5]) for n in names if n.startswith("v")), default=0)
+
+    def read(self) -> dict | None:
+        last = self._last()
+        return json.loads(self.spark.read.text(f"{self.path}/_log/v{last:08d}.json", wholetext=True).first()[0]) if last else None
+
+    def segment(self, kind: str, table: DataFrame) -> str:
+        name = f"{kind}/{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def publish(self, state: dict) -> None:
+        draft, final = self._at(f"draft-{uuid.uuid4().hex}"), self._at(f"v{self._last() + 1:08d}.json")
+        out = self.fs.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.fs.exists(final) or not self.fs.rename(draft, final):
+            raise RuntimeError(f"another writer published {final}")
+
+
 def file_system(path: str):
     """(pyarrow file system, path in it) of a URI, as tasks see it."""
     from pyarrow import fs

@@ -2,7 +2,8 @@
 
 A record is its exact header block (version line to blank line) and its payload. The archive has two
 tables: payloads (digest, n_bytes, fold, payload), one row for distinct bytes, and headers
-(record_id, header, digest, n_bytes, fold). The address is the SHA-256 of the bytes together with
+(digest, n_bytes, fold, header, more), where the struct more keeps the record's other columns, so
+that no name of theirs can clash. The address is the SHA-256 of the bytes together with
 their length and a second, independent hash, so that bytes of different content never share a row;
 on the way back every payload is hashed again, and a mismatch is an error.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyvec.llm.scratch import Log, column, fresh
+
 ADDRESS = ["digest", "n_bytes", "fold"]
 DATE = "2024-01-01T00:00:00Z"
 _NL = "\r\n"
@@ -26,7 +29,8 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, record_id, header, payload: every page as a WARC response record.
 
     A null html is an empty payload; a null url leaves the target line out. Record ids follow from
-    page_id and url, so repeated rows have the same one; a null page_id counts as ''.
+    page_id and url, so repeated rows have the same one; a null page_id counts as ''. Further columns
+    are ignored.
     """
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     rows = pages.select("page_id", _hex_id(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url")).alias("record_id"), "url", payload.alias("payload"))
@@ -37,48 +41,73 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
         F.lit(f"WARC-Date: {date}{_NL}WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit(f"{_NL}Content-Type: text/html; charset=utf-8{_NL}Content-Length: "), F.length("payload").cast("string"), F.lit(_NL + _NL),
     ]
-    return rows.select("page_id", "record_id", F.encode(F.concat(*lines), "UTF-8").alias("header"), "payload", "digest")
+    return rows.select("page_id", "record_id", F.encode(F.concat(*lines), "UTF-8").alias("header"), "payload")
 
 
-def archive(rows: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
-    """(payloads, headers) of records with header and payload; digest is computed if rows lack it.
+def archive(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(payloads, headers) of records with header and payload. Nothing is written here: see save().
 
-    headers keep every other column of rows. Nothing is written here: see save().
+    The digest is always computed here; a column of that name is kept like any other, unread. A null
+    payload counts as empty. Repeated rows are repeated headers of one payload; the copies of a
+    payload are equal bytes, so it does not matter which one is kept. Very long payloads are kept
+    whole. An empty table gives two empty ones.
     """
-    if "digest" not in rows.columns:
-        rows = rows.withColumn("digest", F.sha2("payload", 256))
-    rows = rows.withColumns({"n_bytes": F.length("payload"), "fold": F.xxhash64("payload")})
-    payloads = rows.groupBy(*ADDRESS).agg(F.first("payload").alias("payload"))
-    return payloads, rows.drop("payload")
+    more = [c for c in rows.columns if c.lower() not in ("header", "payload")]
+    kept = [F.struct(*[F.col(column(c)) for c in more]).alias("more")] if more else []
+    payload = F.coalesce(F.col("payload"), F.lit(b"")).alias("payload")
+    addressed = rows.select(payload, "header", *kept).select("*", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("n_bytes"), F.xxhash64("payload").alias("fold"))
+    payloads = addressed.groupBy(*ADDRESS).agg(F.first("payload").alias("payload"))
+    return payloads, addressed.drop("payload")
 
 
 def restore(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """headers' columns and record: header, payload and the closing blank lines, byte for byte.
+    """The records' other columns, header, digest and record: header, payload and the closing blank
+    lines, byte for byte. Of the last two names, those that records have get underscores before them.
 
-    A payload that no longer has its digest raises an error.
+    A payload that no longer has its digest raises an error; a null header gives a null record.
     """
     rows = headers.join(payloads, ADDRESS)
     sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), "digest")).cast("binary"))
-    return rows.select(*headers.columns, F.concat("header", sound, F.lit(b"\r\n\r\n")).alias("record"))
+    own = headers.schema["more"].dataType.names if "more" in headers.columns else []
+    taken = [*own, "header"]
+    return rows.select(*[F.col(f"more.{column(c)}") for c in own], "header", F.col("digest").alias(fresh("digest", taken)), F.concat("header", sound, F.lit(b"\r\n\r\n")).alias(fresh("record", taken)))
+
 
+def save(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Adds records to the archive at path: payloads that it lacks, and all headers.
 
-def save(rows: DataFrame, path: str) -> None:
-    """Adds records to the archive at path: payloads that it lacks, and all headers."""
+    Both are written as segments, and a manifest that appears by a rename names them: what a failed
+    run wrote is named by none, and so is never read. batch: a name for these rows; if the archive
+    has that batch already nothing is done (False), so a job may be run again. One writer at a time.
+    """
     spark = rows.sparkSession
+    log = Log(spark, path)
+    state = log.read() or {"payloads": [], "headers": [], "batches": []}
+    if batch is not None and batch in state["batches"]:
+        return False
     payloads, headers = archive(rows)
-    try:
-        have = spark.read.parquet(f"{path}/payloads").select(*ADDRESS)
+    if state["payloads"]:
+        have = spark.read.parquet(*[f"{path}/{s}" for s in state["payloads"]]).select(*ADDRESS)
         payloads = payloads.join(have, ADDRESS, "left_anti")
-    except Exception as e:  # only a missing path means a new archive
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    payloads.write.mode("append").parquet(f"{path}/payloads")
-    headers.write.mode("append").parquet(f"{path}/headers")
+    state["headers"].append(log.segment("headers", headers))
+    state["payloads"].append(log.segment("payloads", payloads))
+    if batch is not None:
+        state["batches"].append(batch)
+    log.publish(state)
+    return True
+
+
+def tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(payloads, headers) of the archive at path."""
+    state = Log(spark, path).read()
+    if state is None:
+        raise FileNotFoundError(f"no archive in {path}")
+    return tuple(spark.read.option("mergeSchema", k == "headers").parquet(*[f"{path}/{s}" for s in state[k]]) for k in ("payloads", "headers"))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archive at path."""
-    return restore(spark.read.parquet(f"{path}/payloads"), spark.read.parquet(f"{path}/headers"))
+    return restore(*tables(spark, path))
 
 
 def parse(data: bytes) -> list[tuple[bytes, bytes]]:
@@ -120,7 +149,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, record_id, digest, header, record: pages as records, archived and restored.
 
     header and record as text. Every row of pages gives one record, repeated rows too, whose bytes
-    are stored once. An empty table gives no rows.
+    are stored once; pages of any length are whole. Nulls are as in records(); columns other than
+    page_id, url and html are ignored, whatever their names. An empty table gives no rows.
     """
     payloads, headers = archive(records(pages))
     rows = restore(payloads, headers)

@@ -416,14 +416,30 @@ def test_warc_round_trip(spark, small, tmp_path):
     payloads, _ = warc.archive(warc.records(rows))
     assert payloads.count() == len(set(want))
     assert warc.round_trip(rows.limit(0)).count() == 0
-    warc.save(warc.records(more), f"file://{tmp_path}/a")
-    warc.save(warc.records(more.limit(3)), f"file://{tmp_path}/a")
-    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 2 and warc.load(spark, f"{tmp_path}/a").count() == 8
+    at = f"file://{tmp_path}/a"
+    assert warc.save(warc.records(more), at, "first") and warc.save(warc.records(more.limit(3)), at, "second")
+    assert not warc.save(warc.records(more), at, "first")  # run again: nothing is repeated
+    spark.range(1).selectExpr("cast('x' as binary) as payload").write.parquet(f"{at}/payloads/left-by-a-failed-run")
+    assert warc.tables(spark, at)[0].count() == 2 and warc.load(spark, at).count() == 8
     (tmp_path / "w").mkdir()
     (tmp_path / "w/x.warc").write_bytes(b"".join(r.record.encode() for r in got))
     assert warc.read_files(spark, f"file://{tmp_path}/w").count() == len(got)
 
 
+def test_warc_odd_columns(spark):
+    """Columns with the archive's own names are kept and not trusted; nulls and long payloads come back."""
+    rows = spark.createDataFrame([(b"h1", b"same", "wrong", 7, "r", "d"), (b"h2", b"same", None, None, None, None), (b"h3", None, "wrong", 1, "r", "d"), (None, b"x", "y", 2, "r", "d"), (b"h4", b"long " * 400_000, "z", 3, "r", "d")], "header binary, payload binary, digest string, n_bytes int, record string, `a.b` string")
+    payloads, headers = warc.archive(rows)
+    assert payloads.count() == 4
+    got = warc.restore(payloads, headers)
+    assert got.columns == ["digest", "n_bytes", "record", "a.b", "header", "_digest", "_record"]
+    by = {r.header and bytes(r.header): r for r in got.collect()}
+    assert bytes(by[b"h1"]._record) == b"h1same\r\n\r\n" and by[b"h1"].digest == "wrong" and bytes(by[b"h3"]._record) == b"h3\r\n\r\n" and by[None]._record is None and len(by[b"h4"]._record) == 2_000_006
+    bare = warc.restore(*warc.archive(rows.select("header", "payload")))
+    assert bare.columns == ["header", "digest", "record"] and bare.count() == 5
+    assert warc.restore(*warc.archive(rows.limit(0))).count() == 0
+
+
 def test_warc_finds_damage(spark):
     payloads, headers = warc.archive(warc.records(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string")))
     with pytest.raises(Exception, match="differs from its digest"):
@@ -473,6 +489,59 @@ def test_noisy_or_by_hand():
     assert score == pytest.approx([1 - (1 - p[1]) * (1 - q) ** 2, 0, 0, q])
 
 
+def test_gradient_against_differences():
+    """The gradient by small changes of each weight; steps along it make the loss smaller."""
+    rng = np.random.default_rng(3)
+    doc = np.repeat(np.arange(12), 4)  # four sentences a document
+    label = (np.arange(12) % 3 == 0).astype(np.int64)
+    bag = np.repeat(np.arange(48), 5)
+    w_at = rng.integers(0, 9, 240)
+    w, b = rng.uniform(0.1, 1, 9), -1.5
+    weights = np.zeros(toxicity.BUCKETS)
+
+    def loss(w, b):
+        weights[:9] = w
+        return toxicity.loss(toxicity.Model(weights, b), w_at, bag, doc, label, 0.01)
+
+    got = toxicity.gradient(w, b, w_at, bag, doc, label, 0.01)
+    for i in range(10):
+        step = np.where(np.arange(9) == i, 1e-5, 0)
+        more = 1e-5 if i == 9 else 0
+        assert got[i] == pytest.approx((loss(w + step, b + more) - loss(w - step, b - more)) / 2e-5, abs=1e-6)
+    fitted = [toxicity.fit(w_at, bag, doc, label, steps=n, penalty=0.01, least_docs=1) for n in (1, 10, 100)]
+    losses = [toxicity.loss(m, w_at, bag, doc, label, 0.01) for m in fitted]
+    assert losses[0] > losses[1] > losses[2]
+
+
+def test_toxic_sentences_against_naive(spark, documents, small):
+    """op5 over the whole table: every document, cut into sentences and words one by one."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(documents, labels)
+    assert (toxicity.train(documents.repartition(5), labels).weights == model.weights).all()
+    bucket = {}
+
+    def weight(word):
+        if word not in bucket:
+            bucket[word] = toxicity.sentence_words(pa.array([word]))[0]
+        return bucket[word]
+
+    want = {}
+    for r in documents.collect():
+        scores = {}
+        for k, sentence in enumerate(re.split(r"[.!?\n]", r.text or "")):
+            words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", sentence.lower())
+            if words:
+                own = set(np.concatenate([weight(w) for w in words]).tolist())
+                scores[k] = (1 / (1 + np.exp(-(model.bias + sum(float(model.weights[b]) for b in own)))), sentence.strip())
+        score = 1 - np.prod([1 - p for p, _ in scores.values()])
+        if score >= 0.6:
+            least = min(0.3, max(p for p, _ in scores.values()))
+            want |= {(r.doc_id, k): (score, p, t) for k, (p, t) in scores.items() if p >= least - 1e-12}
+    got = {(r.doc_id, r.sentence_no): (r.doc_score, r.sentence_score, r.sentence) for r in queries.queries()["op5_toxicity"](spark, small).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(got[k][2] == want[k][2] and got[k][:2] == pytest.approx(want[k][:2], abs=1e-6) for k in got)
+
+
 def test_toxicity_odd(spark, odd, empty, documents, small):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
@@ -480,6 +549,10 @@ def test_toxicity_odd(spark, odd, empty, documents, small):
     nothing = toxicity.train(odd, labels.where("doc_id = 5"))
     assert toxicity.offending_sentences(odd, nothing).count() == 0 and toxicity.drop_toxic(odd, nothing).count() == odd.count()
     assert toxicity.offending_sentences(empty, nothing).count() == 0 and toxicity.train(empty, labels).bias == -60.0
+    named = documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit("own").alias("sentence"), F.lit(1).alias("toxic"))
+    other = spark.read.parquet(f"{small}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    plain = toxicity.offending_sentences(documents, toxicity.train(documents, spark.read.parquet(f"{small}/labels.parquet")))
+    assert toxicity.train(named.unionByName(named), other).weights.any() and {r.doc_id for r in toxicity.offending_sentences(named, toxicity.train(named, other)).collect()} >= {f"d{r.doc_id}" for r in plain.limit(3).collect()}
 
 
 # 6. Mixing
@@ -762,7 +835,7 @@ def test_media_round_trip(spark, tmp_path):
     assert (by["a"].shard, by["a"].offset) == (by["b"].shard, by["b"].offset) and by["a"].kind == "image/png" and (by["a"].width, by["a"].height) == (64, 4)
     assert by["c"].duration_ms == 100 and by["c"].rate == 8000 and by["d"].length == 0 and by["e"].shard is None
     assert (by[None].width, by[None].height) == (5, 4) and (by["f"].height, by["f"].bits) == (9, 24) and by["g"].kind == "application/octet-stream"
-    assert {r.media_id: None if r.payload is None else bytes(r.payload) for r in media.read_payloads(got, folder).collect()} == dict(rows)
+    assert {r.media_id: None if r.payload is None else bytes(r.payload) for r in media.read_payloads(got).collect()} == dict(rows)
     members = [m for f in (tmp_path / "shards").iterdir() for m in media.tar_members(f.read_bytes()).items()]
     import hashlib
 
@@ -774,6 +847,39 @@ def test_media_round_trip(spark, tmp_path):
     assert media.media_table(table.limit(0), f"{folder}2", Scratch(spark)).count() == 0
 
 
+def test_media_against_naive(spark, small):
+    """op10 over the whole tables: digest, place and metadata of every picture and sound, drawn here anew."""
+    import hashlib
+
+    pages, vectors = spark.read.parquet(f"{small}/pages.parquet").collect(), spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    want = {f"page:{r.page_id}": media.png(r.html.encode()) for r in pages} | {f"vector:{r.vec_id}": media.wav(np.array(r.embedding, np.float64)) for r in vectors}
+    got = queries.queries()["op10_media"](spark, small)
+    payloads = {r.media_id: bytes(r.payload) for r in media.read_payloads(got).collect()}
+    assert payloads == want
+    places = {}
+    for r in got.collect():
+        p = want[r.media_id]
+        assert r.digest == hashlib.sha256(p).hexdigest() and r.length == len(p) and places.setdefault(r.digest, (r.shard, r.offset)) == (r.shard, r.offset)
+        if r.media_id.startswith("page"):
+            assert (r.kind, r.width, r.height, r.bits, r.channels) == ("image/png", int.from_bytes(p[16:20], "big"), int.from_bytes(p[20:24], "big"), 8, 1)
+        else:
+            assert (r.kind, r.rate, r.channels, r.bits, r.duration_ms) == ("audio/wav", 8000, 1, 16, round(1000 * (len(p) - 44) / 16000))
+    assert len(set(places.values())) == len(places) == len(set(want.values()))
+
+
+def test_media_odd(spark, tmp_path):
+    """Repeated rows, long payloads, names that helpers have, given folders."""
+    long = bytes(range(256)) * 20_000
+    rows = [("x", long)] * 3 + [("y", long), ("x", b""), (None, None), ("z", b"s"), ("z", b"s")]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "media_id string, payload binary, shard int, offset int, shared int")
+    got = media.media_table(table, f"file://{tmp_path}/m", Scratch(spark))
+    back = [(r.media_id, None if r.payload is None else bytes(r.payload)) for r in media.read_payloads(got).collect()]
+    assert sorted(back, key=repr) == sorted(rows, key=repr) and {r.shard.rpartition("/")[0] for r in got.collect() if r.shard} == {f"file://{tmp_path}/m"}
+    assert sum(f.stat().st_size for f in (tmp_path / "m").iterdir()) < 2 * len(long)
+    none = spark.createDataFrame([(1, None, None)], "page_id long, url string, html string"), spark.createDataFrame([(1, None), (None, [0.5, None])], "vec_id long, embedding array<float>")
+    assert {(r.media_id, r.kind) for r in media.media_columns(spark, *none, f"file://{tmp_path}/n").collect()} == {("page:1", None), ("vector:1", None), ("vector:null", "audio/wav")}
+
+
 # Pipeline
 
 
