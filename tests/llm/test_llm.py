@@ -133,6 +133,81 @@ def test_near_duplicates_of_single_members(spark):
     assert sum(got[1100 + n] == got[i] for n, i in enumerate(members)) >= 0.97 * len(members)
 
 
+def test_near_duplicates_of_documents(spark, small, documents):
+    """op1 over the whole table: the groups of all pairs of documents, compared set by set."""
+    rows = documents.orderBy("doc_id").collect()
+    root = {r.doc_id: r.doc_id for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sure = similar_pairs([r.text for r in rows], 0.56)  # beyond two standard errors of the estimate
+    for a, b in sure:
+        x, y = sorted((find(rows[a].doc_id), find(rows[b].doc_id)))
+        root[y] = x
+    got = groups(queries.queries()["op1_near_duplicates"](spark, small), root)
+    assert sure and all(got[x] == got[find(x)] for x in root)
+    near = {rows[i].doc_id for p in similar_pairs([r.text for r in rows], 0.42) for i in p}
+    assert all(got[x] == x for x in root if x not in near)
+
+
+def test_near_duplicates_recall_at_the_threshold(spark):
+    """Pairs just above the threshold, in families whose shared words make large nodes, are found with
+    the probability that was asked for; survival() is what a simulation of the branching gives."""
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for family in range(10):
+        shared = [f"f{family}s{i}" for i in range(60)]
+        for k in range(60):
+            own = [f"f{family}o{k}x{i}" for i in range(140)]
+            a, b = shared + own + [f"a{family}x{k}x{i}" for i in range(88)], shared + own + [f"b{family}x{k}x{i}" for i in range(88)]
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    assert 0.51 < min(similar_pairs([texts[i] for i in pairs[0]], 0.5).values()) < 0.54
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = groups(near_dup.near_duplicates(docs, leaf=16), range(len(texts)))
+    low = (near_dup.mix64(near_dup.signatures(*near_dup.shingles(pa.array(texts))).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+    # What is asked for is that pairs meet; whether they then count is the estimate's matter.
+    met = [(a, b) for a, b in pairs if near_dup._similar(low[a], low[b]) >= 0.5]
+    assert len(met) > 300 and sum(got[a] == got[b] for a, b in met) >= 0.95 * len(met)
+    alive = np.ones(20_000)
+    draw = np.random.default_rng(1)
+    for depth in range(1, 7):
+        alive = draw.binomial(alive.astype(np.int64) * 128, 1 / 128)
+        assert (alive > 0).mean() == pytest.approx(near_dup.survival(depth), abs=0.02)
+    assert 1 - (1 - near_dup.survival(6)) ** near_dup.trees_for(0.95, 6) >= 0.95 > 1 - (1 - near_dup.survival(6)) ** (near_dup.trees_for(0.95, 6) - 1)
+
+
+@pytest.mark.parametrize("depth", [2, 6])
+def test_near_duplicates_in_dealt_nodes(spark, depth):
+    """Nodes of more rows than a task may hold are dealt out, at the last level too; the groups stay the same."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = [base[:300] + [f"p{i}x{j}" for j in range(60)] for i in range(900)]
+    members = rng.sample(range(900), 60)
+    texts += [[f"c{i}x{j}" for j in range(95)] + texts[i][95:] for i in members]
+    half = [[f"h{i}" for i in range(200)] + [f"q{k}x{i}" for i in range(230)] for k in range(400)]  # alike, but less than the threshold
+    texts = [" ".join(t) for t in texts + half]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = groups(near_dup.near_duplicates(docs, held=64, depth=depth), range(len(texts)))
+    assert len({got[i] for i in range(900)}) == 1 and sum(got[900 + n] == got[i] for n, i in enumerate(members)) >= 0.97 * len(members)
+    assert all(got[i] == i for i in range(960, 1360))
+
+
+def test_near_duplicates_ids_of_any_kind(spark):
+    """Strings as ids, and ids that come with several texts, each of which counts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [("x", a), ("y", a + " more"), ("x", b), ("z", b + " end"), ("w", c), ("w", c), (None, a), ("v", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {tuple(r) for r in near_dup.near_duplicates(docs).collect()} == {("y", "x"), ("z", "x")}
+    numbers = {"x": 7, "y": 8, "z": 3, "w": 4, "v": 5, None: None}
+    small = spark.createDataFrame([(numbers[i], t) for i, t in rows], "doc_id int, text string")
+    assert {tuple(r) for r in near_dup.near_duplicates(small).collect()} == {(7, 3), (8, 3)}
+    assert near_dup.drop_near_duplicates(docs.withColumn("a.b", F.lit(1))).columns == ["doc_id", "text", "a.b"]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near_dup.near_duplicates(odd)
     assert [tuple(r) for r in got.collect()] == [(6, 5)]
