@@ -47,7 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
+    """All stages, applied to documents: doc_id, n_ids, ids, round_trip of every row of the mixture.
+
+    Each stage reads what the one before it wrote, and defines odd cases as its operator does: null,
+    empty and wordless texts go with the quality rules, so that later stages see none; null doc_ids,
+    sources and other columns pass through, a null source being one of its own; rows that repeat a
+    doc_id are one document from the near-duplicates on, null ids excepted. Of ties the first or least
+    stays, as each operator says. Very long texts are treated whole. documents may have further
+    columns with any names, which stay up to the last stage. An empty table gives no rows. Tables
+    between stages are dropped once they were read; the last one goes when the application ends.
+    """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
