@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from polyvec.plans import text_queries, vector_queries
+from polyvec.plans import engine_queries, text_queries, vector_queries
 
-_PARTS = (vector_queries, text_queries)
+_PARTS = (vector_queries, text_queries, engine_queries)
 
 
 def queries() -> dict:

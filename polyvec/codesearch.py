@@ -42,11 +42,7 @@ class CodeSearch:
         plan = plan.persist()
         done = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
         if done.get("changed", 0) + done.get("deleted", 0):
-            from polyvec.operators import metadata
-            from polyvec.operators.index import without
-
-            gone = self.engine.rows.join(plan.where("action in ('changed', 'deleted')"), "file", "left_semi").select("doc_id")
-            self.engine._commit(without(self.engine.index, gone), metadata.delete(self.engine.rows, gone))
+            self.engine.delete_ids(self.engine.rows.join(plan.where("action in ('changed', 'deleted')"), "file", "left_semi").select("doc_id"))
         fresh = scan.join(plan.where("action in ('added', 'changed')"), "file", "left_semi")
         rows = units.units(fresh.select("file", "source")).join(fresh.select("file", "hash", "mtime", "size"), "file")
         rows = numbered(rows, "file", "line", "end_line", "unit_type", "name").persist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def fold(text: Column) -> Column:
-    """Lower case, without diacritics."""
-    return F.lower(F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", ""))
+    """Lower case, without diacritics. Texts of plain letters only skip the table of signs."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.lower(F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", ""))).otherwise(F.lower(text))
 
 
 def fold_py(text: str) -> str:
@@ -25,6 +26,36 @@ def fold_py(text: str) -> str:
     return "".join(x for x in (_FOLD.get(c, c) for c in text) if unicodedata.category(x)[0] != "M").lower()
 
 
+#: A token of unicode_tokens() in the text as it is: marks go with the letter before them.
+WORD = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"
+
+
+@cache
+def _variants() -> dict[str, str]:
+    """For each letter all signs that fold to it."""
+    out: dict[str, list[str]] = {}
+    for n in (*range(0x30, 0x3000), 0x212A, 0x212B):
+        c = chr(n)
+        low = fold_py(c)
+        if len(low) == 1 and low != c:
+            out.setdefault(low, []).append(c)
+    return {k: "".join(v) for k, v in out.items()}
+
+
+def phrase_pattern(phrase: tuple[str, ...]) -> str:
+    """A regular expression that matches in a text, as it is, once for every place where the folded tokens
+    of the phrase follow each other."""
+    inside, marks = r"[\p{L}\p{N}\p{Co}\p{M}]", r"\p{M}*"
+
+    def sign(c: str) -> str:
+        more = _variants().get(c, "")
+        return (f"[{re.escape(c)}{more}]" if more else re.escape(c)) + marks
+
+    words = ["".join(map(sign, t)) for t in phrase]
+    rest = "".join(rf"[^\p{{L}}\p{{N}}\p{{Co}}]+{w}(?!{inside})" for w in words[1:])
+    return rf"(?<![\p{{L}}\p{{N}}\p{{Co}}]\p{{M}}{{0,8}}){words[0]}(?!{inside})" + (f"(?={rest})" if rest else "")
+
+
 def unicode_tokens(text: Column) -> Column:
     """Runs of letters and digits, folded; every other sign separates, the underscore too."""
     return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)

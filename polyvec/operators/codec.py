@@ -33,6 +33,9 @@ def unpack_buckets(packed: np.ndarray, nbits: int, dim: int) -> np.ndarray:
     return (bits << np.arange(nbits, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
 
 
+DIGITS = 5  # of residuals, for quantiles
+
+
 @dataclass
 class Codec:
     nbits: int
@@ -53,25 +56,63 @@ class Codec:
         return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
 
 
-def train(sample: np.ndarray, centroids: np.ndarray, nbits: int = 4) -> Codec:
-    """Cutoffs and weights from the residuals of held-out vectors; without any, all zero."""
-    codes = assign(sample, centroids) if len(sample) else np.zeros(0, np.int32)
-    rest = sample - centroids[codes] if len(sample) else np.zeros((0, centroids.shape[1]))
-    n = 1 << nbits
-    levels = np.arange(1, n) / n, (np.arange(n) + 0.5) / n
-    cutoffs, weights = (np.quantile(rest, q) if rest.size else np.zeros(len(q)) for q in levels)
-    lengths = np.linalg.norm(rest, axis=1)
-    return Codec(nbits, centroids, cutoffs, weights, np.abs(rest).mean(axis=0) if len(rest) else np.zeros(centroids.shape[1]), float(np.quantile(lengths, 0.75)) if len(lengths) else 0.0)
+def _residuals(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """kind, key, n, total: how often each rounded residual ("x") and length of a residual ("d") occurs, and the sums of
+    absolute residuals by dimension ("a"), added up by batch. Rounded to DIGITS there are few distinct values."""
+    shared = docs.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        for batch in batches:
+            e, _ = matrix(batch.column("embs"))
+            if not len(e):
+                continue
+            rest = e - shared.value[assign(e, shared.value)]
+            value, n = np.unique(rest.round(DIGITS), return_counts=True)
+            length, m = np.unique(np.linalg.norm(rest, axis=1).round(DIGITS), return_counts=True)
+            dims = np.arange(rest.shape[1], dtype=np.float64)
+            yield pa.record_batch(
+                [
+                    pa.array(["x"] * len(value) + ["d"] * len(length) + ["a"] * len(dims)),
+                    pa.array(np.concatenate((value + 0.0, length, dims))),
+                    pa.array(np.concatenate((n, m, np.full(len(dims), len(e)))).astype(np.int64)),
+                    pa.array(np.concatenate((np.zeros(len(value) + len(length)), np.abs(rest).sum(axis=0)))),
+                ],
+                names=["kind", "key", "n", "total"],
+            )
+
+    return docs.select("embs").mapInArrow(run, "kind string, key double, n long, total double").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def train(docs: DataFrame, centroids: np.ndarray, nbits: int = 4) -> Codec:
+    """Cutoffs and weights from the residuals of all tokens of docs(embs), in one pass over it whatever its
+    size; quantiles are those of residuals rounded to DIGITS. Without tokens all are zero."""
+    levels = [i / (1 << nbits) for i in range(1, 1 << nbits)] + [(i + 0.5) / (1 << nbits) for i in range(1 << nbits)]
+    counts = _residuals(docs, centroids).persist()
+    x = counts.where("kind = 'x'").agg(F.percentile("key", F.array(*map(F.lit, levels)), F.col("n"))).first()[0]
+    d = counts.where("kind = 'd'").agg(F.percentile("key", F.lit(0.75), F.col("n"))).first()[0]
+    sums = counts.where("kind = 'a'").orderBy("key").select("n", "total").collect()  # one row a dimension
+    counts.unpersist()
+    values = np.array(x if x is not None else [0.0] * len(levels))
+    cut = (1 << nbits) - 1
+    average = np.array([r["total"] / r["n"] for r in sums]) if sums else np.zeros(centroids.shape[1])
+    return Codec(nbits, centroids, values[:cut], values[cut:], average, d or 0.0)
 
 
 def merged_threshold(old: float, n_old: int, new: float, n_new: int) -> float:
     return (old * n_old + new * n_new) / (n_old + n_new) if n_old + n_new else 0.0
 
 
+def residual_quantile(docs: DataFrame, codec: Codec, level: float = 0.75) -> float:
+    """The quantile of the distances of the tokens of docs to their centroids; 0 without tokens."""
+    return _residuals(docs, codec.centroids).where("kind = 'd'").agg(F.percentile("key", F.lit(level), F.col("n"))).first()[0] or 0.0
+
+
 def encode_docs(docs: DataFrame, codec: Codec) -> DataFrame:
     """codes(doc_id, codes array<int>, residuals binary) of docs(doc_id, embs); no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches):
+        codec = shared.value
         for batch in batches:
             e, count = matrix(batch.column("embs"))
             codes, packed = codec.encode(e) if len(e) else (np.zeros(0, np.int32), np.zeros((0, 0), np.uint8))
@@ -104,6 +145,34 @@ def decode_docs(codes: DataFrame, codec: Codec) -> DataFrame:
     return codes.select("doc_id", "codes", "residuals").mapInArrow(run, "doc_id long, embs array<array<double>>")
 
 
+def buckets(codes: DataFrame, codec: Codec) -> DataFrame:
+    """doc_id, pos, centroid_id, buckets array<int>: the codes read out, token by token."""
+    dim, nbits = codec.centroids.shape[1], codec.nbits
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("codes")
+            count = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            code = np.asarray(lists.flatten())
+            if not len(code):
+                continue
+            raw = np.frombuffer(b"".join(x or b"" for x in batch.column("residuals").to_pylist()), np.uint8).reshape(len(code), -1)
+            own = unpack_buckets(raw, nbits, dim).astype(np.int32)
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(pos.astype(np.int32)), pa.array(code), pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * dim).astype(np.int32)), pa.array(own.ravel()))], names=["doc_id", "pos", "centroid_id", "buckets"])
+
+    return codes.select("doc_id", "codes", "residuals").mapInArrow(run, "doc_id long, pos int, centroid_id int, buckets array<int>")
+
+
+def reconstruct(codes: DataFrame, codec: Codec, ids: DataFrame, strict: bool = True) -> DataFrame:
+    """docs(doc_id, embs) of ids(doc_id), decoded. An id that has no codes is an error, or without strict
+    gives no vectors."""
+    chosen = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = decode_docs(codes.join(chosen, "doc_id", "left_semi"), codec)
+    missing = F.raise_error(F.concat(F.lit("no document "), F.col("doc_id").cast("string"))).cast("array<array<double>>") if strict else F.array().cast("array<array<double>>")
+    return chosen.join(found.withColumn("_there", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("_there"), F.col("embs")).otherwise(missing).alias("embs"))
+
+
 # The same steps as DataFrame operators: for SQL, and for tables without a fitted codec.
 
 

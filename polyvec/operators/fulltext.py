@@ -3,6 +3,9 @@
 postings(term, doc_id, positions), doc_stats(doc_id, dl) and a one-row table of totals. A query
 reads only the postings of its terms. Statistics are those of the whole index, also when a search
 is restricted to a subset.
+
+An index that isn't written has no postings to read: there each phrase is counted in the texts by one
+regular expression, in one pass whose small result (counts and lengths) serves totals and scores.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyvec.functions.text import TOKENIZERS, fold
+from polyvec.functions.text import TOKENIZERS, WORD, phrase_pattern
 from polyvec.operators.maxsim import ranked
 
 K1, B = 1.2, 0.75
@@ -46,8 +49,7 @@ def build(docs: DataFrame, tokenizer: str = "unicode61", text: str = "text") ->
     """The index of docs(doc_id, text). Null texts have no tokens but count as documents."""
     split = TOKENIZERS[tokenizer][0]
     tokens = docs.select("doc_id", F.coalesce(split(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    length = F.greatest(F.coalesce(F.length(text), F.lit(0)) - 2, F.lit(0)) if tokenizer == "trigram" else F.size("tokens")
-    stats = (docs if tokenizer == "trigram" else tokens).select("doc_id", length.cast("long").alias("dl"))
+    stats = docs.select("doc_id", length_of(tokenizer, F.col(text)).alias("dl"))
     own = docs.select("doc_id", F.col(text).alias("text"))
     return TextIndex(tokenizer, _postings(tokens), stats, stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), docs=own)
 
@@ -56,20 +58,59 @@ def _postings(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def _scanned(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
-    """The terms' postings from the texts themselves: only texts that hold all of a phrase are cut into tokens.
-
-    Identifier tokens may be put together from parts, so there every text is cut."""
-    split = TOKENIZERS[index.tokenizer][0]
-    rows = index.docs
-    if index.tokenizer != "identifier_aware":
-        plain = fold(F.col("text")) if index.tokenizer == "unicode61" else F.lower("text")
-        # Trigrams in a row are a substring; words of a phrase are all there at least.
-        needed = [[p[0] + "".join(t[-1] for t in p[1:])] if index.tokenizer == "trigram" else list(p) for p in phrases if p]
-        holds = [reduce(lambda a, b: a & b, [F.contains(F.col("_plain"), F.lit(t)) for t in words]) for words in needed]
-        rows = rows.select("doc_id", "text", plain.alias("_plain")).where(reduce(lambda a, b: a | b, holds))
-    tokens = rows.select("doc_id", split(F.col("text")).alias("tokens"))
-    return _postings(tokens).where(F.col("term").isin(sorted({t for p in phrases for t in p})))
+def write_segment(store, index: TextIndex) -> dict:
+    """Writes the tables of a built index as segments of a store; postings by ranges of terms, so that a
+    query skips most row groups. Tells the segments and their totals."""
+    postings = store.segment("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id"))
+    stats = store.segment("stats", index.doc_stats)
+    row = store.read([stats]).agg(F.count("*").alias("n"), F.sum("dl").alias("total")).first()
+    return {"postings": postings, "stats": stats, "n": row["n"], "total": row["total"] or 0}
+
+
+def segments(store, parts: list[dict], dead: DataFrame | None, n: int, total: int) -> TextIndex:
+    """The index made of segments: without the deleted ids, and without what later segments replace (stale)."""
+    from polyvec.operators.ids import alive
+
+    postings, stats = [], []
+    for part in parts:
+        own = [store.read([part["postings"]]), store.read([part["stats"]])]
+        for replaced in part["stale"]:
+            gone = store.read([replaced])
+            own = [t.join(gone, "doc_id", "left_anti") for t in own]
+        postings.append(own[0])
+        stats.append(own[1])
+    postings, stats = (alive(reduce(DataFrame.unionByName, t), dead) for t in (postings, stats))
+    totals = store.spark.createDataFrame([(n, total / n if n else 0.0)], "n long, avgdl double")
+    return TextIndex(parts[0]["tokenizer"], postings, stats, totals)
+
+
+def length_of(tokenizer: str, text: Column) -> Column:
+    """The number of tokens of a text."""
+    if tokenizer == "trigram":
+        n = F.greatest(F.length(text) - 2, F.lit(0))
+    elif tokenizer == "unicode61":
+        n = F.regexp_count(text, F.lit(WORD))
+    else:
+        n = F.size(TOKENIZERS[tokenizer][0](text))
+    return F.coalesce(n, F.lit(0)).cast("long")
+
+
+def _counted(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """doc_id, dl, tf0, tf1, ... of every text of an index that isn't written: how often each phrase is in it."""
+    text = F.col("text")
+    if index.tokenizer == "identifier_aware":
+        tokens = TOKENIZERS[index.tokenizer][0](text)
+        rows = index.docs.select("doc_id", length_of(index.tokenizer, text).alias("dl"), F.coalesce(tokens, F.array().cast("array<string>")).alias("_tokens"))
+        counts = [F.size(F.filter("_tokens", lambda t, p=p: t == p[0])) if p else F.lit(0) for p in phrases]
+    else:
+        # Trigrams in a row are a substring; words in a row are one expression.
+        patterns = [re.escape(p[0] + "".join(t[-1] for t in p[1:])) if index.tokenizer == "trigram" else phrase_pattern(p) for p in phrases if p]
+        patterns = iter([f"(?={x})" if index.tokenizer == "trigram" else x for x in patterns])
+        plain = F.lower(text) if index.tokenizer == "trigram" else text
+        rows = index.docs.select("doc_id", length_of(index.tokenizer, text).alias("dl"), plain.alias("_plain"))
+        counts = [F.coalesce(F.regexp_count("_plain", F.lit(next(patterns))), F.lit(0)) if p else F.lit(0) for p in phrases]
+    # One exchange of these small rows, used for the totals and for the scores.
+    return rows.select("doc_id", "dl", *[c.cast("int").alias(f"tf{i}") for i, c in enumerate(counts)]).repartition("doc_id")
 
 
 class QueryError(ValueError):
@@ -168,14 +209,11 @@ def _holds(tree, hit: list[Column], empty: list[bool]) -> Column:
     return _holds(left, hit, empty) & ~_holds(right, hit, empty)
 
 
-def matches(index: TextIndex, query: str) -> DataFrame:
-    """doc_id, score of every document that matches the query. Scores are positive, greater is better."""
-    tree, phrases = parse(query, index.tokenizer)
+def _frequencies(index: TextIndex, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """doc_id, tf0, tf1, ... of the documents that have a term of the phrases, from the postings."""
     spark = index.postings.sparkSession
     terms = sorted({t for p in phrases for t in p})
-    if tree is None or not terms:
-        return spark.createDataFrame([], "doc_id long, score double")
-    postings = index.postings.where(F.col("term").isin(terms)) if index.docs is None else _scanned(index, phrases)
+    postings = index.postings.where(F.col("term").isin(terms))
     if index.buckets:  # the partitions of these terms, by the same hash as in save()
         names = spark.createDataFrame([(t,) for t in terms], "term string")
         numbers = [r[0] for r in names.select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")).collect()]
@@ -198,27 +236,68 @@ def matches(index: TextIndex, query: str) -> DataFrame:
 
         return F.size(F.filter(at[phrase[0]], follows))
 
-    distinct = list(dict.fromkeys(phrases))
-    rows = rows.select("doc_id", *[count(p).alias(f"tf{i}") for i, p in enumerate(distinct)])
-    number = [distinct.index(p) for p in phrases]
+    return rows.select("doc_id", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+
+
+def matches_many(index: TextIndex, queries: dict[int, str]) -> DataFrame:
+    """query_id, doc_id, score of every document that matches a query. Scores are positive, greater is
+    better. All queries share one pass over postings or texts."""
+    spark = index.postings.sparkSession
+    parsed = {query_id: parse(text, index.tokenizer) for query_id, text in queries.items()}
+    parsed = {query_id: (tree, own) for query_id, (tree, own) in parsed.items() if tree is not None and any(own)}
+    phrases = list(dict.fromkeys(p for _, own in parsed.values() for p in own))
+    if not parsed:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double")
     # Document frequencies: one row, from the same candidates.
-    df = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))])
-    rows = rows.crossJoin(df).crossJoin(index.totals).join(index.doc_stats, "doc_id")
-    score = F.lit(0.0)
-    for i in number:
+    df = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
+    if index.docs is None:
+        rows = _frequencies(index, phrases)
+        rows = rows.crossJoin(rows.agg(*df)).crossJoin(index.totals).join(index.doc_stats, "doc_id")
+    else:
+        rows = _counted(index, phrases)
+        rows = rows.crossJoin(rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.count("doc_id").alias("_ids"), *df))
+    part = []
+    for i in range(len(phrases)):
         tf, n = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hit = [F.col(f"tf{i}") > 0 for i in number]
-    return rows.where(_holds(tree, hit, [not p for p in phrases])).select("doc_id", score.alias("score"))
+        part.append(idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    found = []
+    for query_id, (tree, own) in parsed.items():
+        number = [phrases.index(p) for p in own]
+        score = reduce(lambda a, b: a + b, [part[i] for i in number], F.lit(0.0))
+        holds = _holds(tree, [F.col(f"tf{i}") > 0 for i in number], [not p for p in own])
+        found.append(F.struct(F.lit(query_id).cast("long").alias("query_id"), F.when(holds & (F.col("n") > 0), score).alias("score")))
+    return rows.select("doc_id", F.explode(F.array(*found)).alias("f")).where("f.score is not null").select("f.query_id", "doc_id", "f.score")
 
 
-def search(index: TextIndex, query: str, k: int | None = 10, subset: DataFrame | None = None, query_id: int = 0) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best matches, of those in subset(doc_id) if given."""
-    found = matches(index, query)
+def matches(index: TextIndex, query: str) -> DataFrame:
+    """doc_id, score of every document that matches the query."""
+    return matches_many(index, {0: query}).select("doc_id", "score")
+
+
+def search_many(index: TextIndex, queries: dict[int, str], k: int | None = 10, subset: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best matches of each query, of those in subset(doc_id) if given."""
+    found = matches_many(index, queries)
     if subset is not None:
         found = found.join(subset.select("doc_id").distinct(), "doc_id", "left_semi")
-    return ranked(found.withColumn("query_id", F.lit(query_id)), k).select("query_id", "rank", "doc_id", "score")
+    return ranked(found, k).select("query_id", "rank", "doc_id", "score")
+
+
+def search(index: TextIndex, query: str, k: int | None = 10, subset: DataFrame | None = None, query_id: int = 0) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best matches, of those in subset(doc_id) if given."""
+    return search_many(index, {query_id: query}, k, subset)
+
+
+def any_of(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of asked(query_id, term): each query asks for any of its terms. For any number
+    of queries and terms: only joins by term, with frequencies counted from the same postings."""
+    asked = asked.distinct()
+    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi").select("term", "doc_id", F.size("positions").alias("tf"))
+    df = postings.groupBy("term").agg(F.count_if((F.col("tf") > 0) & F.col("doc_id").isNotNull()).alias("df"))
+    parts = postings.join(df, "term").join(index.doc_stats, "doc_id").crossJoin(index.totals)
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return parts.select("term", "doc_id", part.alias("part")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def updated(docs: DataFrame, changes: DataFrame) -> DataFrame:

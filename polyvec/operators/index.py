@@ -1,8 +1,8 @@
 """A vector index as versioned Parquet tables, and pruned search over it.
 
 Tables of a version: docs(doc_id, embs), codes(doc_id, codes, residuals), ivf(centroid_id, doc_id),
-and codec/meta as one-row tables. A writer makes a whole new version and then moves the pointer;
-readers keep the version they opened.
+a codebook, totals, and the table of deleted ids (operators/ids.py). A document goes by its position
+outside and by its stored id inside; the two are the same until something is deleted.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators import ids as places
 from polyvec.operators import kmeans
 from polyvec.operators.codec import Codec, encode_docs, train, unpacked
-from polyvec.operators.maxsim import ranked, segment_maxsim, top_rows
+from polyvec.operators.maxsim import ranked, segment_maxsim, slices_of
 from polyvec.operators.vectors import matrix, query_matrix
 
 
+HELD = 50_000  # vectors of the sample that the codec's cutoffs are taken from, about
+
+
 @dataclass(frozen=True)
 class IndexConfig:
     nbits: int = 4
@@ -46,6 +50,27 @@ class VectorIndex:
     codes: DataFrame
     ivf: DataFrame
     meta: dict = field(default_factory=dict)
+    dead: DataFrame | None = None  # blocks of deleted ids
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        return places.alive(rows, self.dead)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Live rows with positions in place of stored ids."""
+        return places.placed(rows, self.dead)
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """rows(doc_id, ...) with stored ids in place of positions; positions that nothing has are left out."""
+        if self.dead is None:
+            return rows
+        own = self.codes.select(F.col("doc_id").alias("_stored"), "doc_id")
+        return rows.join(self.placed(own), "doc_id").withColumn("doc_id", F.col("_stored")).select(*rows.columns)
+
+    def whole(self) -> VectorIndex:
+        """The same index with positions as stored ids and nothing deleted."""
+        if self.dead is None:
+            return self
+        return replace(self, docs=self.placed(self.docs), codes=self.placed(self.codes), ivf=self.placed(self.ivf), dead=None)
 
 
 def inverted(codes: DataFrame) -> DataFrame:
@@ -58,37 +83,148 @@ def statistics(codes: DataFrame) -> dict:
     return {"documents": n, "tokens": t, "average_tokens": t / n if n else 0.0}
 
 
-def create(docs: DataFrame, config: IndexConfig = IndexConfig(), centroids: np.ndarray | None = None) -> VectorIndex:
-    """An index of docs(doc_id, embs): codebook from a bounded sample, then one pass that encodes."""
+def create(docs: DataFrame, config: IndexConfig = IndexConfig(), centroids: np.ndarray | None = None, codec: Codec | None = None) -> VectorIndex:
+    """An index of docs(doc_id, embs): codebook from a sample, then one pass that encodes.
+
+    The sample grows with the root of the corpus and stays distributed, as does the part of it that
+    the codec's cutoffs come from; the driver sees the codebook alone. A given codec is used as it is."""
+    if codec is not None:
+        codes = encode_docs(docs, codec)
+        return VectorIndex(codec, docs, codes, inverted(codes), statistics(codes) | {"nbits": codec.nbits, "dimension": codec.centroids.shape[1], "centroids": len(codec.centroids)})
     n = docs.count()
-    sample = kmeans.sampled(docs, n, config.seed)
+    points = kmeans.sampled(docs, n, config.seed).persist()
+    tokens = points.count()
     if centroids is None:
         average = docs.agg(F.avg(F.size("embs"))).first()[0] or 0.0
-        k = config.centroids or kmeans.centroid_count(n, average, len(sample))
-        centroids = kmeans.lloyd(sample, k, config.rounds, config.seed, config.per_centroid) if len(sample) else np.zeros((1, 1))
-    held = sample[np.random.default_rng(config.seed).permutation(len(sample))[: max(1, min(50_000, len(sample) // 20))]] if len(sample) else sample
-    codec = train(held, centroids, config.nbits)
+        k = config.centroids or kmeans.centroid_count(n, average, tokens)
+        centroids = kmeans.lloyd(kmeans.thinned(points, tokens, k * config.per_centroid), k, config.rounds)
+    held = kmeans.thinned(points.withColumn("h", F.xxhash64("h", F.lit(config.seed))), tokens, min(HELD, max(1000, tokens // 20)))
+    codec = train(held.select(F.array("v").alias("embs")), centroids, config.nbits)
+    points.unpersist()
     codes = encode_docs(docs, codec)
     return VectorIndex(codec, docs, codes, inverted(codes), statistics(codes) | {"nbits": config.nbits, "dimension": centroids.shape[1], "centroids": len(centroids)})
 
 
-def probed(index: VectorIndex, queries: DataFrame, parameters: SearchParameters, eligible: np.ndarray | None = None, scale: float = 1.0):
-    """(query ids, first rows, products, cells): cells are the (query_id, centroid_id) to look into."""
-    ids, first, q = query_matrix(queries)
-    products = q @ index.codec.centroids.T if len(q) else np.zeros((0, len(index.codec.centroids)))
+def shared_book(index: VectorIndex, most_bytes: int = 2 << 30):
+    """The codebook as a broadcast variable; its size is checked first."""
+    book = index.codec.centroids
+    if book.nbytes > most_bytes:
+        raise ValueError(f"a codebook of {book.nbytes} bytes is more than a task should hold; build the index with fewer centroids")
+    return index.codes.sparkSession.sparkContext.broadcast(book)
+
+
+def best_cells(q: np.ndarray, book: np.ndarray, allowed: np.ndarray, n: int, threshold: float | None, block: int = 1 << 16) -> np.ndarray:
+    """The union of the n best of the allowed centroids for each row of q (of equal ones the lowest), without
+    those whose best product over all rows is below the threshold. In blocks of centroids, of which only
+    the n best of each row are kept."""
+    score, cell = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+    most = np.full(len(allowed), -np.inf)
+    for s in range(0, len(allowed), block):
+        part = q @ book[allowed[s : s + block]].T
+        most[s : s + block] = part.max(axis=0)
+        score = np.concatenate((score, part), axis=1)
+        cell = np.concatenate((cell, np.broadcast_to(np.arange(s, s + part.shape[1]), part.shape)), axis=1)
+        order = np.lexsort((cell, -score), axis=1)[:, :n]
+        score, cell = np.take_along_axis(score, order, 1), np.take_along_axis(cell, order, 1)
+    best = np.unique(cell)
+    return allowed[best if threshold is None else best[most[best] >= threshold]]
+
+
+def probe(index: VectorIndex, queries: DataFrame, parameters: SearchParameters, eligible: np.ndarray | None = None, scale: float = 1.0) -> DataFrame:
+    """cells(query_id, centroid_id) to look into, found in tasks by whole queries."""
     allowed = np.arange(len(index.codec.centroids)) if eligible is None else eligible
     n = min(len(allowed), max(1, int(np.ceil(parameters.probes * scale))))
-    cells: set[tuple[int, int]] = set()
-    ends = np.append(first[1:], len(q)) if len(first) else first
-    for query, a, b in zip(ids.tolist(), first, ends, strict=True):
-        if not len(allowed):
-            break
-        own = products[a:b, allowed]
-        best = np.unique(np.argpartition(-own, n - 1, axis=1)[:, :n])
-        if parameters.centroid_threshold is not None:
-            best = best[own[:, best].max(axis=0) >= parameters.centroid_threshold]
-        cells |= {(query, int(allowed[c])) for c in best}
-    return ids, first, products, sorted(cells)
+    shared = shared_book(index)
+    threshold = parameters.centroid_threshold
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("vecs")
+            count = np.asarray(lists.value_lengths()).astype(np.int64)
+            q = np.asarray(lists.flatten().flatten())
+            q = q.reshape(int(count.sum()), -1)
+            ends = np.cumsum(count)
+            found = [best_cells(q[e - c : e], shared.value, allowed, n, threshold) if c and len(allowed) else allowed[:0] for c, e in zip(count, ends, strict=True)]
+            size = [len(f) for f in found]
+            yield pa.record_batch([batch.column("query_id").take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))], names=["query_id", "centroid_id"])
+
+    own = queries.groupBy("query_id").agg(F.collect_list(F.col("qvec").cast("array<double>")).alias("vecs"))
+    return own.select(F.col("query_id").cast("long").alias("query_id"), "vecs").mapInArrow(run, "query_id long, centroid_id int")
+
+
+def probe_plan(index: VectorIndex, subset: DataFrame | None) -> tuple[DataFrame, DataFrame, np.ndarray | None, float]:
+    """(codes, lists, eligible centroids, scale of probes) of a search within subset(doc_id), positions."""
+    if subset is None:
+        return index.codes, index.ivf, None, 1.0
+    chosen = index.stored(subset.select("doc_id").distinct())
+    codes, ivf = index.codes.join(chosen, "doc_id", "left_semi"), index.ivf.join(chosen, "doc_id", "left_semi")
+    eligible = np.array(sorted(r[0] for r in ivf.select("centroid_id").distinct().collect()), np.int64)  # at most the codebook
+    size = chosen.count()
+    return codes, ivf, eligible, max(1.0, index.meta["documents"] / size) if size else 1.0
+
+
+def candidates(index: VectorIndex, ivf: DataFrame, cells: pa.Table) -> DataFrame:
+    """query_id, doc_id of every live document in the lists of a query's cells. cells is bounded by the query
+    batch: tokens times probes. The lists are clustered by centroid, so the scan skips the others."""
+    spark = index.codes.sparkSession
+    wanted = cells.column("centroid_id").unique().to_pylist()
+    lists = ivf.where(F.col("centroid_id").isin(wanted)) if len(wanted) <= 10_000 else ivf
+    return index.alive(lists.join(spark.createDataFrame(cells), "centroid_id").select("query_id", "doc_id").distinct())
+
+
+def rough_scores(index: VectorIndex, codes: DataFrame, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of pairs(query_id, doc_id): late interaction of the query with the centroids
+    of the document's tokens."""
+    ids, first, q = query_matrix(queries)
+    number = {int(x): i for i, x in enumerate(ids)}
+    shared, asked = shared_book(index), index.codes.sparkSession.sparkContext.broadcast(q)
+    wanted = pairs.groupBy("doc_id").agg(F.collect_set("query_id").alias("queries"))
+
+    def run(batches):
+        for whole in batches:
+            lengths = np.asarray(whole.column("codes").value_lengths().fill_null(0)).astype(np.int64)
+            for s, n in slices_of(lengths, len(asked.value)):
+                batch, count = whole.slice(s, n), lengths[s : s + n]
+                own, at = np.unique(np.asarray(batch.column("codes").flatten()), return_inverse=True)
+                products = shared.value[own] @ asked.value.T if len(own) else np.zeros((0, len(asked.value)))
+                scores = segment_maxsim(products[at], count, first)
+                named = batch.column("queries")
+                row = np.repeat(np.arange(n), np.asarray(named.value_lengths()))
+                column = np.array([number[x] for x in named.flatten().to_pylist()], np.int64)
+                yield pa.record_batch([pa.array(ids[column], pa.int64()), batch.column("doc_id").take(pa.array(row)), pa.array(scores[row, column])], names=["query_id", "doc_id", "score"])
+
+    return codes.join(wanted, "doc_id").select("doc_id", "codes", "queries").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def exact_scores(index: VectorIndex, codes: DataFrame, kept: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, score, worse of kept(query_id, doc_id, score): from the decoded vectors; worse is
+    minus the rough score, for ties."""
+    ids, first, q = query_matrix(queries)
+    number = {int(x): i for i, x in enumerate(ids)}
+    codec = replace(index.codec, centroids=None)
+    shared, asked = shared_book(index), index.codes.sparkSession.sparkContext.broadcast(q)
+    wanted = kept.select("doc_id", F.struct("query_id", F.col("score").alias("rough")).alias("q")).groupBy("doc_id").agg(F.collect_list("q").alias("queries"))
+
+    def run(batches):
+        own_codec = replace(codec, centroids=shared.value)
+        for whole in batches:
+            lengths = np.asarray(whole.column("codes").value_lengths().fill_null(0)).astype(np.int64)
+            for s, n in slices_of(lengths, len(asked.value)):
+                batch = whole.slice(s, n)
+                e, count = unpacked(batch, own_codec)
+                scores = segment_maxsim(e @ asked.value.T if len(e) else np.zeros((0, len(asked.value))), count, first)
+                rows = [(w["query_id"], i, w["rough"]) for i, own in enumerate(batch.column("queries").to_pylist()) for w in own]
+                if not rows:
+                    continue
+                qid, row, rough = (np.array(x) for x in zip(*rows, strict=True))
+                column = np.array([number[int(x)] for x in qid])
+                yield pa.record_batch([pa.array(qid, pa.int64()), batch.column("doc_id").take(pa.array(row)), pa.array(scores[row, column]), pa.array(-rough)], names=["query_id", "doc_id", "score", "worse"])
+
+    return codes.join(wanted, "doc_id").select("doc_id", "codes", "residuals", "queries").mapInArrow(run, "query_id long, doc_id long, score double, worse double")
+
+
+def rough_limit(parameters: SearchParameters) -> int:
+    return min(parameters.full_scores, max(parameters.full_scores // 4, parameters.k))
 
 
 def search(index: VectorIndex, queries: DataFrame, parameters: SearchParameters = SearchParameters(), subset: DataFrame | None = None) -> DataFrame:
@@ -100,58 +236,25 @@ def search(index: VectorIndex, queries: DataFrame, parameters: SearchParameters
     the more of them the smaller it is. Without candidates the result is empty.
     """
     spark = index.codes.sparkSession
-    eligible, scale = None, 1.0
-    codes, ivf = index.codes, index.ivf
-    if subset is not None:
-        chosen = subset.select("doc_id").distinct()
-        codes, ivf = codes.join(chosen, "doc_id", "left_semi"), ivf.join(chosen, "doc_id", "left_semi")
-        eligible = np.array(sorted(r[0] for r in ivf.select("centroid_id").distinct().collect()), np.int64)  # at most the codebook
-        size = chosen.count()
-        scale = max(1.0, index.meta["documents"] / size) if size else 1.0
-    ids, first, products, cells = probed(index, queries, parameters, eligible, scale)
-    if not cells:
+    codes, ivf, eligible, scale = probe_plan(index, subset)
+    cells = probe(index, queries, parameters, eligible, scale).toArrow()
+    if not cells.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    cell_rows = spark.createDataFrame(cells, "query_id long, centroid_id int")
-    candidates = ivf.join(cell_rows, "centroid_id").groupBy("doc_id").agg(F.collect_set("query_id").alias("queries"))
-    limit = min(parameters.full_scores, max(parameters.full_scores // 4, parameters.k))
-    codec = index.codec
-    q = query_matrix(queries)[2]
-    number = {int(x): i for i, x in enumerate(ids)}
+    rough = rough_scores(index, codes, candidates(index, ivf, cells), queries)
+    kept = ranked(rough, rough_limit(parameters)).select("query_id", "doc_id", "score")
+    full = exact_scores(index, codes, kept, queries)
+    found = ranked(full, parameters.k, "worse", "doc_id").select("query_id", "rank", "doc_id", "score")
+    return index.placed(found)
 
-    def approximate(batches):
-        for batch in batches:
-            lists = batch.column("codes")
-            count = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
-            code = np.asarray(lists.flatten())
-            scores = segment_maxsim(products[:, code].T if len(code) else np.zeros((0, len(products))), count, first)
-            wanted = batch.column("queries")
-            row = np.repeat(np.arange(len(count)), np.asarray(wanted.value_lengths()))
-            column = np.array([number[x] for x in wanted.flatten().to_pylist()], np.int64)
-            yield pa.record_batch([pa.array(ids[column], pa.int64()), batch.column("doc_id").take(pa.array(row)), pa.array(scores[row, column])], names=["query_id", "doc_id", "score"])
-
-    rough = codes.join(candidates, "doc_id").select("doc_id", "codes", "queries").mapInArrow(approximate, "query_id long, doc_id long, score double")
-    kept = ranked(rough, limit).select("doc_id", F.struct("query_id", F.col("score").alias("rough")).alias("q")).groupBy("doc_id").agg(F.collect_list("q").alias("queries"))
-
-    def exact(batches):
-        for batch in batches:
-            e, count = unpacked(batch, codec)
-            scores = segment_maxsim(e @ q.T if len(e) else np.zeros((0, len(q))), count, first)
-            wanted = batch.column("queries").to_pylist()
-            rows = [(w["query_id"], i, w["rough"]) for i, own in enumerate(wanted) for w in own]
-            if not rows:
-                continue
-            qid, row, rough_score = (np.array(x) for x in zip(*rows, strict=True))
-            column = np.array([number[int(x)] for x in qid])
-            yield pa.record_batch([pa.array(qid, pa.int64()), batch.column("doc_id").take(pa.array(row)), pa.array(scores[row, column]), pa.array(-rough_score)], names=["query_id", "doc_id", "score", "worse"])
-
-    full = codes.join(kept, "doc_id").select("doc_id", "codes", "residuals", "queries").mapInArrow(exact, "query_id long, doc_id long, score double, worse double")
-    return ranked(full, parameters.k, "worse", "doc_id").select("query_id", "rank", "doc_id", "score")
 
-
-def exact_search(index: VectorIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+def exact_search(index: VectorIndex, queries: DataFrame, k: int = 10, subset: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score of every live document, or of those in subset(doc_id)."""
     from polyvec.operators.maxsim import maxsim_topk
 
-    return maxsim_topk(index.docs, queries, k)
+    rows = index.alive(index.docs)
+    if subset is not None:
+        rows = rows.join(index.stored(subset.select("doc_id").distinct()), "doc_id", "left_semi")
+    return index.placed(maxsim_topk(rows, queries, k))
 
 
 # Maintenance
@@ -161,26 +264,39 @@ def append(index: VectorIndex, docs: DataFrame) -> VectorIndex:
     """The index with docs after its own; codebook and lists of the old documents stay."""
     codes = encode_docs(docs, index.codec)
     all_codes = index.codes.unionByName(codes)
-    return replace(index, docs=index.docs.unionByName(docs), codes=all_codes, ivf=index.ivf.unionByName(inverted(codes)), meta=index.meta | statistics(all_codes))
+    return replace(index, docs=index.docs.unionByName(docs), codes=all_codes, ivf=index.ivf.unionByName(inverted(codes)), meta=index.meta | added(index.meta, statistics(codes)))
 
 
-def expand(index: VectorIndex, docs: DataFrame, most: int = 200_000) -> Codec:
-    """A codec with centroids for the tokens of docs that are farther from all others than the threshold."""
-    codec = index.codec
+def added(old: dict, new: dict, sign: int = 1) -> dict:
+    """Totals of two sets of documents together; sign -1 takes the second away."""
+    n, t = (old.get(k, 0) + sign * new[k] for k in ("documents", "tokens"))
+    return {"documents": n, "tokens": t, "average_tokens": t / n if n else 0.0}
+
+
+def outlying(index: VectorIndex, docs: DataFrame) -> DataFrame:
+    """points(h, v): the tokens of docs that are farther from all centroids than the threshold."""
+    shared, limit = shared_book(index), index.codec.threshold**2
 
     def far(batches):
         for batch in batches:
             e, _ = matrix(batch.column("embs"))
-            if len(e):
-                near = np.maximum(0, (e * e).sum(axis=1)[:, None] - 2 * e @ codec.centroids.T + (codec.centroids**2).sum(axis=1)[None, :]).min(axis=1)
-                out = e[near > codec.threshold**2]
+            book = shared.value
+            for s in range(0, len(e), step := max(1, (32 << 20) // max(1, len(book)))):
+                part = e[s : s + step]
+                near = np.maximum(0, (part * part).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)[None, :]).min(axis=1)
+                out = part[near > limit]
                 yield pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), e.shape[1]).cast(pa.list_(pa.float64()))], names=["v"])
 
-    got = docs.select("embs").mapInArrow(far, "v array<double>").orderBy(F.xxhash64("v"), "v").limit(most).toArrow().column("v").combine_chunks()
-    if not len(got):
-        return codec
-    new = kmeans.expansion(got.flatten().to_numpy().reshape(len(got), -1))
-    return replace(codec, centroids=np.concatenate([codec.centroids, new]))
+    return docs.select("embs").mapInArrow(far, "v array<double>").select(F.xxhash64("v").alias("h"), "v")
+
+
+def expand(index: VectorIndex, docs: DataFrame) -> Codec:
+    """A codec with centroids for all tokens of docs that are farther from all others than the threshold."""
+    points = outlying(index, docs).persist()
+    n = points.count()
+    codec = replace(index.codec, centroids=np.concatenate([index.codec.centroids, kmeans.expansion(points, n)])) if n else index.codec
+    points.unpersist()
+    return codec
 
 
 def update(index: VectorIndex | None, docs: DataFrame, buffered: DataFrame | None = None, config: IndexConfig = IndexConfig()) -> tuple[VectorIndex, str]:
@@ -192,6 +308,7 @@ def update(index: VectorIndex | None, docs: DataFrame, buffered: DataFrame | Non
     """
     if index is None:
         return create(docs, config), "create"
+    index = index.whole()
     n = docs.count()
     if index.meta["documents"] + n <= config.start_from_scratch:
         return create(index.docs.unionByName(docs), config), "rebuild"
@@ -204,17 +321,21 @@ def update(index: VectorIndex | None, docs: DataFrame, buffered: DataFrame | Non
     return append(replace(index, codec=expand(index, docs)), docs), "expand"
 
 
-def renumber(rows: DataFrame, key: str = "doc_id", block: int = 1 << 16) -> DataFrame:
-    """rows with dense keys from 0 in the order of the old ones; rows of one key keep one key.
+def dense(keys: DataFrame, key: str = "doc_id", block: int = 1 << 16) -> DataFrame:
+    """key, _new: dense numbers from 0 for the distinct keys, in their order.
 
     Blocks of the key space are counted, a running sum over the (small) table of blocks gives each
     its start, and ranks within blocks are independent: there is no window over the whole table.
     """
-    keys = rows.select(key).distinct().withColumn("_block", F.floor(F.col(key) / block))
+    keys = keys.select(key).distinct().withColumn("_block", F.floor(F.col(key) / block))
     starts = keys.groupBy("_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("_block").orderBy(key)) - 1
-    new = keys.withColumn("_place", place).join(starts, "_block").select(key, (F.col("_start") + F.col("_place")).cast("long").alias("_new"))
-    return rows.join(new, key).withColumn(key, F.col("_new")).select(*rows.columns)
+    return keys.withColumn("_place", place).join(starts, "_block").select(key, (F.col("_start") + F.col("_place")).cast("long").alias("_new"))
+
+
+def renumber(rows: DataFrame, key: str = "doc_id", block: int = 1 << 16) -> DataFrame:
+    """rows with dense keys from 0 in the order of the old ones; rows of one key keep one key."""
+    return rows.join(dense(rows, key, block), key).withColumn(key, F.col("_new")).select(*rows.columns)
 
 
 def numbered(rows: DataFrame, *keys: str, name: str = "doc_id", buckets: int = 4096) -> DataFrame:
@@ -239,7 +360,8 @@ def running_start(rows: DataFrame, key: str, value: str, name: str, block: int =
 
 def without(index: VectorIndex, gone: DataFrame, renumber_ids: bool = True) -> VectorIndex:
     """The index without the documents of gone(doc_id); ids that it lacks are ignored. The survivors
-    are numbered anew from 0, unless told otherwise."""
+    are numbered anew from 0, unless told otherwise. This makes new tables; Engine.delete() only marks."""
+    index = index.whole()
     ids = gone.select("doc_id").distinct()
     docs, codes = (t.join(ids, "doc_id", "left_anti") for t in (index.docs, index.codes))
     if renumber_ids:
@@ -249,12 +371,14 @@ def without(index: VectorIndex, gone: DataFrame, renumber_ids: bool = True) -> V
 
 def evict(index: VectorIndex, most: int) -> VectorIndex:
     """The index with its newest `most` documents."""
+    index = index.whole()
     extra = index.meta["documents"] - most
     return without(index, index.codes.where(F.col("doc_id") < extra)) if extra > 0 else index
 
 
 def repair(index: VectorIndex, metadata: DataFrame) -> tuple[VectorIndex, DataFrame]:
     """Index and metadata(doc_id, ...) cut to the documents that both have."""
+    index = index.whole()
     n = min(index.meta["documents"], metadata.count())
     keep = F.col("doc_id") < n
     codes = index.codes.where(keep)

@@ -30,6 +30,19 @@ def segment_maxsim(scores: np.ndarray, count: np.ndarray, first: np.ndarray) ->
     return np.add.reduceat(out, first, axis=1)
 
 
+def slices_of(count: np.ndarray, width: int, entries: int = 8 << 20):
+    """(first, number) of documents in turn, so that their tokens times width are about `entries` at most
+    (one document at least): what a task multiplies at once is bounded whatever the batch."""
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + entries // max(1, width), side="right")))
+        stop = min(stop, start + max(1, entries // max(1, width)))
+        yield start, stop - start
+        start = stop
+
+
 def top_rows(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the entries that may be among the k best of their column, ties included."""
     if k is None or len(scores) <= k:
@@ -56,8 +69,14 @@ def maxsim_topk(docs: DataFrame, queries: DataFrame, k: int | None = 10, single:
     kind = np.float32 if single else np.float64
     q = q.astype(kind)
 
+    def _sliced(batches):
+        for whole in batches:
+            lengths = np.asarray(whole.column("embs").value_lengths().fill_null(0)).astype(np.int64)
+            for s, n in slices_of(lengths, len(q)):
+                yield whole.slice(s, n), lengths[s : s + n]
+
     def run(batches):
-        for batch in batches:
+        for batch, _ in _sliced(batches):
             e, count = matrix(batch.column("embs"), kind)
             if not len(ids):
                 continue

@@ -6,7 +6,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANGUAGES = {
@@ -228,6 +228,20 @@ def update_plan(state: DataFrame, scan: DataFrame) -> DataFrame:
     return scan.join(old, "file", "full_outer").select("file", action.alias("action"))
 
 
+def strided(rows: DataFrame, keys: list[str], stride: int = 64) -> DataFrame:
+    """rows with place: those at every stride-th place of the order of keys (which tell rows apart) come
+    first, so that what is encoded first is a sample of everything. Ordered by ranges, not as a whole."""
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_start", before).drop("_n")
+    i = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    n = rows.count()
+    first = -(-n // stride)
+    place = F.when(F.col("_i") % stride == 0, F.expr(f"_i div {stride}")).otherwise(first + F.col("_i") - F.expr(f"_i div {stride}") - 1)
+    return ranged.join(starts, "_part").withColumn("_i", i).withColumn("place", place.cast("long")).select(*rows.columns, "place")
+
+
 def distinct_texts(rows: DataFrame, text: str = "text") -> DataFrame:
     """Each text once, with the number of rows that share it: what has to be encoded."""
     return rows.where(F.col(text).isNotNull()).groupBy(text).agg(F.count("*").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,22 @@ def every_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.col("pos").alias("qpos"), F.col("emb").alias("qvec"))
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder that all executors share, for queries that write: below spark.checkpoint.dir, or a
+    temporary one on a local master. It goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/polyvec-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 TOKENS = "t as (select vec_id, cast(floor(vec_id / 5) as bigint) as doc_id, cast(vec_id % 5 as int) as pos, embedding::double[] as e from embeddings)"
 SCORES = TOKENS + """,
 best as (select q.doc_id as query_id, d.doc_id as doc_id, q.pos as qpos, max(list_inner_product(q.e, d.e)) as s from t q cross join t d group by all),

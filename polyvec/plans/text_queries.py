@@ -53,20 +53,18 @@ def bm25_filtered(spark, sf_dir):
 
 def bm25_every_item(spark, sf_dir):
     """Every benchmark item as a query for any of its words; the ten best documents of each."""
-    index = _index(spark, sf_dir)
-    terms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(texts.unicode_tokens(F.col("text")))).alias("term"))
-    asked = terms.select("term").distinct()
-    # Only the query terms' postings are scored; the exchange on term serves both joins.
-    postings = index.postings.join(asked, "term", "left_semi").select("term", "doc_id", F.size("positions").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    parts = postings.join(df, "term").join(index.doc_stats, "doc_id").crossJoin(index.totals)
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (fulltext.K1 + 1) / (F.col("tf") + fulltext.K1 * (1 - fulltext.B + fulltext.B * F.col("dl") / F.col("avgdl")))
-    return _ranked(parts.select("term", "doc_id", part.alias("part")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")))
+    terms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(texts.unicode_tokens(F.col("text"))).alias("term"))
+    return _ranked(fulltext.any_of(_index(spark, sf_dir), terms))
 
 
 def trigram_search(spark, sf_dir):
-    return fulltext.matches(_index(spark, sf_dir, "trigram"), '"icense"').select("doc_id")
+    return _found(spark, sf_dir, '"icense"', "trigram")
+
+
+def bm25_many(spark, sf_dir):
+    """Three queries in one pass, cut at five each."""
+    found = fulltext.search_many(_index(spark, sf_dir), {1: "license", 2: '"public license"', 7: "idiot OR moron"}, None)
+    return _ranked(found.drop("rank"), 5)
 
 
 def identifier_tokens(spark, sf_dir):
@@ -329,44 +327,35 @@ def embedding_text(spark, sf_dir):
     return units.units(files).select("file", "name", F.length(units.embedding_text()).alias("size"))
 
 
-def stream_ingest_microbatch(spark, sf_dir):
-    """The events table as a stream, drained in micro-batches into a table of running counts."""
-    import uuid
-
-    schema = read(spark, sf_dir, "events").schema
-    name = f"events_{uuid.uuid4().hex}"
-    from polyvec.streaming.ingest import batched_counts
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query = batched_counts(stream, "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 QUERIES = {name: _where(*spec[0]) for name, spec in PREDICATES.items()} | {
     f.__name__: f
     for f in (
-        bm25_term, bm25_and, bm25_or, bm25_not, bm25_phrase, bm25_filtered, bm25_every_item, trigram_search, identifier_tokens, unicode_tokens, fuse_rrf, fuse_relative, hybrid_search, metadata_get_by_ids, metadata_check,
+        bm25_term, bm25_and, bm25_or, bm25_not, bm25_phrase, bm25_filtered, bm25_every_item, bm25_many, trigram_search, identifier_tokens, unicode_tokens, fuse_rrf, fuse_relative, hybrid_search, metadata_get_by_ids, metadata_check,
         metadata_distinct, metadata_count, metadata_update_where, metadata_schema_evolution, deleted_gap_ranges, repair_tail, glob_include, glob_exclude, glob_exclude_dirs, path_prefix, text_pattern_union, text_pattern_fixed,
-        matching_lines, path_penalty, file_coherence, collapse_by_file, merge_by_file, rerank_signals, merged_ranges, html_units, document_units, call_graph, update_plan, dedup_texts, language_of_path, embedding_text, stream_ingest_microbatch,
+        matching_lines, path_penalty, file_coherence, collapse_by_file, merge_by_file, rerank_signals, merged_ranges, html_units, document_units, call_graph, update_plan, dedup_texts, language_of_path, embedding_text,
     )
 }
 
 _LICENSE_LINE = "regexp_matches(text, '(?i)licensed under')"
 
+PHRASE_SQL = f"""with {TOKEN_SQL}, f as (select doc_id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'public' and tokens[i + 1] = 'license')) as tf from tok), c as (select count(*) filter (tf > 0) as df from f)
+select f.doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as score from f join dl using (doc_id) cross join tot cross join c where tf > 0"""
+
 SQL = {name: f"select doc_id, lang, source, n_chars from documents where {spec[1]}" for name, spec in PREDICATES.items()} | {
     "bm25_term": _bm25(["license"], "tf0 > 0"),
     "bm25_and": _bm25(["licensed", "version"], "tf0 > 0 and tf1 > 0"),
     "bm25_or": _bm25(["license", "idiot", "moron"], "tf0 + tf1 + tf2 > 0"),
     "bm25_not": _bm25(["license", "mit"], "tf0 > 0 and tf1 = 0"),
-    "bm25_phrase": f"""with {TOKEN_SQL}, f as (select doc_id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'public' and tokens[i + 1] = 'license')) as tf from tok), c as (select count(*) filter (tf > 0) as df from f)
-select f.doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as score from f join dl using (doc_id) cross join tot cross join c where tf > 0""",
+    "bm25_phrase": PHRASE_SQL,
     "bm25_filtered": f"with s as ({_bm25(['license', 'the'], 'tf0 + tf1 > 0')}) " + top("(select 0 as query_id, doc_id, score from s where doc_id in (select doc_id from documents where lang = 'en'))"),
     "bm25_every_item": rf"""with {TOKEN_SQL}, q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+')) as term from benchmark),
 post as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from tok) where term in (select term from q) group by all),
 df as (select term, count(*) as df from post group by term),
 s as (select q.query_id, post.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join post using (term) join df using (term) join dl using (doc_id) cross join tot group by all) {top('s')}""",
-    "trigram_search": "select doc_id from documents where contains(lower(text), 'icense')",
+    "trigram_search": """with f as (select doc_id, greatest(length(text) - 2, 0) as dl, len(string_split(lower(text), 'icense')) - 1 as tf from documents), tot as (select count(*) as n, avg(dl) as avgdl, count(*) filter (tf > 0) as df from f)
+select doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as score from f, tot where tf > 0""",
+    "bm25_many": "with s as (select 1 as query_id, * from (" + _bm25(["license"], "tf0 > 0") + ") union all select 2 as query_id, * from (" + PHRASE_SQL + ") union all select 7 as query_id, * from (" + _bm25(["idiot", "moron"], "tf0 + tf1 > 0") + ")) select cast(query_id as bigint) as query_id, rank, doc_id, score from (" + top("s", 5) + ")",
+    "identifier_tokens": "with w as (select p_partkey, string_split(p_name, ' ') as p, lower(replace(p_type, ' ', '_')) as t from part) select p_partkey, array_to_string(p, '') || ' ' || array_to_string(p, ' ') || case when len(p) > 1 then ' ' || array_to_string(list_transform(range(1, len(p)), lambda i: p[i] || '_' || p[i + 1]), ' ') else '' end || ' ' || t as tokens from w",
     "unicode_tokens": f"with {TOKEN_SQL} select doc_id, array_to_string(tokens, ' ') as tokens from tok",
     "fuse_rrf": _fuse_sql(_RRF),
     "fuse_relative": _fuse_sql(_RELATIVE),
@@ -396,5 +385,4 @@ s as (select q.query_id, post.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5
     "update_plan": "with o as (select doc_id || '.md' as file, length(lang) as h, doc_id % 3 as m from documents), s as (select (doc_id + 7) || '.md' as file, quality + 1 as h, doc_id % 3 as m from labels) select coalesce(s.file, o.file) as file, case when o.h is null then 'added' when s.h is null then 'deleted' when s.m = o.m then 'unchanged' when s.h = o.h then 'touched' else 'changed' end as action from s full join o on s.file = o.file",
     "dedup_texts": "select md5(text) as digest, count(*) as n from documents where text is not null group by text",
     "language_of_path": rf"with {_CAND} select unit_id, case when file like '%.py' then 'python' when file like '%.ts' or file like '%.tsx' then 'typescript' when file like '%.kt' then 'kotlin' when file like '%.rs' then 'rust' end as language from c",
-    "stream_ingest_microbatch": "select event_type, count(*) as n from events group by event_type",
 }

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyvec.functions.predicate import where
 from polyvec.operators import codec as codecs
+from polyvec.operators import ids, maxsim, metrics, pooling
 from polyvec.operators import index as indexes
-from polyvec.operators import maxsim, metrics, pooling
-from polyvec.operators.vectors import dot, every_task, normalized
+from polyvec.operators.vectors import dot, normalized
 from polyvec.plans.base import ASSIGNED, CENTROIDS, SCORES, TOKENS, docs, every_query, read, tokens, top
 
 K = 10
@@ -68,27 +68,28 @@ def ivf_build(spark, sf_dir):
     return codecs.inverted_lists(_assigned(spark, sf_dir)).groupBy("centroid_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def _probe(spark, sf_dir, eligible: DataFrame | None = None, scale=None, probes: int = PROBES, threshold: float | None = THRESHOLD):
-    """cells(query_id, centroid_id): the best of each query token whose best product over the query is high enough."""
-    centroids = _centroids(spark, sf_dir)
-    if eligible is not None:
-        centroids = centroids.join(eligible, "centroid_id", "left_semi")
-    products = every_query(spark, sf_dir).crossJoin(every_task(centroids)).select("query_id", "qpos", "centroid_id", dot(F.col("qvec"), F.col("vec")).alias("s"))
-    place = F.row_number().over(Window.partitionBy("query_id", "qpos").orderBy(F.col("s").desc(), "centroid_id"))
-    products = products.withColumn("most", F.max("s").over(Window.partitionBy("query_id", "centroid_id"))).withColumn("place", place)
-    if scale is None:
-        products = products.withColumn("probes", F.lit(probes))
-    else:
-        products = products.crossJoin(F.broadcast(scale))
-    cells = products.where(F.col("place") <= F.col("probes"))
-    if threshold is not None:
-        cells = cells.where(F.col("most") >= threshold)
-    return cells.select("query_id", "centroid_id").distinct(), products
+def _book(spark, sf_dir):
+    """The label centroids as the codebook: one row a label."""
+    return np.array([r["vec"] for r in _centroids(spark, sf_dir).orderBy("centroid_id").collect()])
+
+
+CUTOFFS, WEIGHTS = [(i - 7) * 0.035 for i in range(15)], [(i - 7.5) * 0.035 for i in range(16)]
+
+
+def _fixed_index(spark, sf_dir):
+    """An index whose codec does not hang on sampling: label centroids, evenly spaced buckets."""
+    book = _book(spark, sf_dir)
+    return indexes.create(docs(spark, sf_dir), codec=codecs.Codec(4, book, np.array(CUTOFFS), np.array(WEIGHTS), np.zeros(book.shape[1]), 0.9))
+
+
+STEPS = indexes.SearchParameters(k=K, probes=PROBES, centroid_threshold=THRESHOLD)
+WHOLE = indexes.SearchParameters(k=K, centroid_threshold=None)
 
 
 def ivf_probe_candidates(spark, sf_dir):
-    cells, _ = _probe(spark, sf_dir)
-    return codecs.inverted_lists(_assigned(spark, sf_dir)).join(cells, "centroid_id").select("query_id", "doc_id").distinct()
+    """The candidates of few probes with a high threshold: a test of the steps."""
+    index = _fixed_index(spark, sf_dir)
+    return indexes.candidates(index, index.ivf, indexes.probe(index, every_query(spark, sf_dir), STEPS).toArrow())
 
 
 PROBE_SQL = f"""qc as (select q.doc_id as query_id, q.pos as qpos, centroid_id, list_inner_product(q.e, v) as s from t q cross join cent),
@@ -97,48 +98,47 @@ cells as (select distinct query_id, centroid_id from ranked where place <= {PROB
 candidates as (select distinct query_id, doc_id from ivf join cells using (centroid_id))"""
 
 
-def _exact(spark, sf_dir, kept: DataFrame) -> DataFrame:
-    pairs = kept.join(tokens(spark, sf_dir), "doc_id").join(every_query(spark, sf_dir), "query_id")
-    exact = pairs.groupBy("query_id", "doc_id", "qpos").agg(F.max(dot(F.col("emb"), F.col("qvec"))).alias("s")).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
-    return _rounded(exact)
+def pruned_search(spark, sf_dir):
+    """The pruned search with the operator's own parameters, no threshold, over 4-bit residuals."""
+    return _rounded(indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), WHOLE).drop("rank"))
+
 
+def pruned_search_filtered(spark, sf_dir):
+    """The same within a subset: only its documents and cells, and more cells the smaller it is."""
+    return _rounded(indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), WHOLE, _subset(spark, sf_dir)).drop("rank"))
 
-def pruned_fixed_centroids(spark, sf_dir):
-    """The pruned search with DataFrame operators: probe, gather, rough scores, cut, exact scores.
 
-    Its constants exercise each step against the SQL; on this codebook they leave most queries
-    without a candidate (README). pruned_every_candidate is the search to use."""
-    assigned = _assigned(spark, sf_dir)
-    cells, products = _probe(spark, sf_dir)
-    candidates = codecs.inverted_lists(assigned).join(cells, "centroid_id").select("query_id", "doc_id").distinct()
-    own = assigned.select("doc_id", "centroid_id").distinct()
-    rough = candidates.join(own, "doc_id").join(products.select("query_id", "qpos", "centroid_id", "s"), ["query_id", "centroid_id"])
-    rough = rough.groupBy("query_id", "doc_id", "qpos").agg(F.max("s").alias("s")).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return _exact(spark, sf_dir, maxsim.ranked(rough, 40).select("query_id", "doc_id"))
+def rough_scores(spark, sf_dir):
+    """Scores by centroids alone of the candidates of few probes."""
+    index, queries = _fixed_index(spark, sf_dir), every_query(spark, sf_dir)
+    pairs = indexes.candidates(index, index.ivf, indexes.probe(index, queries, STEPS).toArrow())
+    return indexes.rough_scores(index, index.codes, pairs, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-def pruned_every_candidate(spark, sf_dir):
-    """The pruned search with the operator's number of probes, no threshold, and exact scores of every candidate."""
-    cells, _ = _probe(spark, sf_dir, probes=indexes.SearchParameters.probes, threshold=None)
-    return _exact(spark, sf_dir, codecs.inverted_lists(_assigned(spark, sf_dir)).join(cells, "centroid_id").select("query_id", "doc_id").distinct())
+_C, _W = (f"[{', '.join(f'{x!r}::double' for x in v)}]" for v in (CUTOFFS, WEIGHTS))
+DECODED = f"""coded as (select a.doc_id, a.pos, a.centroid_id, list_transform(range(1, 65), lambda i: len(list_filter({_C}, lambda c: t.e[i] - cent.v[i] > c))) as b, cent.v as v from assigned a join t on t.doc_id = a.doc_id and t.pos = a.pos join cent on cent.centroid_id = a.centroid_id),
+moved as (select doc_id, pos, list_transform(range(1, 65), lambda i: v[i] + ({_W})[b[i] + 1]) as m from coded),
+decoded as (select doc_id, pos, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) as e from moved)"""
 
 
-PRUNED_SQL = f"""with {ASSIGNED}, {PROBE_SQL},
+def _search_sql(cells: str, allowed: str = "true") -> str:
+    """Candidates of the cells, rough scores, the cut, and exact scores from the decoded vectors."""
+    return f"""{cells}, candidates as (select distinct query_id, doc_id from ivf join cells using (centroid_id) where {allowed}),
 own as (select distinct doc_id, centroid_id from assigned),
-rough as (select query_id, doc_id, round(sum(s), 6) as score from (select c.query_id, c.doc_id, r.qpos, max(r.s) as s from candidates c join own using (doc_id) join ranked r on r.query_id = c.query_id and r.centroid_id = own.centroid_id group by all) group by all),
-kept as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from rough) where r <= 40),
-exact as (select query_id, doc_id, sum(s) as score from (select k.query_id, k.doc_id, q.pos, max(list_inner_product(q.e, d.e)) as s from kept k join t q on q.doc_id = k.query_id join t d on d.doc_id = k.doc_id group by all) group by all)
+rough as (select query_id, doc_id, sum(s) as score from (select c.query_id, c.doc_id, r.qpos, max(r.s) as s from candidates c join own using (doc_id) join products r on r.query_id = c.query_id and r.centroid_id = own.centroid_id group by all) group by all),
+kept as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from rough) where r <= {indexes.rough_limit(WHOLE)}),
+{DECODED},
+exact as (select query_id, doc_id, sum(s) as score from (select k.query_id, k.doc_id, q.pos, max(list_inner_product(q.e, d.e)) as s from kept k join t q on q.doc_id = k.query_id join decoded d on d.doc_id = k.doc_id group by all) group by all)
 {top('exact')}"""
 
 
-def _fixed_index(spark, sf_dir):
-    book = np.array([r["vec"] for r in _centroids(spark, sf_dir).orderBy("centroid_id").collect()])
-    return indexes.create(docs(spark, sf_dir), centroids=book)
-
-
-def pruned_quantised(spark, sf_dir):
-    """The pruned search over 4-bit residuals; recall against the exact ranking is tested."""
-    return indexes.search(_fixed_index(spark, sf_dir), every_query(spark, sf_dir), indexes.SearchParameters(k=K, probes=4, centroid_threshold=None))
+PRODUCTS = "products as (select q.doc_id as query_id, q.pos as qpos, centroid_id, list_inner_product(q.e, v) as s from t q cross join cent)"
+PRUNED_SQL = f"with {ASSIGNED}, {PRODUCTS}, " + _search_sql(f"cells as (select distinct query_id, centroid_id from (select *, row_number() over (partition by query_id, qpos order by s desc, centroid_id) as place from products) where place <= {WHOLE.probes})")
+PRUNED_FILTERED_SQL = f"""with {ASSIGNED}, {PRODUCTS}, sub as (select distinct doc_id from t where doc_id in ({ALLOWED})), eligible as (select distinct centroid_id from ivf where doc_id in (select doc_id from sub)),
+scale as (select ceil({WHOLE.probes} * greatest(1.0, (select count(distinct doc_id) from t) / (select count(*) from documents where doc_id in ({ALLOWED})))) as probes), """ + _search_sql(
+    "cells as (select distinct query_id, centroid_id from (select *, row_number() over (partition by query_id, qpos order by s desc, centroid_id) as place from products where centroid_id in (select centroid_id from eligible)), scale where place <= probes)", "doc_id in (select doc_id from sub)"
+)
+ROUGH_SQL = f"with {ASSIGNED}, {PROBE_SQL}, own as (select distinct doc_id, centroid_id from assigned) select query_id, doc_id, round(sum(s), 6) as score from (select c.query_id, c.doc_id, r.qpos, max(r.s) as s from candidates c join own using (doc_id) join ranked r on r.query_id = c.query_id and r.centroid_id = own.centroid_id group by all) group by all"
 
 
 def pruned_recall(spark, sf_dir):
@@ -148,12 +148,9 @@ def pruned_recall(spark, sf_dir):
 
 def probe_rescale_filtered(spark, sf_dir):
     """The cells of a filtered search: only those with documents of the subset, and more the smaller it is."""
-    chosen = _subset(spark, sf_dir)
-    ivf = codecs.inverted_lists(_assigned(spark, sf_dir)).join(chosen, "doc_id", "left_semi")
-    total, size = tokens(spark, sf_dir).agg(F.countDistinct("doc_id").alias("n")), chosen.agg(F.count("*").alias("m"))
-    scale = total.crossJoin(size).select(F.ceil(PROBES * F.greatest(F.lit(1.0), F.col("n") / F.col("m"))).cast("int").alias("probes"))
-    cells, _ = _probe(spark, sf_dir, ivf.select("centroid_id").distinct(), scale)
-    return cells
+    index = _fixed_index(spark, sf_dir)
+    _, _, eligible, scale = indexes.probe_plan(index, _subset(spark, sf_dir))
+    return indexes.probe(index, every_query(spark, sf_dir), STEPS, eligible, scale)
 
 
 RESCALE_SQL = f"""with {ASSIGNED}, sub as ({ALLOWED}),
@@ -164,9 +161,9 @@ ranked as (select *, max(s) over (partition by query_id, centroid_id) as most, r
 select distinct query_id, centroid_id from ranked, scale where place <= probes and most >= {THRESHOLD}"""
 
 
-def _residuals(spark, sf_dir):
-    pairs = _assigned(spark, sf_dir).join(tokens(spark, sf_dir), ["doc_id", "pos"]).join(_centroids(spark, sf_dir), "centroid_id")
-    return pairs.select("doc_id", "pos", "centroid_id", F.zip_with("emb", "vec", lambda a, b: a - b).alias("rest"))
+def _trained(spark, sf_dir):
+    """The codec of the label centroids, from the residuals of every token."""
+    return codecs.train(docs(spark, sf_dir), _book(spark, sf_dir))
 
 
 RESIDUALS = ASSIGNED + """,
@@ -174,36 +171,64 @@ rest as (select a.doc_id, a.pos, unnest(range(64)) as dim, unnest(t.e) - unnest(
 
 
 def codec_quantiles(spark, sf_dir):
-    levels = [i / 16 for i in range(1, 16)]
-    got = _residuals(spark, sf_dir).select(F.explode("rest").alias("x")).agg(F.percentile("x", F.array(*map(F.lit, levels))).alias("q"))
-    return got.select(F.posexplode("q").alias("level", "cutoff")).select((F.col("level") + 1).alias("level"), F.round("cutoff", 6).alias("cutoff"))
+    got = _trained(spark, sf_dir)
+    return spark.createDataFrame([(i + 1, float(c)) for i, c in enumerate(got.cutoffs)], "level int, cutoff double").select("level", F.round("cutoff", 6).alias("cutoff"))
+
+
+def codec_weights(spark, sf_dir):
+    got = _trained(spark, sf_dir)
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(got.weights)], "bucket int, weight double").select("bucket", F.round("weight", 6).alias("weight"))
 
 
 def codec_bucketize(spark, sf_dir):
-    """How many residuals fall in each of sixteen buckets, dimension by dimension."""
-    cutoffs = F.array(*[F.lit((i - 7) * 0.02) for i in range(15)])
-    values = _residuals(spark, sf_dir).select(F.posexplode("rest").alias("dim", "x")).select("dim", codecs.bucketize(F.round("x", 9), cutoffs).alias("bucket"))
+    """How many residuals fall in each of sixteen buckets, dimension by dimension, read out of the codes."""
+    index = _fixed_index(spark, sf_dir)
+    values = codecs.buckets(index.codes, index.codec).select(F.posexplode("buckets").alias("dim", "bucket"))
     return values.groupBy("dim", "bucket").agg(F.count("*").alias("n"))
 
 
 def cluster_threshold(spark, sf_dir):
-    lengths = _residuals(spark, sf_dir).select(F.sqrt(F.aggregate("rest", F.lit(0.0), lambda s, x: s + x * x)).alias("d"))
-    return lengths.agg(F.round(F.percentile("d", F.lit(0.75)), 6).alias("threshold"), F.count("*").alias("n"))
+    threshold = _trained(spark, sf_dir).threshold
+    return tokens(spark, sf_dir).agg(F.count("*").alias("n")).select(F.round(F.lit(threshold), 5).alias("threshold"), "n")
+
+
+def threshold_update(spark, sf_dir):
+    """The threshold after documents 50 and on were appended: old and new quantile, weighted by tokens."""
+    every, book = docs(spark, sf_dir), _book(spark, sf_dir)
+    old, new = every.where("doc_id < 50"), every.where("doc_id >= 50")
+    sizes = [x.agg(F.sum(F.size("embs"))).first()[0] for x in (old, new)]
+    codec = codecs.train(old, book)
+    merged = codecs.merged_threshold(codec.threshold, sizes[0], codecs.residual_quantile(new, codec), sizes[1])
+    return spark.createDataFrame([(round(merged, 5), sum(sizes))], "threshold double, n long")
 
 
 def average_residual(spark, sf_dir):
-    return _residuals(spark, sf_dir).select(F.posexplode("rest").alias("dim", "x")).groupBy("dim").agg(F.round(F.avg(F.abs("x")), 6).alias("average"))
+    got = _trained(spark, sf_dir).average
+    return spark.createDataFrame([(i, float(a)) for i, a in enumerate(got)], "dim int, average double").select("dim", F.round("average", 6).alias("average"))
 
 
 def outlier_tokens(spark, sf_dir):
     return codecs.outliers(tokens(spark, sf_dir), _centroids(spark, sf_dir), 0.9).select("doc_id", "pos", F.round("distance2", 6).alias("distance2"))
 
 
+def expansion_outliers(spark, sf_dir):
+    """How many tokens a codebook would grow by: those farther than the threshold from all centroids."""
+    index = _fixed_index(spark, sf_dir)
+    return indexes.outlying(index, docs(spark, sf_dir)).agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)), 4).alias("total"))
+
+
 def codec_round_trip(spark, sf_dir):
     """The cosine of every vector with what its codes say."""
     index = _fixed_index(spark, sf_dir)
     back = codecs.decode_docs(index.codes, index.codec).select("doc_id", F.posexplode("embs").alias("pos", "back"))
-    return tokens(spark, sf_dir).join(back, ["doc_id", "pos"]).select("doc_id", "pos", F.round(dot(F.col("emb"), F.col("back")), 3).alias("cosine"))
+    return tokens(spark, sf_dir).join(back, ["doc_id", "pos"]).select("doc_id", "pos", F.round(dot(F.col("emb"), F.col("back")), 6).alias("cosine"))
+
+
+def reconstructed_vectors(spark, sf_dir):
+    """The decoded vectors of the documents that are labelled; without codes, none."""
+    index = _fixed_index(spark, sf_dir)
+    rows = codecs.reconstruct(index.codes, index.codec, read(spark, sf_dir, "labels"), strict=False)
+    return rows.select("doc_id", F.size("embs").alias("n"), F.round(F.coalesce(F.aggregate(F.flatten("embs"), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)), 5).alias("total"))
 
 
 def normalized_vectors(spark, sf_dir):
@@ -222,32 +247,43 @@ GONE = "select doc_id from documents where lang = 'fr' or n_chars < 300"
 
 
 def delete_renumber(spark, sf_dir):
+    """Positions after a delete that rewrites nothing."""
     rows = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("old_id"), "source")
-    return indexes.renumber(rows.join(_gone(spark, sf_dir), "doc_id", "left_anti"))
+    n = rows.agg(F.max("doc_id")).first()[0] + 1
+    return ids.placed(rows, ids.blocks(_gone(spark, sf_dir), n))
+
+
+def delete_rewrite(spark, sf_dir):
+    """Inverted lists and codes of an index from which documents were taken, numbered anew."""
+    index = indexes.without(_fixed_index(spark, sf_dir), _gone(spark, sf_dir))
+    return index.ivf.groupBy("doc_id").agg(F.count("*").alias("cells"), F.max("centroid_id").alias("last")).join(index.codes.select("doc_id", F.size("codes").alias("tokens")), "doc_id")
 
 
 def evict_oldest(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("old_id"))
-    keep = rows.agg((F.max("doc_id") + 1 - F.floor(F.count("*") / 2)).alias("first"))
-    return indexes.renumber(rows.crossJoin(keep).where("doc_id >= first").drop("first"))
+    """The newer half of an index: positions and the centroid of the first token."""
+    index = _fixed_index(spark, sf_dir)
+    left = indexes.evict(index, index.meta["documents"] // 2)
+    return left.codes.select("doc_id", F.element_at("codes", 1).alias("first_code"))
 
 
 def append_index(spark, sf_dir):
     """Inverted lists after the second half of the documents was appended to an index of the first."""
     every = docs(spark, sf_dir)
     half = every.count() // 2
-    book = np.array([r["vec"] for r in _centroids(spark, sf_dir).orderBy("centroid_id").collect()])
+    book = _book(spark, sf_dir)
     index = indexes.append(indexes.create(every.where(F.col("doc_id") < half), centroids=book), every.where(F.col("doc_id") >= half))
     return index.ivf.select("centroid_id", "doc_id").distinct()
 
 
-def average_length(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("average"), F.sum("n_chars").alias("total"))
+def index_statistics(spark, sf_dir):
+    """Totals of an index."""
+    got = _fixed_index(spark, sf_dir).meta
+    return spark.createDataFrame([(got["documents"], got["tokens"], got["average_tokens"], got["centroids"], got["dimension"])], "documents long, tokens long, average double, centroids int, dimension int")
 
 
 def ward_pool(spark, sf_dir):
     out = pooling.pooled(docs(spark, sf_dir), 2)
-    return out.select("doc_id", F.size("embs").alias("n"), F.transform("embs", lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 5)).alias("sums"))
+    return out.select("doc_id", F.posexplode("embs").alias("place", "v")).select("doc_id", "place", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 def pairwise_cosine(spark, sf_dir):
@@ -272,7 +308,7 @@ got as (select query_id, sum(seen / rank) as p, sum(1 / log2(rank + 1)) as gain,
 select q.query_id, coalesce(round(p / n, 6), 0.0) as average_precision, coalesce(round(gain / best, 6), 0.0) as ndcg, coalesce(round(found / n, 6), 0.0) as recall
 from (select distinct doc_id as query_id from t) q cross join ideal left join got using (query_id)"""
 
-QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, pruned_fixed_centroids, pruned_every_candidate, pruned_quantised, pruned_recall, probe_rescale_filtered, codec_quantiles, codec_bucketize, cluster_threshold, average_residual, outlier_tokens, codec_round_trip, normalized_vectors, delete_renumber, evict_oldest, append_index, average_length, ward_pool, pairwise_cosine, ir_metrics)}
+QUERIES = {f.__name__: f for f in (maxsim_topk, maxsim_scores, maxsim_filtered, rerank_subset, label_centroids, assign_centroids, ivf_build, ivf_probe_candidates, pruned_search, pruned_search_filtered, rough_scores, pruned_recall, probe_rescale_filtered, codec_quantiles, codec_weights, codec_bucketize, cluster_threshold, threshold_update, average_residual, outlier_tokens, expansion_outliers, codec_round_trip, reconstructed_vectors, normalized_vectors, delete_renumber, delete_rewrite, evict_oldest, append_index, index_statistics, ward_pool, pairwise_cosine, ir_metrics)}
 
 SQL = {
     "maxsim_topk": f"with {SCORES} {top('scores')}",
@@ -283,18 +319,34 @@ SQL = {
     "assign_centroids": f"with {ASSIGNED} select doc_id, pos, cast(centroid_id as int) as centroid_id, round(s, 6) as product from assigned",
     "ivf_build": f"with {ASSIGNED} select cast(centroid_id as int) as centroid_id, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from ivf group by 1",
     "ivf_probe_candidates": f"with {ASSIGNED}, {PROBE_SQL} select query_id, doc_id from candidates",
-    "pruned_fixed_centroids": PRUNED_SQL,
+    "pruned_search": PRUNED_SQL,
+    "pruned_search_filtered": PRUNED_FILTERED_SQL,
+    "rough_scores": ROUGH_SQL,
     "probe_rescale_filtered": RESCALE_SQL,
-    "codec_quantiles": f"with {RESIDUALS}, l as (select unnest(range(1, 16)) as level, unnest(quantile_cont(x, [{', '.join(str(i / 16) for i in range(1, 16))}])) as c from rest) select cast(level as int) as level, round(c, 6) as cutoff from l",
-    "codec_bucketize": f"with {RESIDUALS} select cast(dim as int) as dim, cast(len(list_filter([{', '.join(f'{(i - 7) * 0.02!r}::double' for i in range(15))}], lambda c: round(x, 9) > c)) as int) as bucket, count(*) as n from rest group by 1, 2",
-    "cluster_threshold": f"with {RESIDUALS}, d as (select sqrt(sum(x * x)) as d from rest group by doc_id, pos) select round(quantile_cont(d, 0.75), 6) as threshold, count(*) as n from d",
+    "codec_quantiles": f"with {RESIDUALS}, l as (select unnest(range(1, 16)) as level, unnest(quantile_cont(round(x, 5), [{', '.join(str(i / 16) for i in range(1, 16))}])) as c from rest) select cast(level as int) as level, round(c, 6) as cutoff from l",
+    "codec_weights": f"with {RESIDUALS}, l as (select unnest(range(0, 16)) as bucket, unnest(quantile_cont(round(x, 5), [{', '.join(str((i + 0.5) / 16) for i in range(16))}])) as c from rest) select cast(bucket as int) as bucket, round(c, 6) as weight from l",
+    "codec_bucketize": f"with {ASSIGNED}, {DECODED} select cast(dim as int) as dim, cast(bucket as int) as bucket, count(*) as n from (select unnest(range(64)) as dim, unnest(b) as bucket from coded) group by 1, 2",
+    "cluster_threshold": f"with {RESIDUALS}, d as (select round(sqrt(sum(x * x)), 5) as d from rest group by doc_id, pos) select round(quantile_cont(d, 0.75), 5) as threshold, count(*) as n from d",
+    "threshold_update": f"with {RESIDUALS}, d as (select doc_id < 50 as old, round(sqrt(sum(x * x)), 5) as d from rest group by doc_id, pos), q as (select old, quantile_cont(d, 0.75) as q, count(*) as n from d group by old) select round(sum(q * n) / sum(n), 5) as threshold, cast(sum(n) as bigint) as n from q",
     "average_residual": f"with {RESIDUALS} select cast(dim as int) as dim, round(avg(abs(x)), 6) as average from rest group by dim",
+    "expansion_outliers": f"with {TOKENS}, {CENTROIDS}, d as (select doc_id, pos, any_value(e) as e, min(pow(list_distance(e, v), 2)) as d from t cross join cent group by all) select count(*) as n, round(sum(list_sum(e)), 4) as total from d where d > 0.9 * 0.9",
+    "codec_round_trip": f"with {ASSIGNED}, {DECODED} select t.doc_id, t.pos, round(list_inner_product(t.e, decoded.e), 6) as cosine from t join decoded on t.doc_id = decoded.doc_id and t.pos = decoded.pos",
+    "reconstructed_vectors": f"with {ASSIGNED}, {DECODED}, s as (select doc_id, count(*) as n, sum(list_sum(e)) as x from decoded group by doc_id) select l.doc_id, cast(coalesce(n, 0) as int) as n, round(coalesce(x, 0.0), 5) as total from (select distinct doc_id from labels) l left join s using (doc_id)",
+    "delete_rewrite": f"with {ASSIGNED}, live as (select doc_id as was, row_number() over (order by doc_id) - 1 as doc_id from (select distinct doc_id from t) where doc_id not in ({GONE})), i as (select doc_id as was, count(*) as cells, max(centroid_id) as last from ivf group by 1) select live.doc_id, cells, cast(last as int) as last, cast((select count(*) from t where t.doc_id = live.was) as int) as tokens from live join i using (was)",
+    "index_statistics": f"with {TOKENS} select count(distinct doc_id) as documents, count(*) as tokens, count(*) / count(distinct doc_id) as average, cast((select count(distinct label) from embeddings) as int) as centroids, 64 as dimension from t",
     "outlier_tokens": f"with {TOKENS}, {CENTROIDS}, d as (select doc_id, pos, min(pow(list_distance(e, v), 2)) as d from t cross join cent group by all) select doc_id, pos, round(d, 6) as distance2 from d where d > 0.9 * 0.9",
     "normalized_vectors": f"with {TOKENS} select doc_id, pos, round(list_sum(e) / sqrt(list_inner_product(e, e)), 6) as total from t",
     "delete_renumber": f"select row_number() over (order by doc_id) - 1 as doc_id, doc_id as old_id, source from documents where doc_id not in ({GONE})",
-    "evict_oldest": "select row_number() over (order by doc_id) - 1 as doc_id, doc_id as old_id from documents where doc_id >= (select max(doc_id) + 1 - count(*) // 2 from documents)",
+    "evict_oldest": f"with {ASSIGNED}, n as (select count(distinct doc_id) as n from t) select a.doc_id - (n - n // 2) as doc_id, cast(centroid_id as int) as first_code from assigned a, n where pos = 0 and doc_id >= n - n // 2",
     "append_index": f"with {ASSIGNED} select cast(centroid_id as int) as centroid_id, doc_id from ivf",
-    "average_length": "select source, count(*) as n, round(avg(n_chars), 6) as average, cast(sum(n_chars) as bigint) as total from documents group by source",
+    "ward_pool": f"""with {TOKENS}, p as (select a.doc_id, a.pos as a, b.pos as b, least(greatest(1 - list_cosine_similarity(a.e, b.e), 0), 2) as d from t a join t b on a.doc_id = b.doc_id and a.pos < b.pos where a.pos > 0),
+one as (select doc_id, a as i, b as j, d as dij from (select *, row_number() over (partition by doc_id order by d, a, b) as r from p) where r = 1),
+far as (select one.doc_id, k.pos as k, dij, max(d) filter (where i in (p.a, p.b)) as dik, max(d) filter (where j in (p.a, p.b)) as djk from one join t k on k.doc_id = one.doc_id and k.pos > 0 and k.pos not in (i, j) join p on p.doc_id = one.doc_id and k.pos in (p.a, p.b) and (i in (p.a, p.b) or j in (p.a, p.b)) group by all),
+two as (select doc_id, k, sqrt((2 * dik * dik + 2 * djk * djk - dij * dij) / 3) as d from far union all select one.doc_id, null as k, d from one join p on p.doc_id = one.doc_id and i not in (a, b) and j not in (a, b)),
+least_ as (select doc_id, arg_min(coalesce(k, -1), d) as k from two group by doc_id),
+label as (select t.doc_id, t.pos, list_sum(e) as s, case when pos = 0 then 0 when pos in (i, j) or pos = k then 1 else 2 end as c from t join one using (doc_id) join least_ using (doc_id)),
+mean as (select doc_id, min(pos) as first, round(avg(s), 5) as s from label group by doc_id, c)
+select doc_id, cast(row_number() over (partition by doc_id order by first) - 1 as int) as place, s as total from mean""",
     "pairwise_cosine": f"with {TOKENS} select a.doc_id, a.pos as a, b.pos as b, round(least(greatest(1 - list_cosine_similarity(a.e, b.e), 0), 2), 6) as distance from t a join t b on a.doc_id = b.doc_id and a.pos < b.pos",
     "ir_metrics": IR_SQL,
 }

@@ -1,8 +1,12 @@
 """Indexes on disk: immutable Parquet segments, and numbered manifests that say which make a version.
 
-An append writes the segments of the new documents and a manifest; nothing else is touched, so its
-cost is that of the batch. A rewrite (deletes, a rebuild) writes whole tables. Readers keep the
-version they opened; segments that none of the last manifests name are removed.
+An append writes the segments of the new documents and a manifest, a delete those of the deleted ids;
+nothing else is touched, so their cost is that of the batch. A rewrite (a rebuild, a compaction) writes
+whole tables. Readers keep the version they opened; segments that none of the last manifests name are
+removed.
+
+A manifest holds: tables (segments by table), meta (totals and marks), buffer (the segments whose
+documents wait for the codebook to grow) and text (the segments of the keyword index).
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyvec.operators.codec import Codec
+from polyvec.operators.ids import blocks, placed
 from polyvec.operators.index import VectorIndex, inverted
 
-TABLES = ("docs", "codes", "ivf", "metadata")
+TABLES = ("docs", "codes", "ivf", "metadata", "dead")
 
 
 class Store:
@@ -58,7 +63,16 @@ class Store:
         schema = "centroid_id int, vec array<double>, nbits int, cutoffs array<double>, weights array<double>, average array<double>, threshold double"
         return self._write("codec", self.spark.createDataFrame(rows, schema).coalesce(1))
 
-    def _publish(self, manifest: dict, keep: int) -> str:
+    def manifest(self) -> dict | None:
+        """What makes the current version; fields that older versions lack are empty."""
+        version = self.current()
+        if version is None:
+            return None
+        found = {"buffer": None, "text": []} | self._manifest(version)
+        found["tables"] = {t: [] for t in TABLES} | found["tables"]
+        return found
+
+    def publish(self, manifest: dict, keep: int = 2) -> str:
         """The manifest appears under its number by a rename, whole or not at all."""
         last = self.current()
         version = f"v{int(last[1:]) + 1 if last else 1:08d}"
@@ -66,16 +80,14 @@ class Store:
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not self._fs.rename(draft, final):
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
             raise RuntimeError(f"another writer published {version}")
         kept = self.versions()[-keep:]
-        used = {s.split("/")[1] for v in kept for s in (x for part in self._manifest(v)["tables"].values() for x in part)}
-        for name in self._names("data"):
-            if name not in used:
-                self._fs.delete(self._p(f"data/{name}"), True)
-        for name in self._names("text"):
-            if name not in kept:
-                self._fs.delete(self._p(f"text/{name}"), True)
+        used = {s for v in kept for s in _segments(self._manifest(v))}
+        for folder in ("data", "text"):
+            for name in self._names(folder):
+                if f"{folder}/{name}" not in used:
+                    self._fs.delete(self._p(f"{folder}/{name}"), True)
         for old in self.versions()[:-keep]:
             self._fs.delete(self._p(f"versions/{old}.json"), False)
         return version
@@ -84,28 +96,37 @@ class Store:
     def _lists(codes: DataFrame) -> DataFrame:
         return inverted(codes).repartition("centroid_id").sortWithinPartitions("centroid_id", "doc_id")
 
-    def save(self, index: VectorIndex, metadata: DataFrame | None = None, keep: int = 2) -> str:
-        """Writes all tables anew."""
-        codes = self._write("codes", index.codes)
-        tables = {"docs": [self._write("docs", index.docs)], "codes": [codes], "ivf": [self._write("ivf", self._lists(self.spark.read.parquet(f"{self.path}/{codes}")))], "codec": [self._codec(index.codec)]}
-        tables["metadata"] = [self._write("metadata", metadata)] if metadata is not None else []
-        return self._publish({"tables": tables, "meta": index.meta}, keep)
+    def read(self, segments: list[str], evolving: bool = False) -> DataFrame:
+        return self.spark.read.option("mergeSchema", evolving).parquet(*[f"{self.path}/{s}" for s in segments])
 
-    def append(self, index: VectorIndex, docs: DataFrame, codes: DataFrame, metadata: DataFrame | None = None, new_codec: bool = False, keep: int = 2) -> str:
-        """Adds segments with the new documents to the current version; index has the new totals."""
-        tables = {k: list(v) for k, v in self._manifest(self.current())["tables"].items()}
+    def encoded(self, codes: DataFrame) -> dict[str, str]:
+        """Writes codes and their inverted lists: the segments by table."""
         segment = self._write("codes", codes)
-        tables["docs"].append(self._write("docs", docs))
-        tables["codes"].append(segment)
-        tables["ivf"].append(self._write("ivf", self._lists(self.spark.read.parquet(f"{self.path}/{segment}"))))
-        if metadata is not None:
-            tables["metadata"].append(self._write("metadata", metadata))
-        if new_codec:
-            tables["codec"] = [self._codec(index.codec)]
-        return self._publish({"tables": tables, "meta": index.meta}, keep)
+        return {"codes": segment, "ivf": self._write("ivf", self._lists(self.read([segment])))}
+
+    def save(self, index: VectorIndex, metadata: DataFrame | None = None, text: list | None = None, keep: int = 2) -> str:
+        """Writes all tables anew, with positions as stored ids."""
+        index = index.whole()
+        own = self.encoded(index.codes)
+        tables = {k: [v] for k, v in own.items()} | {"docs": [self._write("docs", index.docs)], "codec": [self._codec(index.codec)], "dead": []}
+        tables["metadata"] = [self._write("metadata", metadata)] if metadata is not None else []
+        meta = index.meta | {"next_id": index.meta["documents"], "threshold": index.codec.threshold}
+        return self.publish({"tables": tables, "meta": meta, "buffer": None, "text": text or []}, keep)
+
+    def codec(self, codec: Codec) -> str:
+        return self._codec(codec)
+
+    def segment(self, kind: str, table: DataFrame) -> str:
+        return self._write(kind, table)
 
     def _table(self, manifest: dict, name: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", name == "metadata").parquet(*[f"{self.path}/{s}" for s in manifest["tables"][name]])
+        return self.read(manifest["tables"][name], name == "metadata")
+
+    def dead(self, manifest: dict) -> DataFrame | None:
+        """The blocks of deleted ids of a version."""
+        if not manifest["tables"].get("dead"):
+            return None
+        return blocks(self._table(manifest, "dead"), manifest["meta"]["next_id"])
 
     def load(self, version: str | None = None) -> VectorIndex:
         version = version or self.current()
@@ -115,22 +136,39 @@ class Store:
         rows = self._table(manifest, "codec").orderBy("centroid_id").toArrow()
         book = rows.column("vec").combine_chunks()
         head = {c: rows.column(c)[0].as_py() for c in ("nbits", "cutoffs", "weights", "average", "threshold")}
-        codec = Codec(head["nbits"], book.flatten().to_numpy().reshape(len(book), -1), np.array(head["cutoffs"]), np.array(head["weights"]), np.array(head["average"]), head["threshold"])
-        return VectorIndex(codec, *(self._table(manifest, t) for t in ("docs", "codes", "ivf")), manifest["meta"])
-
-    def metadata(self) -> DataFrame | None:
-        version = self.current()
-        manifest = self._manifest(version) if version else {"tables": {"metadata": []}}
-        return self._table(manifest, "metadata") if manifest["tables"]["metadata"] else None
-
-    def compact(self) -> str:
-        """One segment a table again, after many appends."""
-        return self.save(self.load(), self.metadata())
+        threshold = manifest["meta"].get("threshold", head["threshold"])  # it moves with every batch, the codebook does not
+        codec = Codec(head["nbits"], book.flatten().to_numpy().reshape(len(book), -1), np.array(head["cutoffs"]), np.array(head["weights"]), np.array(head["average"]), threshold)
+        return VectorIndex(codec, *(self._table(manifest, t) for t in ("docs", "codes", "ivf")), manifest["meta"], self.dead(manifest))
+
+    def metadata(self, stored: bool = False) -> DataFrame | None:
+        """The metadata of the live documents, by position; stored: of all, by stored id."""
+        manifest = self.manifest()
+        if manifest is None or not manifest["tables"]["metadata"]:
+            return None
+        rows = self._table(manifest, "metadata")
+        return rows if stored else placed(rows, self.dead(manifest))
+
+    def clone(self, path: str) -> Store:
+        """A copy of the current version at another path, which must not be an index yet."""
+        other = Store(self.spark, path)
+        if other.current():
+            raise FileExistsError(path)
+        manifest, conf = self.manifest(), self.spark._jsc.hadoopConfiguration()
+        for segment in sorted(_segments(manifest)):
+            self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs, self._p(segment), other._fs, other._p(segment), False, conf)
+        other.publish(manifest)
+        return other
 
     def drop(self) -> bool:
         return self._fs.delete(self._fs_path, True)
 
 
+def _segments(manifest: dict) -> set[str]:
+    """Every segment that a manifest names."""
+    own = {s for part in manifest["tables"].values() for s in part}
+    return own | {s for part in manifest.get("text") or [] for s in (part["postings"], part["stats"], *part["stale"])}
+
+
 def list_indices(spark: SparkSession, root: str) -> list[str]:
     """The names of the indexes below root."""
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -143,5 +181,5 @@ def list_indices(spark: SparkSession, root: str) -> list[str]:
 
 def segment_sizes(store: Store) -> DataFrame:
     """table, segments: how many segments each table of the current version has."""
-    manifest = store._manifest(store.current())
+    manifest = store.manifest()
     return store.spark.createDataFrame([(k, len(v)) for k, v in manifest["tables"].items()], "table string, segments int").orderBy(F.col("table"))

@@ -49,6 +49,54 @@ def write_npy(matrix: np.ndarray) -> bytes:
     return f.getvalue()
 
 
+def write_npy_files(rows: DataFrame, column: str, folder: str, dtype: str = "<f4", per_file: int = 1 << 20) -> DataFrame:
+    """Writes the vectors of a column as .npy matrices of a number type (converted as needed), files of at most
+    per_file rows by task; gives file, rows. Files are named by task and attempt, in row order."""
+    from pyarrow import fs
+    from pyspark import TaskContext
+
+    target = folder.replace("file:///", "file:/").replace("file:/", "file:///") if folder.startswith("file:") else folder
+
+    def run(batches):
+        context = TaskContext.get()
+        system, base = fs.FileSystem.from_uri(target)
+        held, n, count = [], 0, 0
+
+        def flush():
+            nonlocal held, n, count
+            name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{count:06d}.npy"
+            with system.open_output_stream(f"{base}/{name}") as out:
+                out.write(write_npy(np.concatenate(held)))
+            done = pd.DataFrame({"file": [name], "rows": [n]})
+            held, n, count = [], 0, count + 1
+            return done
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(np.stack(batch["v"].to_list()).astype(dtype))
+            n += len(batch)
+            if n >= per_file:
+                yield flush()
+        if n:
+            yield flush()
+
+    out = rows.select(F.col(column).alias("v")).mapInPandas(run, "file string, rows long")
+    return out.sparkSession.createDataFrame(out.collect(), "file string, rows long")  # a row a file
+
+
+def to_base64(docs: DataFrame) -> DataFrame:
+    """doc_id, data, n, dim of docs(doc_id, embs): single precision, little-endian, as base64."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("embs")
+            whole = [encode_base64(np.array(x, "<f4").reshape(len(x), -1) if x else np.zeros((0, 0))) for x in lists.to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([d for d, _ in whole], pa.string()), pa.array([s[0] for _, s in whole], pa.int32()), pa.array([s[1] for _, s in whole], pa.int32())], names=["doc_id", "data", "n", "dim"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "embs").mapInArrow(run, "doc_id long, data string, n int, dim int")
+
+
 def encode_base64(matrix: np.ndarray) -> tuple[str, list[int]]:
     return base64.b64encode(np.ascontiguousarray(matrix, "<f4").tobytes()).decode(), list(matrix.shape)
 

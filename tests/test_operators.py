@@ -103,7 +103,7 @@ def test_engine_cycle(spark, tmp_path):
     assert engine.update_metadata("size = ?", [7], {"lang": "Zig"}) == 1
     assert engine.search(text="zig").collect()[0].size == 7
     engine.publish_text()
-    assert engine.text_index().buckets and engine.search(text="zig").collect()[0].size == 7
+    assert engine.text_index().docs is None and engine.search(text="zig").collect()[0].size == 7
     engine.add(frame(spark, data[:2]), metadata_rows.from_rows(spark, [{"name": "new", "extra": 1.5}, {"name": "newer"}]))
     assert engine.count() == 27 and "extra" in engine.rows.columns
     assert Engine(spark, f"file://{tmp_path}/index").count() == 27
@@ -297,3 +297,43 @@ def test_stream_into_index(spark, tmp_path):
     gone = spark.readStream.schema("n int, condition string, values array<string>").parquet(f"{tmp_path}/del")
     deletions(gone, engine, f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination()
     assert engine.count() == 12
+
+
+def test_positions_after_deletes(spark):
+    """Stored ids and positions by bitmaps, against counting; ids at the edges of bytes and blocks."""
+    from polyvec.operators import ids
+
+    n = 3 * ids.BLOCK + 100
+    gone = {0, 7, 8, 9, ids.BLOCK - 1, 2 * ids.BLOCK, 2 * ids.BLOCK + 15, n - 1}
+    dead = ids.blocks(spark.createDataFrame([(i,) for i in [*gone, 7]], "doc_id long"), n)
+    rows = spark.range(n).selectExpr("id as doc_id", "id as was")
+    got = {r.was: r.doc_id for r in ids.placed(rows, dead).collect()}
+    assert got == {x: i for i, x in enumerate(x for x in range(n) if x not in gone)}
+    assert {r.doc_id for r in ids.alive(rows, dead).collect()} == got.keys()
+
+
+def test_kmeans_against_naive(spark):
+    """Rounds over tasks give what rounds over one matrix give, empty centroids aside."""
+    rng = np.random.default_rng(5)
+    centers = unit(rng.normal(size=(6, 8)))
+    vectors = unit(centers[rng.integers(0, 6, 400)] + 0.2 * rng.normal(size=(400, 8)))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "h long, v array<double>").repartition(3)
+    want = vectors[:6].copy()
+    for _ in range(4):
+        code = (vectors @ want.T).argmax(axis=1)
+        want = np.array([vectors[code == c].mean(axis=0) if (code == c).any() else np.nan * want[c] for c in range(6)])
+    got = kmeans.lloyd(points, 6)
+    assert np.allclose(got, unit(want), atol=1e-9)
+    assert len(kmeans.lloyd(points.limit(3), 6)) == 3 and kmeans.first_points(points, 5).shape == (5, 8)
+
+
+def test_best_cells_in_blocks():
+    rng = np.random.default_rng(6)
+    q, book = rng.normal(size=(5, 4)), rng.normal(size=(300, 4))
+    allowed = np.sort(rng.choice(300, 200, replace=False))
+    products = q @ book[allowed].T
+    want = np.unique(np.argsort(-products, axis=1)[:, :7])
+    for threshold in (None, 1.5):
+        own = want if threshold is None else want[products[:, want].max(axis=0) >= threshold]
+        for block in (3, 64, 1000):
+            assert indexes.best_cells(q, book, allowed, 7, threshold, block).tolist() == allowed[own].tolist()
