@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _SPECIAL = set(".+()[]{}^$|\\")
@@ -165,6 +165,18 @@ def literal_braces(pattern: str) -> str:
     return out
 
 
+def is_regex(pattern: str) -> bool:
+    """Is it a regular expression for the engine that will run it, the JVM's?"""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):  # a syntax error, as it is or as Spark shows it
+        return False
+    return True
+
+
 def text_matches(text: Column, pattern: str, fixed: bool = False, extended: bool = True, word: bool = False, ignore_case: bool = True) -> Column:
     """Does the text hold the pattern, as a regular expression or literally?
 
@@ -177,9 +189,7 @@ def text_matches(text: Column, pattern: str, fixed: bool = False, extended: bool
     flags = "(?mi)" if ignore_case else "(?m)"
     out = text.rlike(flags + literal.join(bounds))
     candidate = literal_braces(pattern if extended else basic_to_extended(pattern))
-    try:
-        re.compile(candidate)
-    except re.error:
+    if not is_regex(candidate):
         return out
     return out | text.rlike(flags + f"(?:{candidate})".join(bounds))
 

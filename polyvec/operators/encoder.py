@@ -91,6 +91,24 @@ def encode_documents(rows: DataFrame, encoder: Encoder, text: str = "text") -> D
     return rows.where(F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, embs array<array<double>>")
 
 
+def encode_distinct(rows: DataFrame, encoder: Encoder) -> DataFrame:
+    """docs(doc_id, embs) of rows(doc_id, text), each distinct text of the whole table encoded once and its
+    vectors given to every row that has it. Texts meet by digest; a text that very many rows share is one
+    key of that join, which Spark splits."""
+    keyed = rows.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_key", F.sha2("text", 256))
+    once = keyed.groupBy("_key").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column("text").to_pylist():
+                tokens, counts = document_tokens(encoder, t)
+                out.append(encoder.vectors(tokens)[counts].tolist())
+            yield pa.record_batch([batch.column("_key"), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=["_key", "embs"])
+
+    return keyed.select("doc_id", "_key").join(once.mapInArrow(run, "_key string, embs array<array<double>>"), "_key").select("doc_id", "embs")
+
+
 def encode_queries(rows: DataFrame, encoder: Encoder) -> DataFrame:
     """queries(query_id, qpos, qvec) of rows(query_id, text)."""
 

@@ -153,6 +153,20 @@ def representative_lines(code: str, query: str, most: int = 3) -> list[int]:
     return sorted(best)
 
 
+def with_representative_lines(found: DataFrame, query: str, most: int = 3) -> DataFrame:
+    """found(line, code, ...) with shown: the numbers, in the file, of the lines that match the query best."""
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            shown = [[(line or 1) + i for i in representative_lines(code or "", query, most)] for line, code in zip(batch.column("line").to_pylist(), batch.column("code").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.list_(pa.int32()))], names=[*batch.schema.names, "shown"])
+
+    return found.mapInArrow(run, type(found.schema)([*found.schema.fields]).add("shown", ArrayType(IntegerType())))
+
+
 def merged_ranges(ranges: DataFrame) -> DataFrame:
     """key, a, b of overlapping or touching line ranges (key, a, b), joined."""
     order = Window.partitionBy("key").orderBy("a", "b")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators.brace_units import LANGUAGES as BRACES
+from polyvec.operators.brace_units import brace_units
+
 LANGUAGES = {
     "py": "python", "pyi": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "go": "go", "java": "java", "c": "c", "h": "c",
     "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "rb": "ruby", "cs": "csharp", "kt": "kotlin", "swift": "swift", "scala": "scala", "php": "php", "lua": "lua", "ex": "elixir", "exs": "elixir",
@@ -155,26 +158,62 @@ _SCRIPT = re.compile(r"^[ \t]*<script(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script>", re
 
 
 def html_units(path: str, source: str) -> list[dict]:
-    """Inline scripts as units of their own, and everything else with text as one."""
+    """Inline scripts as units of their language, at their lines in the page, and everything else with text as one."""
     lines = source.split("\n")
     out, inside = [], set()
     for m in _SCRIPT.finditer(source):
         a, b = source.count("\n", 0, m.start(1)) + 1, source.count("\n", 0, m.end(1)) + 1
         inside.update(range(a, b + 1))
         if m[1].strip():
-            out.append(_unit(path, "rawcode", f"script_{a}", a, b, lines, language="javascript"))
+            kind = "typescript" if re.search(r"""lang\s*=\s*["']?ts\b""", source[m.start() : m.start(1)]) else "javascript"
+            found = brace_units(path, m[1], kind, _unit, raw_gaps, shift=a - 1)
+            out += found if any(u["unit_type"] != "rawcode" for u in found) else [_unit(path, "rawcode", f"script_{a}", a, b, lines, language=kind)]
     rest = [i for i, x in enumerate(lines, 1) if i not in inside and x.strip()]
     if rest:
         out.insert(0, _unit(path, "rawcode", f"raw_code_{rest[0]}", rest[0], rest[-1], lines, code="\n".join(lines[i - 1] for i in rest)))
     return out
 
 
+_QML_OBJECT, _QML_FUNCTION = re.compile(r"^[ \t]*([A-Z][\w.]*)\s*\{", re.M), re.compile(r"^[ \t]*function\s+(\w+)\s*\(([^)]*)\)", re.M)
+
+
+def qml_units(path: str, source: str) -> list[dict]:
+    """The outermost object of a QML file as a class, its functions as methods."""
+    found = brace_units(path, source, "javascript", _unit, lambda *_: [])
+    lines = source.split("\n")
+    m = _QML_OBJECT.search(source)
+    out = []
+    if m:
+        first = source.count("\n", 0, m.start(1)) + 1
+        out.append(_unit(path, "class", m[1], first, max(i for i, x in enumerate(lines, 1) if x.strip()), lines, language="qml"))
+    for u in found:
+        if u["unit_type"] in ("function", "method"):
+            out.append(u | {"language": "qml", "unit_type": "method" if m else "function", "parent_class": m[1] if m else None, "qualified_name": "::".join(x for x in (path, m and m[1], u["name"]) if x)})
+    return out + raw_gaps(path, lines, out, [])
+
+
+SKIPS = ("unknown language", "no text", "no units")
+
+
+def skip_reason(path: str, source: str | None) -> str | None:
+    """Why a file has no units; null if it has some."""
+    if language_py(path) is None:
+        return SKIPS[0]
+    if source is None or not source.strip():
+        return SKIPS[1]
+    return None if file_units(path, source) else SKIPS[2]
+
+
 def file_units(path: str, source: str) -> list[dict]:
     kind = language_py(path)
     if kind == "python":
         return python_units(path, source)
     if kind in ("html", "vue", "svelte"):
         return html_units(path, source)
+    if kind == "qml":
+        return qml_units(path, source)
+    if kind in BRACES:
+        return brace_units(path, source, kind, _unit, raw_gaps)
     if kind in TEXT_FORMATS:
         return document_unit(path, source)
     return raw_gaps(path, source.split("\n"), [], []) if kind else []
@@ -191,6 +230,18 @@ def units(files: DataFrame) -> DataFrame:
     return files.select("file", "source").mapInPandas(run, SCHEMA)
 
 
+def skipped(files: DataFrame) -> DataFrame:
+    """file, reason of the files(file, source) that give no units."""
+
+    def run(batches):
+        for batch in batches:
+            reasons = [skip_reason(path, source) for path, source in zip(batch["file"], batch["source"], strict=True)]
+            out = pd.DataFrame({"file": batch["file"], "reason": reasons})
+            yield out[out["reason"].notna()]
+
+    return files.where("file is not null").select("file", "source").mapInPandas(run, "file string, reason string")
+
+
 def call_graph(rows: DataFrame) -> DataFrame:
     """name, called_by of the units that are called by name: sorted distinct callers."""
     edges = rows.select(F.col("name").alias("caller"), F.explode("calls").alias("name"))
@@ -198,12 +249,17 @@ def call_graph(rows: DataFrame) -> DataFrame:
     return edges.join(known, "name").groupBy("name").agg(F.sort_array(F.collect_set("caller")).alias("called_by"))
 
 
+LISTS = ("parameters", "calls", "called_by", "variables", "imports")
+
+
 def merged_units(rows: DataFrame) -> DataFrame:
-    """One row a file: code in line order, distinct lists in order, summed complexity, flags of any."""
-    ordered = F.array_sort(F.collect_list(F.struct("line", "code", "calls", "imports")))
-    out = rows.groupBy("file").agg(ordered.alias("u"), F.sum("complexity").alias("complexity"), *[F.bool_or(c).alias(c) for c in FLAGS])
-    lists = {c: F.array_distinct(F.flatten(F.col(f"u.{c}"))) for c in ("calls", "imports")}
-    return out.select("file", F.array_join(F.transform("u", lambda s: s["code"]), "\n").alias("code"), *[v.alias(k) for k, v in lists.items()], "complexity", *FLAGS)
+    """One row a file: name and language of its first unit, code in line order, distinct lists in order, summed
+    complexity, flags of any, the lines from the first to the last. Lists that rows lack are left out."""
+    lists = [c for c in LISTS if c in rows.columns]
+    ordered = F.array_sort(F.collect_list(F.struct("line", "end_line", "name", "code", *lists)))
+    out = rows.groupBy("file").agg(ordered.alias("u"), F.min("line").alias("line"), F.max("end_line").alias("end_line"), F.min("language").alias("language"), F.sum("complexity").alias("complexity"), *[F.bool_or(c).alias(c) for c in FLAGS])
+    own = {c: F.array_distinct(F.flatten(F.transform(F.col(f"u.{c}"), lambda x: F.coalesce(x, F.array().cast("array<string>"))))) for c in lists}
+    return out.select("file", F.col("u")[0]["name"].alias("name"), "language", "line", "end_line", F.array_join(F.transform("u", lambda s: s["code"]), "\n").alias("code"), *[v.alias(k) for k, v in own.items()], "complexity", *FLAGS)
 
 
 def embedding_text(most: int = 8192) -> Column:

@@ -31,8 +31,9 @@ def ignored(path: Column, extra: tuple[str, ...] = (), forced: tuple[str, ...] =
     return hit & ~F.exists(folders, lambda p: p.isin(*forced)) if forced else hit
 
 
-def gitignore_regexes(text: str) -> list[tuple[bool, str]]:
-    """(ignored, regular expression) of each line of a .gitignore, in order: the last match decides."""
+def gitignore_regexes(text: str, folder: str = "") -> list[tuple[bool, str]]:
+    """(ignored, regular expression) of each line of the .gitignore of a folder, in order: the last match decides."""
+    base = re.escape(folder.strip("/")) + "/" if folder.strip("/") else ""
     out = []
     for line in text.splitlines():
         line = line.rstrip()
@@ -42,7 +43,7 @@ def gitignore_regexes(text: str) -> list[tuple[bool, str]]:
         only_dir, line = line.endswith("/"), line.rstrip("/")
         anchored = "/" in line
         body = "".join("(?:.*/)?" if t == "**/" else ".*" if t == "**" else "[^/]*" if t == "*" else "[^/]" if t == "?" else re.escape(t) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]", line.lstrip("/")))
-        out.append((not negated, ("^" if anchored else "(?:^|/)") + body + ("/" if only_dir else "(?:/|$)")))
+        out.append((not negated, (f"^{base}" if anchored else f"^{base}(?:.*/)?") + body + ("/" if only_dir else "(?:/|$)")))
     return out
 
 
@@ -53,16 +54,39 @@ def not_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, gitignore: str = "", extra: tuple[str, ...] = (), forced: tuple[str, ...] = ()) -> DataFrame:
-    """The files below root in a known language, up to 512 KiB, that no rule ignores."""
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(folder, text) of every .gitignore below root, outer folders first; ignored folders are not entered."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out, todo = [], [""]
+    while todo:
+        folder = todo.pop(0)
+        for entry in fs.listStatus(path(f"{root.rstrip('/')}/{folder}".rstrip("/"))):
+            name = entry.getPath().getName()
+            if entry.isDirectory():
+                if name not in IGNORED:
+                    todo.append(f"{folder}/{name}".lstrip("/"))
+            elif name == ".gitignore":
+                stream = fs.open(entry.getPath())
+                out.append((folder, bytes(stream.readAllBytes()).decode("utf-8", "replace")))
+                stream.close()
+    return out
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, gitignore: str = "", extra: tuple[str, ...] = (), forced: tuple[str, ...] = (), files: list[str] | None = None) -> DataFrame:
+    """The files below root in a known language, up to 512 KiB, that no rule ignores: neither the tree's own
+    .gitignore files nor the given lines. files: only these, by their paths from root."""
     base = root.rstrip("/")
+    rules = [rule for folder, text in ignore_files(spark, base) for rule in gitignore_regexes(text, folder)] + gitignore_regexes(gitignore)
     # Spark lists no hidden folders, so those that are wanted are named.
     hidden = [spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{h}") for h in HIDDEN_ALLOWED]
     paths = [base, *(p.toString() for p in hidden if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), "^" + re.escape(re.sub(r"^[a-z0-9]+:/+", "/", base)) + "/", "")
-    rows = files.where(F.col("length") <= MOST_BYTES).withColumn("file", relative)
-    rows = rows.where(~ignored(F.col("file"), extra, forced) & language(F.col("file")).isNotNull() & not_ignored(F.col("file"), gitignore_regexes(gitignore)) & included(F.col("file"), patterns or []))
+    rows = found.where(F.col("length") <= MOST_BYTES).withColumn("file", relative)
+    rows = rows.where(~ignored(F.col("file"), extra, forced) & language(F.col("file")).isNotNull() & not_ignored(F.col("file"), rules) & included(F.col("file"), patterns or []))
+    if files is not None:
+        rows = rows.where(F.col("file").isin(*files))
     return rows.select("file", F.decode("content", "UTF-8").alias("source"), F.xxhash64("content").alias("hash"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from polyvec.codesearch import CodeSearch
+from polyvec.codesearch import CodeSearch, clone_index, search_all
 from polyvec.operators import encoder as enc
 
 FILES = {
@@ -35,6 +35,30 @@ def test_code_search(spark, tmp_path):
     assert code.refresh(f"file://{root}") == {"unchanged": 2, "deleted": 1, "changed": 1}
     assert code.search("drop_everything").first().file == "src/store.py"
     assert {r.file for r in code.files(code.engine.rows).collect()} == {"src/parser.py", "src/store.py", "tests/test_parser.py"}
+    assert code.reconcile() == {} and {r.language for r in code.stats().collect()} == {"python"}
+    hits = code.grouped(code.search("parse request"), "parse request").collect()
+    assert hits[0].file == "src/parser.py" and all(h.shown for h in hits[0].hits)
+    assert {r.file for r in code.search("rows", files=["src/parser.py"]).collect()} == {"src/parser.py"}
+    # Given files alone; ignore files of folders; several trees; a copy that goes on by itself.
+    write(root, {"src/extra.go": "package x\n\nfunc ParseRequest(a string) string {\n\treturn a\n}\n", "gen/.gitignore": "*.py\n", "gen/made.py": "def made():\n    pass\n", "src/bad.py": "def (\n"})
+    assert code.refresh(f"file://{root}", files=["src/extra.go"]) == {"added": 1}
+    assert code.status(f"file://{root}") == {"unchanged": 4, "added": 1} and [(r.file, r.reason) for r in code.skipped(f"file://{root}").collect()] == [("src/bad.py", "no units")]
+    other = clone_index(code, f"file://{tmp_path}/copy")
+    (root / "src/store.py").unlink()
+    assert other.refresh(f"file://{root}")["deleted"] == 1 and code.engine.count() > other.engine.count()
+    found = search_all({"a": code, "b": other}, "ParseRequest", 6).collect()
+    assert {r.path for r in found} == {"a", "b"} and found[0].file == "src/extra.go"
+
+
+def test_build_in_batches(spark, tmp_path):
+    root = tmp_path / "tree"
+    write(root, FILES)
+    seen = []
+    code = CodeSearch(spark, f"file://{tmp_path}/index", enc.HashEncoder(enc.EncoderConfig(query_length=8, document_length=80, dimension=16)), progress=lambda action, more: seen.append((action, more["documents"])))
+    code._index(code.plan(f"file://{root}")[0].where("file = 'src/store.py'"))  # what an interrupted build left
+    assert code.refresh(f"file://{root}", batch_files=2) == {"added": 3, "unchanged": 1}
+    assert len([a for a, _ in seen if a in ("create", "rebuild")]) >= 2 and seen[-1][0] == "text"
+    assert code.status(f"file://{root}") == {"unchanged": 4}
 
 
 def test_encoder(spark):

@@ -337,3 +337,65 @@ def test_best_cells_in_blocks():
         own = want if threshold is None else want[products[:, want].max(axis=0) >= threshold]
         for block in (3, 64, 1000):
             assert indexes.best_cells(q, book, allowed, 7, threshold, block).tolist() == allowed[own].tolist()
+
+
+def test_engine_restart_and_redelivery(spark, tmp_path):
+    """What was buffered stays so in a new engine; batches that come again change nothing; an append after a
+    flush writes only its own segments; ids with gaps keep rows and vectors together."""
+    from polyvec.streaming.ingest import apply_deletions
+
+    rng = np.random.default_rng(6)
+    data = [unit(rng.normal(size=(3, 8))) for _ in range(60)]
+    config = indexes.IndexConfig(start_from_scratch=10, buffer_size=20)
+    rows = lambda ids: spark.createDataFrame([(i, i, f"word{i} common") for i in ids], "doc_id long, key long, text string")
+    docs = lambda ids: spark.createDataFrame([(i, data[i].tolist()) for i in ids], "doc_id long, embs array<array<double>>")
+    at = f"file://{tmp_path}/index"
+    engine = Engine(spark, at, config)
+    odd = list(range(1, 60, 2))
+    assert engine.add(docs(odd[:15]), rows(odd[:15])) == "create"
+    engine.publish_text()
+    assert engine.add(docs(odd[15:25]), rows(odd[15:25])) == "buffer"
+    with pytest.raises(ValueError):
+        engine.add(docs([2]), rows([4]))
+    again = Engine(spark, at, config)
+    assert again.info()["buffered"] == 10 and again.info()["threshold"] > 0
+    before = again.manifest["tables"]
+    assert again.add(docs(odd[25:]), rows(odd[25:])) == "buffer" and again.info()["buffered"] == 15
+    assert again.add(docs(range(0, 12, 2)), rows(range(0, 12, 2))) == "expand" and again.info()["buffered"] == 0
+    kept = again.manifest["tables"]
+    assert kept["codes"][0] == before["codes"][0] and kept["docs"][: len(before["docs"])] == before["docs"] and not set(before["codes"][1:]) & set(kept["codes"])
+    assert again.add(docs([14]), rows([14])) == "buffer" and again.manifest["tables"]["codes"][:-1] == kept["codes"]
+    order = [*odd, *range(0, 12, 2), 14]
+    assert [r.key for r in again.metadata().collect()] == order
+    found = again.search(queries(spark, [data[i] for i in order]), parameters=indexes.SearchParameters(k=1), exact=True)
+    assert [r.key for r in found.orderBy("query_id").collect()] == order
+    assert again.search(text="word14").first().key == 14 and again.search(text="common", parameters=indexes.SearchParameters(k=99)).count() == len(order)
+    batch = spark.createDataFrame([(0, "doc_id = ?", ["0"]), (1, "doc_id < ?", ["2"])], "n int, condition string, values array<string>")
+    assert apply_deletions(again, batch, 4) == 3 and apply_deletions(again, batch, 4) == 0
+    assert again.count() == len(order) - 3 and again.metadata().first()["key"] == 7 and again.info()["deleted"] == 3
+    assert again.search(text="word1").count() == 0 and again.search(text="word7").first().doc_id == 0
+    assert again.delete("key > ?", [20]) > 10 and again.info()["deleted"] == 0  # so many that it was compacted
+    assert again.search(text="common", parameters=indexes.SearchParameters(k=99)).count() == again.count()
+    copy = again.clone(f"file://{tmp_path}/copy")
+    assert copy.delete("1=1") == again.count() and again.count() > 0 and copy.count() == 0 and copy.search(text="common").count() == 0
+
+
+def test_patterns_of_the_jvm(spark):
+    """What the JVM does not take as an expression counts literally."""
+    rows = spark.createDataFrame([("x (?P<a>b) y",), ("ab",)], "t string")
+    assert [r.t for r in rows.where(patterns.text_matches(F.col("t"), "(?P<a>b)")).collect()] == ["x (?P<a>b) y"]
+    assert rows.where(patterns.text_matches(F.col("t"), "a(?=b)")).count() == 1
+
+
+def test_phrases_counted_in_texts(spark):
+    """Counting by expressions is counting tokens, on texts with marks, ligatures and odd case."""
+    import random
+
+    rng = random.Random(4)
+    docs = ["".join(rng.choice(["a", "B", "b", "á", "a\u0301", "Ç", "ß", "_", " ", " ", ".", "é", "1", "Ж", "ж", "\u0301"]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    index = fulltext.build(rows)
+    written = fulltext.TextIndex("unicode61", index.postings, index.doc_stats, index.totals)
+    for query in ("a", "b", "ab", '"a b"', '"a a"', "ж", "c OR e", "a NOT b", '"b a" OR 1'):
+        one, two = ({r.doc_id: round(r.score, 9) for r in fulltext.matches(x, query).collect()} for x in (index, written))
+        assert one == two, query
