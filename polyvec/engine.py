@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyvec.functions.predicate import where
+from polyvec.functions.text import all_words_query, any_identifier_query
 from polyvec.operators import fulltext, fusion, ids as places, metadata as meta
 from polyvec.operators.codec import encode_docs, merged_threshold, residual_quantile
 from polyvec.operators.index import IndexConfig, SearchParameters, VectorIndex, added, create, dense, exact_search, expand, renumber, repair, search, statistics
@@ -309,8 +310,12 @@ class Engine:
             found = found.join(self.rows, "doc_id", "left").orderBy("query_id", "rank")
         return found
 
-    def keywords(self, texts: dict[int, str], k: int | None = 10, subset: DataFrame | None = None) -> DataFrame:
-        """query_id, rank, doc_id, score of several texts at once; one that is no valid query finds nothing."""
+    def keywords(self, texts: dict[int, str], k: int | None = 10, subset: DataFrame | None = None, words: str = "query") -> DataFrame:
+        """query_id, rank, doc_id, score of several texts at once; one that is no valid query finds nothing.
+
+        words: "query" takes texts as they are, "all" and "any" ask for all or any of a text's words, whatever
+        signs are between them."""
+        texts = {i: all_words_query(t) if words == "all" else any_identifier_query(t) if words == "any" else t for i, t in texts.items()}
         own = self.index.stored(subset.select("doc_id").distinct()) if subset is not None else None
         index = self.text_index()
         valid = {}

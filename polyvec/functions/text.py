@@ -135,6 +135,11 @@ def json_text(value) -> str:
     return "" if value is None else str(value)
 
 
+def rfc3339(moment: Column) -> Column:
+    """A timestamp as RFC 3339 in whole seconds, for a session in UTC."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def row_text(*columns: str) -> Column:
     """Metadata columns as one text; nulls are left out."""
     return F.concat_ws(" ", *[F.col(c).cast("string") for c in sorted(columns)])

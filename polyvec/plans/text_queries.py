@@ -288,6 +288,69 @@ def merged_ranges(spark, sf_dir):
 # Units, plans, streams
 
 
+_TEMPLATES = {
+    "js": "// makes one\nfunction make_{p}(a, b) {{\n  return use_{q}(a);\n}}\n",
+    "go": "package x\n\nfunc make_{p}(a int, b int) int {{\n\treturn use_{q}(a)\n}}\n",
+    "rs": "fn make_{p}(a: i32, b: i32) -> i32 {{\n    use_{q}(a)\n}}\n",
+    "java": "class C {{\n  int make_{p}(int a, int b) {{\n    if (a > b) {{ return use_{q}(a); }}\n    return b;\n  }}\n}}\n",
+    "c": "int make_{p}(int a, int b)\n{{\n    while (a < b) {{ a = use_{q}(a); }}\n    return a;\n}}\n",
+}
+
+
+def _sources(spark, sf_dir):
+    """Every part as a source file, in one of five languages; each calls what the part of its size makes."""
+    key, call = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    out = None
+    for k, (ending, body) in enumerate(_TEMPLATES.items()):
+        text = F.replace(F.replace(F.lit(body.replace("{{", "{").replace("}}", "}")), F.lit("{p}"), key), F.lit("{q}"), call)
+        here = F.col("p_partkey") % len(_TEMPLATES) == k
+        rows = F.struct(F.concat(F.lit("src/f"), key, F.lit(f".{ending}")).alias("file"), text.alias("source"))
+        out = F.when(here, rows) if out is None else out.when(here, rows)
+    return read(spark, sf_dir, "part").select(out.alias("r")).select("r.*")
+
+
+def code_units(spark, sf_dir):
+    """The functions and methods of those files."""
+    found = units.units(_sources(spark, sf_dir)).where("unit_type in ('function', 'method')")
+    return found.select("file", "name", "line", "end_line", "unit_type", "parent_class", F.array_join("parameters", ",").alias("parameters"), F.array_join("calls", ",").alias("calls"), "complexity", "has_loops", "has_branches")
+
+
+def merged_files(spark, sf_dir):
+    """One row a file: what all its units have together."""
+    got = units.merged_units(units.units(_sources(spark, sf_dir)))
+    return got.select("file", "language", "line", "end_line", F.array_join("parameters", ",").alias("parameters"), F.array_join("calls", ",").alias("calls"), "complexity", "has_loops", "has_branches")
+
+
+def call_graph_of_code(spark, sf_dir):
+    """Which functions call one of the parts' functions by name."""
+    found = units.units(_sources(spark, sf_dir)).withColumn("calls", F.transform("calls", lambda c: F.replace(c, F.lit("use_"), F.lit("make_"))))
+    return units.call_graph(found).select("name", F.array_join("called_by", ",").alias("called_by"))
+
+
+def skipped_files(spark, sf_dir):
+    """Files that give no units, with the reason: pages that are named as what they aren't."""
+    key = F.col("page_id")
+    name = F.concat(key.cast("string"), F.when(key % 3 == 0, ".html").when(key % 3 == 1, ".py").otherwise(".unknown"))
+    files = read(spark, sf_dir, "pages").select(name.alias("file"), F.when(key % 4 != 0, F.col("html")).otherwise(" ").alias("source"))
+    return units.skipped(files)
+
+
+def exact_files(spark, sf_dir):
+    """The units of a list of files."""
+    from polyvec.codesearch import CodeSearch
+
+    return _candidates(spark, sf_dir).where(CodeSearch.filters(None, files=["src/core/brand_1_test.py", "lib/util/brand_7.py", "none"], prefix="S")).select("unit_id", "file")
+
+
+def metadata_text(spark, sf_dir):
+    """Metadata as the text that keyword search sees."""
+    return read(spark, sf_dir, "documents").select("doc_id", texts.row_text("source", "n_chars", "lang").alias("text"))
+
+
+def event_times(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", texts.rfc3339(F.col("ts")).alias("at"))
+
+
 def html_units(spark, sf_dir):
     """Every page as a file: its inline scripts and its other lines."""
     files = read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.col("html").alias("source"))
@@ -332,10 +395,11 @@ QUERIES = {name: _where(*spec[0]) for name, spec in PREDICATES.items()} | {
     for f in (
         bm25_term, bm25_and, bm25_or, bm25_not, bm25_phrase, bm25_filtered, bm25_every_item, bm25_many, trigram_search, identifier_tokens, unicode_tokens, fuse_rrf, fuse_relative, hybrid_search, metadata_get_by_ids, metadata_check,
         metadata_distinct, metadata_count, metadata_update_where, metadata_schema_evolution, deleted_gap_ranges, repair_tail, glob_include, glob_exclude, glob_exclude_dirs, path_prefix, text_pattern_union, text_pattern_fixed,
-        matching_lines, path_penalty, file_coherence, collapse_by_file, merge_by_file, rerank_signals, merged_ranges, html_units, document_units, call_graph, update_plan, dedup_texts, language_of_path, embedding_text,
+        matching_lines, path_penalty, file_coherence, collapse_by_file, merge_by_file, rerank_signals, merged_ranges, code_units, merged_files, call_graph_of_code, skipped_files, exact_files, metadata_text, event_times, html_units, document_units, call_graph, update_plan, dedup_texts, language_of_path, embedding_text,
     )
 }
 
+_CODE_SQL = "with f as (select *, cast(p_partkey % 5 as int) as k, 'src/f' || p_partkey || ['.js', '.go', '.rs', '.java', '.c'][cast(p_partkey % 5 as int) + 1] as file, cast([2, 3, 1, 2, 1][cast(p_partkey % 5 as int) + 1] as int) as line, cast([3, 3, 3, 4, 5][cast(p_partkey % 5 as int) + 1] as int) as size from part)"
 _LICENSE_LINE = "regexp_matches(text, '(?i)licensed under')"
 
 PHRASE_SQL = f"""with {TOKEN_SQL}, f as (select doc_id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'public' and tokens[i + 1] = 'license')) as tf from tok), c as (select count(*) filter (tf > 0) as df from f)
@@ -384,5 +448,12 @@ select doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
     "call_graph": "select 'part_' || l_partkey as name, string_agg(distinct 'order_' || l_orderkey, ',' order by 'order_' || l_orderkey) as called_by from lineitem where l_partkey in (select p_partkey from part) group by l_partkey",
     "update_plan": "with o as (select doc_id || '.md' as file, length(lang) as h, doc_id % 3 as m from documents), s as (select (doc_id + 7) || '.md' as file, quality + 1 as h, doc_id % 3 as m from labels) select coalesce(s.file, o.file) as file, case when o.h is null then 'added' when s.h is null then 'deleted' when s.m = o.m then 'unchanged' when s.h = o.h then 'touched' else 'changed' end as action from s full join o on s.file = o.file",
     "dedup_texts": "select md5(text) as digest, count(*) as n from documents where text is not null group by text",
+    "code_units": _CODE_SQL + " select file, 'make_' || p_partkey as name, line, line + size - 1 as end_line, case when k = 3 then 'method' else 'function' end as unit_type, case when k = 3 then 'C' end as parent_class, 'a,b' as parameters, 'use_' || p_size as calls, case when k >= 3 then 2 else 1 end as complexity, k = 4 as has_loops, k = 3 as has_branches from f",
+    "merged_files": _CODE_SQL + " select file, ['javascript', 'go', 'rust', 'java', 'c'][k + 1] as language, 1 as line, cast([4, 5, 3, 6, 5][k + 1] as int) as end_line, 'a,b' as parameters, 'use_' || p_size as calls, [2, 2, 1, 3, 2][k + 1] as complexity, k = 4 as has_loops, k = 3 as has_branches from f",
+    "call_graph_of_code": "select 'make_' || p_size as name, string_agg(distinct 'make_' || p_partkey, ',' order by 'make_' || p_partkey) as called_by from part where p_size in (select p_partkey from part) group by p_size",
+    "skipped_files": "select page_id || case page_id % 3 when 0 then '.html' when 1 then '.py' else '.unknown' end as file, case when page_id % 3 = 2 then 'unknown language' when page_id % 4 = 0 then 'no text' else 'no units' end as reason from pages where page_id % 3 > 0 or page_id % 4 = 0",
+    "exact_files": f"with {_CAND} select unit_id, file from c where file in ('src/core/brand_1_test.py', 'lib/util/brand_7.py') and file ilike 's%'",
+    "metadata_text": "select doc_id, concat_ws(' ', lang, n_chars, source) as text from documents",
+    "event_times": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at from events",
     "language_of_path": rf"with {_CAND} select unit_id, case when file like '%.py' then 'python' when file like '%.ts' or file like '%.tsx' then 'typescript' when file like '%.kt' then 'kotlin' when file like '%.rs' then 'rust' end as language from c",
 }

@@ -373,6 +373,7 @@ def test_engine_restart_and_redelivery(spark, tmp_path):
     batch = spark.createDataFrame([(0, "doc_id = ?", ["0"]), (1, "doc_id < ?", ["2"])], "n int, condition string, values array<string>")
     assert apply_deletions(again, batch, 4) == 3 and apply_deletions(again, batch, 4) == 0
     assert again.count() == len(order) - 3 and again.metadata().first()["key"] == 7 and again.info()["deleted"] == 3
+    assert again.keywords({0: "word9, (common)?", 1: "nothing word11!"}, words="all").select("query_id").collect()[0][0] == 0 and again.keywords({1: "nothing or word11!"}, words="any").count() == 1
     assert again.search(text="word1").count() == 0 and again.search(text="word7").first().doc_id == 0
     assert again.delete("key > ?", [20]) > 10 and again.info()["deleted"] == 0  # so many that it was compacted
     assert again.search(text="common", parameters=indexes.SearchParameters(k=99)).count() == again.count()
