@@ -354,7 +354,7 @@ def event_times(spark, sf_dir):
 def html_units(spark, sf_dir):
     """Every page as a file: its inline scripts and its other lines."""
     files = read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.col("html").alias("source"))
-    return units.units(files).select("file", "name", "line", "end_line", "unit_type", F.length("code").alias("size"))
+    return units.units(files).select("file", "name", "line", "end_line", "unit_type", F.md5(F.col("code").cast("binary")).alias("digest"))
 
 
 def document_units(spark, sf_dir):
@@ -386,8 +386,9 @@ def language_of_path(spark, sf_dir):
 
 
 def embedding_text(spark, sf_dir):
-    files = read(spark, sf_dir, "pages").select(F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.col("html").alias("source"))
-    return units.units(files).select("file", "name", F.length(units.embedding_text()).alias("size"))
+    """What an encoder gets of each document, as a digest of the text."""
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.col("text").alias("source"))
+    return units.units(files).select("file", "name", F.md5(units.embedding_text().cast("binary")).alias("digest"))
 
 
 QUERIES = {name: _where(*spec[0]) for name, spec in PREDICATES.items()} | {
@@ -400,6 +401,7 @@ QUERIES = {name: _where(*spec[0]) for name, spec in PREDICATES.items()} | {
 }
 
 _CODE_SQL = "with f as (select *, cast(p_partkey % 5 as int) as k, 'src/f' || p_partkey || ['.js', '.go', '.rs', '.java', '.c'][cast(p_partkey % 5 as int) + 1] as file, cast([2, 3, 1, 2, 1][cast(p_partkey % 5 as int) + 1] as int) as line, cast([3, 3, 3, 4, 5][cast(p_partkey % 5 as int) + 1] as int) as size from part)"
+_PENALTY = r"((case when regexp_matches(file, '(_test\.py|Spec\.kt|\.test\.tsx)$') or file like '%/test/%' then 0.3 else 1 end) * (case when file like 'compat/%' then 0.3 else 1 end) * (case when file like 'examples/%' then 0.3 else 1 end) * (case when file like '%.d.ts' then 0.7 else 1 end) * (case when file like '%/__init__.py' then 0.5 else 1 end))"
 _LICENSE_LINE = "regexp_matches(text, '(?i)licensed under')"
 
 PHRASE_SQL = f"""with {TOKEN_SQL}, f as (select doc_id, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'public' and tokens[i + 1] = 'license')) as tf from tok), c as (select count(*) filter (tf > 0) as df from f)
@@ -439,7 +441,7 @@ select doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
     "text_pattern_union": r"select doc_id from documents where regexp_matches(text, '(?i)\b(licen[cs]ed under|gpl)\b')",
     "text_pattern_fixed": "select doc_id from documents where contains(text, 'License, version 3.')",
     "matching_lines": "with l as (select doc_id, unnest(string_split(text, chr(10))) as text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents) select doc_id, cast(line as int) as line, text from l where " + _LICENSE_LINE,
-    "path_penalty": rf"with {_CAND} select unit_id, file, round((case when regexp_matches(file, '(_test\.py|Spec\.kt|\.test\.tsx)$') or file like '%/test/%' then 0.3 else 1 end) * (case when file like 'compat/%' then 0.3 else 1 end) * (case when file like 'examples/%' then 0.3 else 1 end) * (case when file like '%.d.ts' then 0.7 else 1 end) * (case when file like '%/__init__.py' then 0.5 else 1 end), 6) as penalty from c",
+    "path_penalty": f"with {_CAND} select unit_id, file, round({_PENALTY}, 6) as penalty from c",
     "file_coherence": f"with {_CAND}, s as (select *, sum(score) over (partition by file) as total, row_number() over (partition by file order by score desc, unit_id) as r, max(score) over () as top from c), m as (select *, max(total) over () as most from s) select unit_id, file, round(score + case when r = 1 then top * 0.2 * total / most else 0 end, 4) as score from m",
     "collapse_by_file": f"with {_CAND}, s as (select *, min(line) over (partition by file) as a, max(end_line) over (partition by file) as b, row_number() over (partition by file order by score desc, unit_id) as r from c) select file, unit_id, a as line, b as end_line, round(score, 4) as score from s where r = 1",
     "merge_by_file": f"with {_CAND} select file, round(max(score), 4) as score, min(line) as line, max(end_line) as end_line from c where unit_id % 3 <> 1 group by file",
@@ -455,5 +457,11 @@ select doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
     "exact_files": f"with {_CAND} select unit_id, file from c where file in ('src/core/brand_1_test.py', 'lib/util/brand_7.py') and file ilike 's%'",
     "metadata_text": "select doc_id, concat_ws(' ', lang, n_chars, source) as text from documents",
     "event_times": "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at from events",
+    "rerank_signals": rf"""with {_CAND}, p as (select *, score * {_PENALTY} as s from c), q as (select *, s + case when file like '%/__init__.py' then 0 else 0.4 * max(s) over () end as t from p),
+h as (select *, sum(t) over (partition by file) as total, row_number() over (partition by file order by t desc, unit_id) as r, max(t) over () as top from q), m as (select *, max(total) over () as most from h),
+z as (select *, t + case when r = 1 then top * 0.2 * total / most else 0 end as final, min(line) over (partition by file) as a, max(end_line) over (partition by file) as b from m)
+select file, unit_id, a as line, b as end_line, round(final, 4) as score from z where r = 1""",
+    "html_units": r"with l as (select page_id || '.html' as file, string_split(html, chr(10)) as lines from pages where html is not null), n as (select file, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '\S')) as used from l) select file, 'raw_code_' || used[1] as name, cast(used[1] as int) as line, cast(used[-1] as int) as end_line, 'rawcode' as unit_type, md5(array_to_string(list_transform(used, lambda i: lines[i]), chr(10))) as digest from n where len(used) > 0",
+    "embedding_text": r"with l as (select doc_id, text, string_split(text, chr(10)) as lines from documents where regexp_matches(text, '\S')), f as (select *, list_position(list_transform(lines, lambda x: regexp_matches(x, '\S')), true) as a from l), g as (select *, lines[a:] as tail from f), h as (select *, list_position(list_transform(tail, lambda x: not regexp_matches(x, '\S')), true) as stop from g), k as (select doc_id, text, list_transform(tail[1:least(5, case when coalesce(stop, 0) = 0 then len(tail) else stop - 1 end)], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as head from h) select 'notes/' || doc_id || '.md' as file, doc_id::varchar as name, md5(substr('Document ' || doc_id || chr(10) || 'Signature: ' || head[1] || chr(10) || 'Description: ' || array_to_string(head, chr(10)) || chr(10) || 'File: notes ' || doc_id || ' md' || chr(10) || 'Code: ' || text, 1, 8192)) as digest from k",
     "language_of_path": rf"with {_CAND} select unit_id, case when file like '%.py' then 'python' when file like '%.ts' or file like '%.tsx' then 'typescript' when file like '%.kt' then 'kotlin' when file like '%.rs' then 'rust' end as language from c",
 }
