@@ -81,8 +81,6 @@ _SUFFIX = re.compile(r"(\+|-only|-or-later)$")
 #: An unknown operand that is an identifier all the same: a reference, or a name that ends in a version.
 _NAMED = re.compile(r"(licenseref|documentref)-.+|[a-z][a-z0-9.]*(-[a-z0-9.]+)*-v?\d[\w.]*")
 _EXCEPTION = re.compile(r"[a-z0-9.\-]*-(exception|note)(-[\w.]+)?|additionref-.+")
-_BREAKS = re.compile(r"\s*[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]\s*")
-_BLANKS = re.compile(r"[^\S\n]+")
 
 
 def identifier(word: str) -> tuple[str, int]:
@@ -112,7 +110,7 @@ def read_expression(text: str, at: int = 0) -> tuple[list[str], int]:
         while at < len(text) and text[at] == " ":
             at += 1
         m = _TOKEN.match(text, at)
-        if not m:
+        if not m or m[0] == TAG:
             break
         word = m[0] if m[0] in "()" else m[0].rstrip(".:")
         if operand:
@@ -213,7 +211,8 @@ def scan_text(text: str, automaton) -> list[tuple[int, str, int, list[str]]]:
     """(place, expression, class, licences) of every tag and notice, by place in the folded text.
 
     Folding makes a run of white space one sign: a line break where it has one, else a blank."""
-    text = _BLANKS.sub(" ", _BREAKS.sub("\n", text.lower().strip()))
+    lines = (" ".join(line.split()) for line in text.lower().splitlines())
+    text = "\n".join(line for line in lines if line)
     spans = []
     for end, (size, name) in automaton.iter(text.replace("\n", " ")):
         start = end + 1 - size

@@ -379,6 +379,16 @@ def test_license_scan_against_naive(spark, documents):
     assert found[10**6][:2] == ("MIT", "permissive") and found[10**6 + 1][0] == "MIT" and 10**6 + 5 not in found
 
 
+def test_license_scan_is_linear_in_blanks():
+    import time
+
+    began = time.perf_counter()
+    automaton = licenses._automaton()
+    for text in (" " * 2_000_000 + "MIT License", "mit" + "\t \n" * 500_000 + "license", "SPDX-License-Identifier: " * 40_000 + "MIT", "(" * 500_000):
+        licenses.scan_text(text, automaton)
+    assert licenses.scan_text("mit" + " \n" * 1000 + "license", automaton)[0][1] == "MIT" and time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("form", ["{}", "({})"])
 def test_license_expression_is_read_whole(form):
     """Expressions of more than 4,000 characters, with the strictest licence at the end."""
