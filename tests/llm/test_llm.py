@@ -196,6 +196,23 @@ def test_near_duplicates_in_dealt_nodes(spark, depth):
     assert all(got[i] == i for i in range(960, 1360))
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows that repeat change nothing: nodes of different texts between the same two stay apart."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(200):
+        base = [rng.choice(words) for _ in range(120)]
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(120), 12):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    once, twice = ({tuple(r) for r in near_dup.near_duplicates(d, threshold=0.3, depth=1, trees=2).collect()} for d in (docs, docs.union(docs)))
+    assert once == twice and len(once) > 300
+
+
 def test_near_duplicates_ids_of_any_kind(spark):
     """Strings as ids, and ids that come with several texts, each of which counts."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
