@@ -1,25 +1,24 @@
 """Near-duplicate groups by a Chosen-Path set similarity join over minwise tokens.
 
-A document is the set of its word 3-grams. Each of a number of independent random trees picks, at
-every node, minwise coordinates with probability 1/(threshold * COORDS) each; a document moves to
-the child named by its own minwise token there. Two sets of similarity J then share an expected
-J/threshold children a level, unrelated ones next to none. A node of at most ``leaf`` documents is
-compared exhaustively; a larger one branches again, to ``depth`` at most. Path ids are hashes, so a
-level of all trees is one shuffle on the node id. The number of trees follows from ``recall``: a
-pair at the threshold has a common node at the deepest level in one tree with survival(depth).
-
-Groups of thousands of copies never thin out by branching. So every row carries a label, a document
-it is known to be connected with by edges found so far. In a large node ``leaf`` documents are
-compared with all; rows connected that way share a label from there on. Pairs of one label need no
-comparison: a node of a single label ends, one with few documents outside its commonest label is
-finished by comparing those with all, and any other branches with all its rows.
-
-Whole texts count, every document is a query, and nothing is capped: at ``depth`` every node is
-compared in blocks, all pairs of different labels.
-
-Nodes are counted with a partial sum in each task. A node of more than ``held`` rows is dealt out to
-several tasks: above ``depth`` each branches its share of the rows, at ``depth`` each compares two
-shares, and every two shares meet.
+A document is the set of its word 3-grams. Each of a number of independent random trees picks
+minwise coordinates with probability 1/(threshold * COORDS) each; a document goes to the node named by
+its own minwise token there. Two sets of similarity J then share an expected J/threshold nodes a tree,
+unrelated ones next to none. Node ids are hashes, so all trees are one shuffle on the node id.
+
+A link is a pair that shares a node and is similar by the estimate. Both depend on the two texts only:
+every node, whatever its size, yields the links of all its pairs. Sizes decide how a node is compared,
+not what is found:
+
+* A node of at most ``leaf`` documents is compared exhaustively, with others of that kind at once.
+* In a larger one rows found connected share a label, and pairs of one label need no comparison. ``leaf``
+  documents outside the commonest label are compared with all, again and again.
+* Where that stays much work, the node branches on so many bands of coordinates that no similar pair can
+  differ in all of them: two rows that agree in all but m coordinates agree in one of m + 1 bands at
+  least. The children are compared exhaustively. Where bands separate little, all pairs are compared.
+* A node of more than ``held`` rows is dealt out to several tasks; each compares two shares, and every
+  two shares meet.
+
+Whole texts count, every document is a query, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -38,8 +37,9 @@ from polyvec.operators.index import numbered
 
 COORDS = 256
 SHINGLE = 3
-HELD = 1 << 17  # rows of a node held in a task; a larger node is dealt out, all rows
-SEEN = 1 << 8  # one text in so many is looked at to find the nodes that are dealt out at the first level
+HELD = 1 << 17  # rows of a node held in a task, or half of them; a larger node is dealt out, all rows
+MUCH = 1 << 22  # pairs of a node above which bands are tried
+SEEN = 1 << 8  # one text in so many is looked at to find the nodes that are dealt out
 _A = (mix64(np.arange(1, COORDS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix64(np.arange(10_001, COORDS + 10_001, dtype=U64)) >> U64(32)).astype(np.uint32)
 
@@ -146,9 +146,25 @@ def _signed(batches, trees: int, rate: float):
             )
 
 
+def _estimate(agree: np.ndarray) -> np.ndarray:
+    """Jaccard estimates from numbers of equal bytes, corrected for the one chance in 256 that bytes agree."""
+    return (agree.astype(np.float32) / np.float32(COORDS) - 1 / 256) / (1 - 1 / 256)
+
+
 def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of signature rows, corrected for the one chance in 256 that bytes agree."""
-    return ((a == b).mean(axis=-1, dtype=np.float32) - 1 / 256) / (1 - 1 / 256)
+    """Jaccard estimates of signature rows."""
+    lanes = (a == b).view(U64).sum(axis=-1, dtype=U64)  # eight counts of at most COORDS / 8
+    pairs = (lanes & U64(0x00FF00FF00FF00FF)) + ((lanes >> U64(8)) & U64(0x00FF00FF00FF00FF))
+    pairs = pairs + (pairs >> U64(32))
+    return _estimate((pairs + (pairs >> U64(16))) & U64(0xFFFF))
+
+
+def _bands(threshold: float) -> list[slice]:
+    """Coordinates of which similar rows agree in at least one whole slice; none where there are too few."""
+    least = int((_estimate(np.arange(COORDS + 1)) < threshold).sum())
+    count = max(0, COORDS - least) + 1
+    width = min(8, COORDS // count)
+    return [slice(k * width, (k + 1) * width) for k in range(count)] if width else []
 
 
 def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +185,12 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[member], ids[label[member]]
 
 
-def _level(batches, level: int, last: bool, threshold: float, leaf: int, rate: float, most: int = HELD):
-    """Over rows sorted by node: edges of the nodes (node null), rows of the next level (twin: their label)."""
+def _links(batches, threshold: float, leaf: int, much: int = MUCH):
+    """Over rows sorted by node: links that connect what all similar pairs of each node connect."""
+    bands = _bands(threshold)
 
-    def small(node, doc, sig, label):
-        """Exhaustive comparison in all nodes at once: row i with row i + d, for each distance d."""
+    def small(node, sig, label):
+        """(row, row) of the similar pairs of all nodes at once: row i with row i + d, for each distance d."""
         found = []
         d = 1
         live = np.arange(len(node))
@@ -186,9 +203,9 @@ def _level(batches, level: int, last: bool, threshold: float, leaf: int, rate: f
             for s in range(0, len(new), 8192):
                 i = new[s : s + 8192]
                 i = i[_similar(sig[i], sig[i + d]) >= threshold]
-                found.append((doc[i], doc[i + d]))
+                found.append((i, i + d))
             d += 1
-        return found
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
     def cross(rows, pick, sig, label):
         """(row, row of pick) of all similar pairs with different labels."""
@@ -200,118 +217,90 @@ def _level(batches, level: int, last: bool, threshold: float, leaf: int, rate: f
             found.append((part[r], pick[c]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def edges(found):
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        a, b = _star(a, b)
-        n = len(a)
-        return pa.record_batch([pa.nulls(n, pa.int64()), pa.array(a), pa.nulls(n, pa.binary()), pa.array(b)], names=["node", "doc_id", "sig", "twin"])
-
-    def branch(node, doc, sig, label):
-        for t in range(0, len(doc), 8192):
-            row, child = children(np.full(len(doc[t : t + 8192]), node, np.int64).view(U64), sig[t : t + 8192], level, rate)
-            for s in range(0, len(row), 20_000):
-                r = row[s : s + 20_000] + t
-                n = len(r)
-                yield pa.record_batch(
-                    [
-                        pa.array(child[s : s + 20_000].view(np.int64)),
-                        pa.array(doc[r]),
-                        pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * COORDS).astype(np.int32)), pa.py_buffer(sig[r].tobytes())]),
-                        pa.array(label[r]),
-                    ],
-                    names=["node", "doc_id", "sig", "twin"],
-                )
-
-    def settle(node, held, whole):
-        """Rows of a large node; whole: all of them, so that what is compared with all need not branch."""
-        doc, sig, label = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        done, rounds = np.zeros(len(doc), bool), 0
-        while True:
-            names, count = np.unique(label, return_counts=True)
-            rest = np.flatnonzero((label != names[count.argmax()]) & ~done)
-            if not len(rest) or (rounds and not (last or (whole and len(rest) <= 4 * leaf))):
-                break
-            pick = rest[:leaf]
-            done[pick] = True
-            a, b = cross(np.flatnonzero(~done), pick, sig, label)
-            among = small(np.zeros(len(pick), np.int64), pick, sig[pick], label[pick])
-            a, b = (np.concatenate((x, *y)) for x, y in zip((a, b), zip(*among, strict=True) if among else ((), ()), strict=True))
+    def settle(doc, sig):
+        """Pairs of a node of more than leaf rows."""
+        label = np.unique(doc, return_inverse=True)[1]
+        found, spent = [], 0
+
+        def note(a, b):
+            nonlocal label
             if len(a):
-                yield edges([(doc[a], doc[b])])
+                found.append((doc[a], doc[b]))
                 member, least = _star(label[a], label[b])
-                order = np.argsort(member)
-                at = np.minimum(np.searchsorted(member, label, sorter=order), len(member) - 1)
-                label = np.where(member[order][at] == label, least[order][at], label)
-            rounds += 1
-        if not last and (len(rest) or not whole):
-            stay = ~done if whole else np.ones(len(doc), bool)
-            yield from branch(node, doc[stay], sig[stay], label[stay])
-
-    def large(node, blocks):
-        """One node of more than leaf documents. blocks: its rows so far, then the rest."""
-        held, whole = [], True
-        for block in blocks:
-            held.append(block)
-            if not last and sum(len(x[0]) for x in held) > most:
-                whole = False
-                yield from settle(node, held, whole)
+                new = np.arange(label.max() + 1)
+                new[member] = least
+                label = new[label]
+
+        def exhaust(rows, rounds=-1):
+            """Compares rows with each other, all pairs of different labels or so many rounds: rows that are left."""
+            nonlocal spent
+            while rounds and len(rows):
+                count = np.bincount(label[rows])
+                rest = np.flatnonzero(label[rows] != count.argmax())[:leaf]
+                if not len(rest):
+                    return rows[:0]
+                pick, rows = rows[rest], np.delete(rows, rest)
+                spent += len(pick) * (len(rows) + len(pick))
+                a, b = cross(rows, pick, sig, label)
+                x, y = small(np.zeros(len(pick), np.int64), sig[pick], label[pick])
+                note(np.concatenate((a, pick[x])), np.concatenate((b, pick[y])))
+                rounds -= 1
+            return rows
+
+        rows = exhaust(np.arange(len(doc)), 4)
+        rest = len(rows) - np.bincount(label[rows]).max() if len(rows) else 0
+        work, spent = rest * (len(rows) - rest // 2), 0
+        for band in bands if work > much else ():
+            key = np.zeros(len(rows), U64)
+            for column in range(band.start, band.stop):
+                key = (key << U64(8)) | sig[rows, column]
+            order = np.argsort(key, kind="stable")
+            key, there = key[order], rows[order]
+            cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            sizes = np.diff(cuts)
+            few = np.repeat((sizes > 1) & (sizes <= leaf), sizes)
+            x, y = small(key[few], sig[there[few]], label[there[few]])
+            spent += 2 * int((sizes[(sizes > 1) & (sizes <= leaf)] ** 2).sum())  # such a pair takes four times as long
+            note(there[few][x], there[few][y])
+            for k in np.flatnonzero(sizes > leaf):
+                exhaust(there[cuts[k] : cuts[k + 1]])
+            if 2 * spent > work:
+                break
+        else:
+            if work > much and bands:
+                rows = rows[:0]
+        exhaust(rows)
+        return found
+
+    def whole(batches):
+        """(node, doc, sig) of one or more whole nodes at a time."""
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig")
+            raw = np.frombuffer(sig.buffers()[2], np.uint8)[sig.offset * COORDS : (sig.offset + len(sig)) * COORDS]
+            rows = np.asarray(batch.column("node")), np.asarray(batch.column("doc_id")), raw.reshape(-1, COORDS)
+            last = int(np.argmax(rows[0] == rows[0][-1]))  # where the last node begins, which may go on
+            if held and (last or held[-1][0][-1] != rows[0][0]):
+                yield tuple(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in rows), strict=True))
+                held = []
+            elif last:
+                yield tuple(x[:last] for x in rows)
+            held.append(tuple(x[last:] for x in rows))
         if held:
-            yield from settle(node, held, whole)
-
-    tail = None
-    source = iter(batches)
-    batch = next(source, None)
-
-    def parts(b):
-        sig = b.column("sig")
-        raw = np.frombuffer(sig.buffers()[2], np.uint8)[sig.offset * COORDS : (sig.offset + len(sig)) * COORDS]
-        return np.asarray(b.column("node")), np.asarray(b.column("doc_id")), raw.reshape(-1, COORDS), np.asarray(b.column("twin"))
-
-    while batch is not None:
-        rows = parts(batch)
-        batch = next(source, None)
-        if not len(rows[0]):
-            continue
-        if tail is not None:
-            rows = tuple(np.concatenate(x) for x in zip(tail, rows, strict=True))
-            tail = None
-        node = rows[0]
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    for node, doc, sig in whole(batches):
         cuts = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]))
         sizes = np.diff(cuts)
-        if batch is not None and sizes[-1] <= leaf:  # the last node may go on
-            tail = tuple(x[cuts[-2] :] for x in rows)
-            cuts, sizes = cuts[:-1], sizes[:-1]
-        size_of = np.repeat(sizes, sizes)
-        pick = np.flatnonzero((size_of > 1) & (size_of <= leaf))
-        if len(pick):
-            found = small(*(x[pick] for x in rows))
-            if sum(len(x) for x, _ in found):
-                yield edges(found)
+        few = np.repeat((sizes > 1) & (sizes <= leaf), sizes)
+        x, y = small(node[few], sig[few], doc[few])
+        found = [(doc[few][x], doc[few][y])]
         for k in np.flatnonzero(sizes > leaf):
-            s, e = cuts[k], cuts[k + 1]
-            if e < len(node) or batch is None:
-                yield from large(node[s], [tuple(x[s:e] for x in rows[1:])])
-                continue
-            here = node[s]
-
-            def rest(rows=rows, s=s, e=e, here=here):
-                nonlocal batch, tail
-                yield tuple(x[s:e] for x in rows[1:])
-                while batch is not None:
-                    more = parts(batch)
-                    n2 = more[0]
-                    same = int(np.searchsorted(n2 != here, True)) if len(n2) and n2[-1] != here else len(n2)
-                    batch = next(source, None)
-                    if same:
-                        yield tuple(x[:same] for x in more[1:])
-                    if same < len(n2):
-                        tail = tuple(x[same:] for x in more)
-                        return
-
-            yield from large(here, rest())
-    if tail is not None and len(tail[0]) > 1:
-        yield from _level(iter([pa.record_batch([pa.array(tail[0]), pa.array(tail[1]), pa.array([x.tobytes() for x in tail[2]], pa.binary()), pa.array(tail[3])], names=["node", "doc_id", "sig", "twin"])]), level, last, threshold, leaf, rate, most)
+            found += settle(doc[cuts[k] : cuts[k + 1]], sig[cuts[k] : cuts[k + 1]])
+        a, b = _star(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,21 +328,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _dealt(rows: DataFrame, hot: DataFrame, last: bool, held: int) -> DataFrame:
-    """rows with part; those of a node of hot(node, n) get parts of held rows or less on average, by a hash.
+def _dealt(rows: DataFrame, hot: DataFrame, held: int) -> DataFrame:
+    """rows; those of a node of hot(node, n) get parts of held rows or less on average, by a hash.
 
-    At the last level rows are repeated, once for every other part of their node, and the node's
-    id becomes that of the two parts, so that each two parts meet in one task."""
+    They are repeated, once for every part of their node, and the node's id becomes that of the two
+    parts, so that each two parts meet in one task."""
     rows = rows.join(hot, "node", "left")
     parts = F.ceil(F.col("n") / held).cast("int")
-    own = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(1)), parts).cast("int"), F.lit(0))
-    rows = rows.withColumn("part", own)
-    if last:
-        others = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
-        rows = rows.withColumn("other", F.explode(others))
-        pair = F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other"))
-        rows = rows.withColumn("node", F.when(F.col("n").isNull(), F.col("node")).otherwise(pair)).withColumn("part", F.lit(0))
-    return rows.select("node", "part", "doc_id", "sig", "twin")
+    own = F.pmod(F.xxhash64("doc_id", "sig", F.lit(1)), parts).cast("int")
+    others = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), parts - 1))
+    rows = rows.withColumn("part", own).withColumn("other", F.explode(others))
+    pair = F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other"))
+    return rows.select(F.when(F.col("n").isNull(), F.col("node")).otherwise(pair).alias("node"), "doc_id", "sig")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.95, leaf: int = 64, depth: int = 6, trees: int | None = None, held: int = HELD) -> DataFrame:
@@ -361,9 +347,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.9
 
     docs needs doc_id, of any type that has an order, and text. threshold: Jaccard similarity of the
     word 3-grams, estimated from 256 minwise values (standard error 0.03 at 0.5); groups are the
-    connected components. A pair at the threshold is compared with probability recall at least,
-    more similar ones with a greater one, whatever the size of the table: the number of trees is
-    taken for that, unless it is given.
+    connected components. Two texts are linked or not whatever the table's size and its other texts
+    are: pairs of a common node are all compared. The number of trees is taken such that pairs at the
+    threshold would share a node with probability recall even after branching to depth, unless it is
+    given; as nodes are compared before any branching, they do with 1 - (1 - survival(1))^trees, more
+    similar ones with a greater probability. leaf and held change the cost only.
 
     Null or wordless texts, and rows without doc_id, are in no group. Rows that repeat a doc_id
     count as one document with all their texts: whatever is similar to one of them is in its group.
@@ -402,36 +390,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, recall: float = 0.9
         cold = place.join(hot.select("node"), "node", "left_anti")
     own = Window.partitionBy("node")
     cold = cold.withColumns({"n": F.count("*").over(own), "low": F.min("print").over(own), "high": F.max("print").over(own), "mixed": F.bit_xor("print").over(own), "added": F.sum(F.shiftrightunsigned(F.xxhash64("print"), 24)).over(own)}).where("n > 1")
-    # Nodes of the same few texts would be compared with the same result: one of them stays. (Two texts are
-    # told by their least and greatest print, more by these, their number and the prints, which are hashes, xored.
+    # Nodes of the same texts would be compared with the same result: one of them stays. (Two texts are told
+    # by their least and greatest print, more by these, their number and the prints, which are hashes, xored.
     # Repeated rows cancel each other in that; so 40 bits of another hash are added up besides.)
-    few = cold.where(F.col("n") <= leaf).groupBy("n", "low", "high", "mixed", "added").agg(F.min("node").alias("node")).select("node", F.lit(True).alias("stays"))
-    cold = cold.join(few, "node", "left").where((F.col("n") > leaf) | F.col("stays")).select("print", "node").distinct()
+    one = cold.groupBy("n", "low", "high", "mixed", "added").agg(F.min("node").alias("node")).select("node")
+    cold = cold.join(one, "node", "left_semi").select("print", "node").distinct()
     if not hot.isEmpty():
         cold = cold.unionByName(place.join(hot.select("node"), "node", "left_semi").distinct())
     once = signed.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    rows = cold.join(once, "print").select("node", "doc_id", "sig", F.col("doc_id").alias("twin"))
-    found, steps = [same.select("a", "b")], []
-    for level in range(1, depth + 1):
-        last = level == depth
-        if level > 1 or last:
-            hot = scratch.write(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > held)) if level > 1 else hot
-        if hot.isEmpty():
-            placed = rows.repartition("node").sortWithinPartitions("node", "doc_id")
-        else:
-            placed = _dealt(rows, hot, last, held).repartition("node", "part").sortWithinPartitions("node", "part", "doc_id").drop("part")
-        step = scratch.write(placed.mapInArrow(lambda it, level=level, last=last: _level(it, level, last, threshold, leaf, rate, held), "node long, doc_id long, sig binary, twin long"))
-        steps.append(step)
-        found.append(step.where("node is null and doc_id <> twin").select(F.col("doc_id").alias("a"), F.col("twin").alias("b")))
-        rows = step.where("node is not null")
-        if last or rows.isEmpty():
-            break
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
+    rows = cold.join(once, "print").select("node", "doc_id", "sig")
+    if not hot.isEmpty():
+        rows = _dealt(rows, hot, held)
+    placed = rows.repartition("node").sortWithinPartitions("node")
+    links = scratch.write(placed.mapInArrow(lambda it: _links(it, threshold, leaf), "a long, b long"))
+    edges = same.select("a", "b").unionByName(links)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     groups = components(edges)
-    scratch.drop(signed, same, *steps)
+    scratch.drop(signed, same, hot, links)
     return groups.select("doc_id", F.col("root").alias("duplicate_of"))
 
 

@@ -180,6 +180,45 @@ def test_near_duplicates_recall_at_the_threshold(spark):
     assert 1 - (1 - near_dup.survival(6)) ** near_dup.trees_for(0.95, 6) >= 0.95 > 1 - (1 - near_dup.survival(6)) ** (near_dup.trees_for(0.95, 6) - 1)
 
 
+def test_near_duplicates_whatever_the_size(spark):
+    """Texts of common blocks, so that nodes are large: a small part of the table has no link that the whole
+    lacks, and the sizes at which nodes are compared or dealt out in another way change nothing."""
+    rng = random.Random(3)
+    blocks = [" ".join(f"b{i}x{j}" for j in range(12)) for i in range(60)]
+    texts = []
+    for _ in range(500):
+        both, rest = (lambda x: (x[:20], x[20:40]))(rng.sample(blocks, 40))
+        texts += [" ".join(both + rest[:10]), " ".join(both + rest[10:])]
+    low = (near_dup.mix64(near_dup.signatures(*near_dup.shingles(pa.array(texts))).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+    every = [(a, b) for a in range(1000) for b in a + 1 + np.flatnonzero(near_dup._similar(low[a], low[a + 1 :]) >= 0.5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found(docs, **sizes):
+        return {tuple(r) for r in near_dup.near_duplicates(docs, **sizes).collect()}
+
+    whole = found(docs, trees=2, leaf=2000)
+    root = dict(whole)
+    part = found(docs.where("doc_id < 100"), trees=2)
+    assert len(part) > 10 and all(root.get(a, a) == root.get(b, b) for a, b in part)
+    assert found(docs, trees=2) == found(docs, trees=2, leaf=4) == found(docs, trees=2, held=256) == whole
+    assert found(docs, leaf=4) == set(zip(*near_dup._star(*np.array(every).T), strict=True))
+
+
+@pytest.mark.parametrize(("shared", "much"), [(0.1, 0), (0.45, 0), (0.1, 1 << 60)])
+def test_near_duplicate_links_against_all_pairs(shared, much):
+    """By bands, by bands that separate little, and by all pairs, a large node has the same components."""
+    rng = np.random.default_rng(6)
+    base, centre = rng.integers(0, 256, 256).astype(np.uint8), rng.integers(0, 256, (700, 256)).astype(np.uint8)
+    centre = np.where(rng.random(centre.shape) < shared, base, centre)
+    sig = centre[rng.integers(0, 700, 1500)]
+    sig = np.where(rng.random(sig.shape) < rng.uniform(0, 0.6, (1500, 1)), rng.integers(0, 256, sig.shape), sig).astype(np.uint8)
+    a, b = np.nonzero(np.concatenate([near_dup._similar(sig[i : i + 50, None], sig[None]) for i in range(0, 1500, 50)]) >= 0.5)
+    table = pa.table({"node": np.full(1500, 7), "doc_id": np.arange(1500), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+    got = [near_dup._star(np.asarray(r["a"]), np.asarray(r["b"])) for r in near_dup._links(table.to_batches(400), 0.5, 16, much)]
+    assert len(got) == 1 and 300 < len(got[0][0]) < 1400
+    assert set(zip(*got[0], strict=True)) == set(zip(*near_dup._star(a, b), strict=True))
+
+
 @pytest.mark.parametrize("depth", [2, 6])
 def test_near_duplicates_in_dealt_nodes(spark, depth):
     """Nodes of more rows than a task may hold are dealt out, at the last level too; the groups stay the same."""
