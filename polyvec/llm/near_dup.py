@@ -38,7 +38,7 @@ from polyvec.operators.index import numbered
 COORDS = 256
 SHINGLE = 3
 HELD = 1 << 17  # rows of a node held in a task, or half of them; a larger node is dealt out, all rows
-MUCH = 1 << 22  # pairs of a node above which bands are tried
+MUCH = 1 << 24  # pairs of a node above which bands are tried
 SEEN = 1 << 8  # one text in so many is looked at to find the nodes that are dealt out
 _A = (mix64(np.arange(1, COORDS + 1, dtype=U64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix64(np.arange(10_001, COORDS + 10_001, dtype=U64)) >> U64(32)).astype(np.uint32)
@@ -159,10 +159,14 @@ def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _estimate((pairs + (pairs >> U64(16))) & U64(0xFFFF))
 
 
+def _miss(threshold: float) -> int:
+    """In so many coordinates similar rows differ at most."""
+    return max(0, COORDS - int((_estimate(np.arange(COORDS + 1)) < threshold).sum()))
+
+
 def _bands(threshold: float) -> list[slice]:
     """Coordinates of which similar rows agree in at least one whole slice; none where there are too few."""
-    least = int((_estimate(np.arange(COORDS + 1)) < threshold).sum())
-    count = max(0, COORDS - least) + 1
+    count = _miss(threshold) + 1
     width = min(8, COORDS // count)
     return [slice(k * width, (k + 1) * width) for k in range(count)] if width else []
 
@@ -187,7 +191,8 @@ def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(batches, threshold: float, leaf: int, much: int = MUCH):
     """Over rows sorted by node: links that connect what all similar pairs of each node connect."""
-    bands = _bands(threshold)
+    bands, miss = _bands(threshold), _miss(threshold)
+    first = min(255, miss + 32)
 
     def small(node, sig, label):
         """(row, row) of the similar pairs of all nodes at once: row i with row i + d, for each distance d."""
@@ -208,19 +213,28 @@ def _links(batches, threshold: float, leaf: int, much: int = MUCH):
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
 
     def cross(rows, pick, sig, label):
-        """(row, row of pick) of all similar pairs with different labels."""
+        """(row, row of pick) of all similar pairs with different labels. Those that differ too often in the
+        first coordinates can't be similar; the others are compared whole."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        some = sig[pick]
-        for i in range(0, len(rows), 64):
-            part = rows[i : i + 64]
-            r, c = np.nonzero((_similar(sig[part][:, None, :], some[None, :, :]) >= threshold) & (label[part][:, None] != label[pick][None, :]))
-            found.append((part[r], pick[c]))
+        some = sig[pick, :first]
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
+            turned = np.ascontiguousarray(sig[part, :first].T)
+            differ, one = np.zeros((len(pick), len(part)), np.uint8), np.empty((len(pick), len(part)), bool)
+            for k in range(first):
+                np.not_equal(some[:, k, None], turned[k], out=one)
+                np.add(differ, one.view(np.uint8), out=differ)
+            c, r = np.nonzero((differ <= miss) & (label[pick][:, None] != label[part]))
+            for j in range(0, len(c), 8192):
+                x, y = part[r[j : j + 8192]], pick[c[j : j + 8192]]
+                same = _similar(sig[x], sig[y]) >= threshold
+                found.append((x[same], y[same]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def settle(doc, sig):
         """Pairs of a node of more than leaf rows."""
         label = np.unique(doc, return_inverse=True)[1]
-        found, spent = [], 0
+        found = []
 
         def note(a, b):
             nonlocal label
@@ -233,14 +247,12 @@ def _links(batches, threshold: float, leaf: int, much: int = MUCH):
 
         def exhaust(rows, rounds=-1):
             """Compares rows with each other, all pairs of different labels or so many rounds: rows that are left."""
-            nonlocal spent
             while rounds and len(rows):
                 count = np.bincount(label[rows])
                 rest = np.flatnonzero(label[rows] != count.argmax())[:leaf]
                 if not len(rest):
                     return rows[:0]
                 pick, rows = rows[rest], np.delete(rows, rest)
-                spent += len(pick) * (len(rows) + len(pick))
                 a, b = cross(rows, pick, sig, label)
                 x, y = small(np.zeros(len(pick), np.int64), sig[pick], label[pick])
                 note(np.concatenate((a, pick[x])), np.concatenate((b, pick[y])))
@@ -254,18 +266,20 @@ def _links(batches, threshold: float, leaf: int, much: int = MUCH):
             key = np.zeros(len(rows), U64)
             for column in range(band.start, band.stop):
                 key = (key << U64(8)) | sig[rows, column]
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((label[rows], key))
             key, there = key[order], rows[order]
             cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
             sizes = np.diff(cuts)
-            few = np.repeat((sizes > 1) & (sizes <= leaf), sizes)
+            mixed = label[there[cuts[:-1]]] != label[there[cuts[1:] - 1]]  # children of several labels
+            # A pair of a small child takes some forty times as long as one of a block.
+            spent += int((np.where(sizes > leaf, 1, 40) * sizes * (sizes - 1) // 2)[mixed].sum())
+            if 4 * spent > work:
+                break
+            few = np.repeat(mixed & (sizes <= leaf), sizes)
             x, y = small(key[few], sig[there[few]], label[there[few]])
-            spent += 2 * int((sizes[(sizes > 1) & (sizes <= leaf)] ** 2).sum())  # such a pair takes four times as long
             note(there[few][x], there[few][y])
-            for k in np.flatnonzero(sizes > leaf):
+            for k in np.flatnonzero(mixed & (sizes > leaf)):
                 exhaust(there[cuts[k] : cuts[k + 1]])
-            if 2 * spent > work:
-                break
         else:
             if work > much and bands:
                 rows = rows[:0]

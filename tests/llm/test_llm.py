@@ -204,7 +204,7 @@ def test_near_duplicates_whatever_the_size(spark):
     assert found(docs, leaf=4) == set(zip(*near_dup._star(*np.array(every).T), strict=True))
 
 
-@pytest.mark.parametrize(("shared", "much"), [(0.1, 0), (0.45, 0), (0.1, 1 << 60)])
+@pytest.mark.parametrize(("shared", "much"), [(0.0, 0), (0.1, 0), (0.45, 0), (0.1, 1 << 60)])
 def test_near_duplicate_links_against_all_pairs(shared, much):
     """By bands, by bands that separate little, and by all pairs, a large node has the same components."""
     rng = np.random.default_rng(6)
