@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import polyvec.operators.maxsim as maxsim
+import polyvec.operators.metrics as metrics
 
 
 def _case(spark, copies=1):
@@ -62,3 +63,17 @@ def test_a_task_keeps_k_rows_of_a_query():
     nothing = maxsim.Best(1, 2)
     nothing.take(np.arange(3), np.array([[np.nan], [1.0], [np.inf]]))
     assert nothing.rows()[1].tolist() == [1, 0]
+
+
+def test_metrics_of_common_documents(spark):
+    """As with a row for each query and relevant document, which are not made; without relevant ones, zeros."""
+    run = spark.createDataFrame([(q, r, (q * 3 + r * r) % 17) for q in range(9) for r in range(1, 8)], "query_id long, rank int, doc_id long")
+    relevant = spark.createDataFrame([(d, d % 4) for d in range(14)], "doc_id long, rel int")
+    asked = run.select("query_id")
+    for k in (3, 7):
+        got = metrics.evaluate_common(run, asked, relevant, k)
+        assert "NestedLoopJoin" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = metrics.evaluate(run, asked.distinct().crossJoin(relevant), k)
+        round_off = lambda rows: sorted(tuple(round(x, 9) for x in r) for r in rows.collect())
+        assert round_off(got) == round_off(want) and got.count() == 9
+    assert {tuple(r)[1:] for r in metrics.evaluate_common(run, asked, relevant.where("rel > 9"), 3).collect()} == {(0.0, 0.0, 0.0)}
