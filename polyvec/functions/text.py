@@ -53,7 +53,8 @@ def phrase_pattern(phrase: tuple[str, ...]) -> str:
 
     words = ["".join(map(sign, t)) for t in phrase]
     rest = "".join(rf"[^\p{{L}}\p{{N}}\p{{Co}}]+{w}(?!{inside})" for w in words[1:])
-    return rf"(?<![\p{{L}}\p{{N}}\p{{Co}}]\p{{M}}{{0,8}}){words[0]}(?!{inside})" + (f"(?={rest})" if rest else "")
+    # The first sign is looked at before what is behind it: at most places that is all.
+    return rf"(?={sign(phrase[0][0])})(?<![\p{{L}}\p{{N}}\p{{Co}}]\p{{M}}{{0,8}}){words[0]}(?!{inside})" + (f"(?={rest})" if rest else "")
 
 
 def unicode_tokens(text: Column) -> Column:

@@ -88,7 +88,7 @@ def _bm25(terms: list[str], condition: str) -> str:
 
 
 def _semantic(spark, sf_dir):
-    return maxsim.ranked(maxsim.maxsim_topk(docs(spark, sf_dir), every_query(spark, sf_dir), 35).drop("rank").withColumn("score", F.round("score", 6)), 30).select("query_id", "rank", "doc_id", "score")
+    return maxsim.maxsim_topk(docs(spark, sf_dir), every_query(spark, sf_dir), 30, digits=6)
 
 
 def _keyword(spark, sf_dir):
@@ -110,7 +110,7 @@ def hybrid_search(spark, sf_dir):
     """Both sides restricted by a condition, fused, with metadata."""
     rows = read(spark, sf_dir, "documents")
     subset = where(rows, "n_chars >= ?", [400]).select("doc_id")
-    semantic = maxsim.ranked(maxsim.maxsim_topk(docs(spark, sf_dir).join(subset, "doc_id", "left_semi"), every_query(spark, sf_dir), 35).drop("rank").withColumn("score", F.round("score", 6)), 30)
+    semantic = maxsim.maxsim_topk(docs(spark, sf_dir).join(subset, "doc_id", "left_semi"), every_query(spark, sf_dir), 30, digits=6)
     words = fulltext.matches(_index(spark, sf_dir), "the OR license OR der OR que").join(subset, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
     best = maxsim.ranked(words.withColumn("query_id", F.lit(0)), 30).select("rank", "doc_id", "score")
     keyword = every_query(spark, sf_dir).select("query_id").distinct().crossJoin(best)
