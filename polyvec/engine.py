@@ -300,7 +300,7 @@ class Engine:
         wide = replace(parameters, k=parameters.k * 3) if hybrid else parameters
         semantic = None
         if queries is not None:
-            semantic = exact_search(self.index, queries, wide.k, subset) if exact else search(self.index, queries, wide, subset)
+            semantic = exact_search(self.index, queries, wide.k, subset, wide.digits) if exact else search(self.index, queries, wide, subset)
         keyword = None
         if text is not None:
             query_id = queries.select("query_id").first()[0] if hybrid else 0

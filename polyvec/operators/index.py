@@ -41,6 +41,7 @@ class SearchParameters:
     probes: int = 8
     full_scores: int = 4096
     centroid_threshold: float | None = 0.4
+    digits: int | None = None  # scores are rounded to so many before they are ranked
 
 
 @dataclass
@@ -247,14 +248,14 @@ def search(index: VectorIndex, queries: DataFrame, parameters: SearchParameters
     return index.placed(found)
 
 
-def exact_search(index: VectorIndex, queries: DataFrame, k: int = 10, subset: DataFrame | None = None) -> DataFrame:
+def exact_search(index: VectorIndex, queries: DataFrame, k: int = 10, subset: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """query_id, rank, doc_id, score of every live document, or of those in subset(doc_id)."""
     from polyvec.operators.maxsim import maxsim_topk
 
     rows = index.alive(index.docs)
     if subset is not None:
         rows = rows.join(index.stored(subset.select("doc_id").distinct()), "doc_id", "left_semi")
-    return index.placed(maxsim_topk(rows, queries, k))
+    return index.placed(maxsim_topk(rows, queries, k, digits=digits))
 
 
 # Maintenance
@@ -277,17 +278,21 @@ def outlying(index: VectorIndex, docs: DataFrame) -> DataFrame:
     """points(h, v): the tokens of docs that are farther from all centroids than the threshold."""
     shared, limit = shared_book(index), index.codec.threshold**2
 
-    def far(batches):
+    def outside(batches):
         for batch in batches:
             e, _ = matrix(batch.column("embs"))
             book = shared.value
-            for s in range(0, len(e), step := max(1, (32 << 20) // max(1, len(book)))):
+            length = (book**2).sum(axis=1)
+            for s in range(0, len(e), step := max(1, (2 << 20) // max(1, len(book)))):
                 part = e[s : s + step]
-                near = np.maximum(0, (part * part).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)[None, :]).min(axis=1)
+                far = part @ book.T
+                far *= -2
+                far += length
+                near = np.maximum(0, far.min(axis=1) + (part * part).sum(axis=1))
                 out = part[near > limit]
                 yield pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), e.shape[1]).cast(pa.list_(pa.float64()))], names=["v"])
 
-    return docs.select("embs").mapInArrow(far, "v array<double>").select(F.xxhash64("v").alias("h"), "v")
+    return docs.select("embs").mapInArrow(outside, "v array<double>").select(F.xxhash64("v").alias("h"), "v")
 
 
 def expand(index: VectorIndex, docs: DataFrame) -> Codec:

@@ -41,9 +41,8 @@ def engine_after_deletes(spark, sf_dir):
     """The exact ten best after three adds and two deletes, the second by position; with metadata."""
     engine = _engine(spark, sf_dir)
     engine.delete_many([("lang = ?", ["fr"]), ("doc_id < ?", [3])])
-    found = engine.search(every_query(spark, sf_dir), parameters=SearchParameters(k=15), exact=True)
-    ranks = _rounded(found.select("query_id", "doc_id", "score"))
-    return ranks.join(engine.rows, "doc_id").select("query_id", "rank", "doc_id", "score", "lang", "n_chars")
+    found = engine.search(every_query(spark, sf_dir), parameters=SearchParameters(digits=6), exact=True)
+    return found.select("query_id", "rank", "doc_id", "score", "lang", "n_chars")
 
 
 AFTER = "m as (select doc_id as was, row_number() over (order by doc_id) - 1 as p, lang, n_chars from documents where doc_id in (select doc_id from t) and lang <> 'fr'), live as (select was, p - 3 as doc_id, lang, n_chars from m where p >= 3)"
@@ -53,8 +52,8 @@ def engine_filtered(spark, sf_dir):
     """The same within a condition on metadata."""
     engine = _engine(spark, sf_dir)
     engine.delete("lang = ?", ["de"])
-    found = engine.search(every_query(spark, sf_dir), parameters=SearchParameters(k=15), exact=True, condition="n_chars >= ? AND lang != ?", values=[400, "es"], with_metadata=False)
-    return _rounded(found.select("query_id", "doc_id", "score"))
+    found = engine.search(every_query(spark, sf_dir), parameters=SearchParameters(digits=6), exact=True, condition="n_chars >= ? AND lang != ?", values=[400, "es"], with_metadata=False)
+    return found.select("query_id", "rank", "doc_id", "score")
 
 
 def engine_eviction(spark, sf_dir):

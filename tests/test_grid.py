@@ -77,3 +77,14 @@ def test_metrics_of_common_documents(spark):
         round_off = lambda rows: sorted(tuple(round(x, 9) for x in r) for r in rows.collect())
         assert round_off(got) == round_off(want) and got.count() == 9
     assert {tuple(r)[1:] for r in metrics.evaluate_common(run, asked, relevant.where("rel > 9"), 3).collect()} == {(0.0, 0.0, 0.0)}
+
+
+def test_exact_search_rounds_before_it_ranks(spark):
+    """Documents that are equal but for the last digits are in the order of their ids, however many there are."""
+    import polyvec.operators.index as indexes
+    from polyvec.operators.codec import Codec
+
+    docs = spark.createDataFrame([(i, [[1.0 + (i % 7) * 1e-9, 0.0]]) for i in range(60)], "doc_id long, embs array<array<double>>").repartition(4)
+    asked = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query_id long, qpos int, qvec array<double>")
+    index = indexes.create(docs, codec=Codec(4, np.eye(2), np.linspace(-1, 1, 15), np.zeros(16), np.zeros(2), 0.0))
+    assert [r.doc_id for r in indexes.exact_search(index, asked, 10, digits=6).orderBy("rank").collect()] == list(range(10))
