@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 from polyvec.operators.vectors import dot, every_task, matrix
 
 
-def assign(e: np.ndarray, centroids: np.ndarray, budget: int = 256 << 20) -> np.ndarray:
-    """The centroid of the greatest product for each row, the last of equals; in blocks of the budget."""
-    step = max(1, budget // (8 * max(1, len(centroids))))
+def assign(e: np.ndarray, centroids: np.ndarray, budget: int = 16 << 20) -> np.ndarray:
+    """The centroid of the greatest product for each row, the last of equals; in blocks of the budget, of rows
+    and of centroids, so that neither a large batch nor a large codebook takes more memory."""
+    wide = max(1, min(len(centroids), 1 << 14))
+    step = max(1, budget // (8 * wide))
     out = np.zeros(len(e), np.int32)
     for s in range(0, len(e), step):
-        p = np.nan_to_num(e[s : s + step] @ centroids.T, nan=-np.inf)
-        out[s : s + step] = p.shape[1] - 1 - p[:, ::-1].argmax(axis=1)
+        own = e[s : s + step]
+        most, at = np.full(len(own), -np.inf), np.zeros(len(own), np.int32)
+        for c in range(0, len(centroids), wide):
+            p = own @ centroids[c : c + wide].T
+            np.nan_to_num(p, copy=False, nan=-np.inf)
+            best = p.shape[1] - 1 - p[:, ::-1].argmax(axis=1)
+            value = p[np.arange(len(own)), best]
+            later = value >= most
+            most[later], at[later] = value[later], best[later] + c
+        out[s : s + step] = at
     return out
 
 
@@ -48,7 +58,9 @@ class Codec:
     def encode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, packed buckets): a bucket is the number of cutoffs strictly below the residual."""
         codes = assign(e, self.centroids)
-        return codes, pack_buckets(np.searchsorted(self.cutoffs, e - self.centroids[codes], side="left").astype(np.uint8), self.nbits)
+        step = max(1, (1 << 18) // max(1, e.shape[1]))
+        parts = [pack_buckets(np.searchsorted(self.cutoffs, e[s : s + step] - self.centroids[codes[s : s + step]], side="left").astype(np.uint8), self.nbits) for s in range(0, len(e), step)]
+        return codes, np.concatenate(parts) if parts else pack_buckets(np.zeros(e.shape, np.uint8), self.nbits)
 
     def decode(self, codes: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Centroid plus bucket weights, brought to length 1."""

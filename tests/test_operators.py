@@ -400,3 +400,25 @@ def test_phrases_counted_in_texts(spark):
     for query in ("a", "b", "ab", '"a b"', '"a a"', "ж", "c OR e", "a NOT b", '"b a" OR 1'):
         one, two = ({r.doc_id: round(r.score, 9) for r in fulltext.matches(x, query).collect()} for x in (index, written))
         assert one == two, query
+
+
+def test_encoding_takes_little_memory():
+    """Blocks of rows and of centroids bound what a task holds; the codes are those of whole products."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    e, book = rng.normal(size=(40_000, 16)), unit(rng.normal(size=(900, 16)))
+    book[899] = book[3]
+    book[20] = 0
+    own = codec.Codec(4, book, np.linspace(-1, 1, 15), np.zeros(16), np.zeros(16), 0.0)
+    tracemalloc.start()
+    codes, packed = own.encode(e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    want = 899 - (e[:2000] @ book.T)[:, ::-1].argmax(axis=1)
+    assert (codes[:2000] == want).all() and packed.shape == (40_000, 8)
+    wide = unit(rng.normal(size=(40_000, 4)))
+    wide[39_999] = wide[7]
+    assert codec.assign(wide[7:8], wide).tolist() == [39_999]
+    assert codec.assign(np.full((1, 4), np.nan), wide).tolist() == [39_999]
