@@ -64,7 +64,11 @@ class Codec:
 
     def decode(self, codes: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Centroid plus bucket weights, brought to length 1."""
-        e = self.centroids[codes] + self.weights[unpack_buckets(packed, self.nbits, self.centroids.shape[1])]
+        return self.vectors(codes, unpack_buckets(packed, self.nbits, self.centroids.shape[1]))
+
+    def vectors(self, codes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """decode() of buckets that are unpacked."""
+        e = self.centroids[codes] + self.weights[buckets]
         return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
 
 

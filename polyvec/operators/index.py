@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from polyvec.operators import grid, kmeans
 from polyvec.operators import ids as places
-from polyvec.operators import kmeans
-from polyvec.operators.codec import Codec, encode_docs, train, unpacked
-from polyvec.operators.maxsim import ranked, segment_maxsim, slices_of
+from polyvec.operators.codec import Codec, encode_docs, train, unpack_buckets, unpacked
+from polyvec.operators.maxsim import query_numbers, ranked, segment_maxsim, slices_of
 from polyvec.operators.vectors import matrix, query_matrix
 
 
@@ -131,26 +131,43 @@ def best_cells(q: np.ndarray, book: np.ndarray, allowed: np.ndarray, n: int, thr
     return allowed[best if threshold is None else best[most[best] >= threshold]]
 
 
-def probe(index: VectorIndex, queries: DataFrame, parameters: SearchParameters, eligible: np.ndarray | None = None, scale: float = 1.0) -> DataFrame:
-    """cells(query_id, centroid_id) to look into, found in tasks by whole queries."""
+def _prober(index: VectorIndex, parameters: SearchParameters, eligible: np.ndarray | None, scale: float):
+    """A function for tasks: the cells of a query's vectors."""
     allowed = np.arange(len(index.codec.centroids)) if eligible is None else eligible
     n = min(len(allowed), max(1, int(np.ceil(parameters.probes * scale))))
-    shared = shared_book(index)
-    threshold = parameters.centroid_threshold
+    shared, threshold = shared_book(index), parameters.centroid_threshold
+    return lambda q: best_cells(q, shared.value, allowed, n, threshold) if len(q) and len(allowed) else allowed[:0]
+
+
+def probe(index: VectorIndex, queries: DataFrame, parameters: SearchParameters, eligible: np.ndarray | None = None, scale: float = 1.0) -> DataFrame:
+    """cells(query_id, centroid_id) to look into, found in tasks by whole queries."""
+    cells = _prober(index, parameters, eligible, scale)
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("vecs")
-            count = np.asarray(lists.value_lengths()).astype(np.int64)
-            q = np.asarray(lists.flatten().flatten())
-            q = q.reshape(int(count.sum()), -1)
+            q, count = matrix(batch.column("vecs"))
             ends = np.cumsum(count)
-            found = [best_cells(q[e - c : e], shared.value, allowed, n, threshold) if c and len(allowed) else allowed[:0] for c, e in zip(count, ends, strict=True)]
+            found = [cells(q[e - c : e]) for c, e in zip(count, ends, strict=True)]
             size = [len(f) for f in found]
             yield pa.record_batch([batch.column("query_id").take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32))], names=["query_id", "centroid_id"])
 
-    own = queries.groupBy("query_id").agg(F.collect_list(F.col("qvec").cast("array<double>")).alias("vecs"))
-    return own.select(F.col("query_id").cast("long").alias("query_id"), "vecs").mapInArrow(run, "query_id long, centroid_id int")
+    return grid.nested_queries(queries).mapInArrow(run, "query_id long, centroid_id int")
+
+
+def probed(index: VectorIndex, queries: DataFrame, parameters: SearchParameters, eligible: np.ndarray | None = None, scale: float = 1.0) -> DataFrame:
+    """The queries as rows of a grid (operators/grid.py), each with its cells."""
+    cells = _prober(index, parameters, eligible, scale)
+
+    def run(batches):
+        for batch in batches:
+            count = np.asarray(batch.column("n")).astype(np.int64)
+            q = grid.numbers(batch.column("data"), np.float64).reshape(int(count.sum()), -1)
+            ends = np.cumsum(count)
+            found = [cells(q[e - c : e]).astype(np.int32) for c, e in zip(count, ends, strict=True)]
+            own = grid.binaries(np.concatenate(found) if found else np.zeros(0, np.int32), np.array([len(f) for f in found], np.int64))
+            yield pa.record_batch([batch.column("id"), batch.column("n"), batch.column("data"), own], names=["id", "n", "data", "more"])
+
+    return grid.packed(grid.nested_queries(queries), "query_id", "vecs").mapInArrow(run, grid.PACKED)
 
 
 def probe_plan(index: VectorIndex, subset: DataFrame | None) -> tuple[DataFrame, DataFrame, np.ndarray | None, float]:
@@ -228,6 +245,134 @@ def rough_limit(parameters: SearchParameters) -> int:
     return min(parameters.full_scores, max(parameters.full_scores // 4, parameters.k))
 
 
+FEW = 1 << 16  # numbers of a query batch that is searched list by list
+CODED = 64 << 20  # buckets of documents that a task of the grid holds
+
+
+class _Coded:
+    """The documents of a task: codes and buckets, in the order of their ids."""
+
+    def __init__(self, table: pa.Table, codec: Codec, book: np.ndarray):
+        ids, count = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        start = np.cumsum(count) - count
+        token = spans(start[order], count[order])
+        self.ids, self.count = ids[order], count[order]
+        self.start = np.cumsum(self.count) - self.count
+        self.code = grid.numbers(table.column("more"), np.int32)[token]
+        self.raw = grid.numbers(table.column("data"), np.uint8).reshape(len(token), -1)[token] if len(token) else np.zeros((0, 0), np.uint8)
+        self.codec, self.buckets = replace(codec, centroids=book), None
+        self.own, self.at = np.unique(self.code, return_inverse=True)
+        self.number = np.full(len(book), -1)
+        self.number[self.own] = np.arange(len(self.own))
+
+    def rough(self, q: np.ndarray, first: np.ndarray, cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores by centroids alone, is it a candidate) [documents, queries]."""
+        scores = segment_maxsim((self.codec.centroids[self.own] @ q.T)[self.at], self.count, first)
+        inside = np.zeros((len(self.own), len(cells)), np.float32)
+        for j, c in enumerate(cells):
+            here = self.number[c]
+            inside[here[here >= 0], j] = 1
+        return scores, segment_maxsim(inside[self.at], self.count, np.arange(len(cells))) > 0
+
+    def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The scores of documents, by their place, from the decoded vectors."""
+        if self.buckets is None:
+            step = 1 << 14
+            self.buckets = np.concatenate([unpack_buckets(self.raw[s : s + step], self.codec.nbits, self.codec.centroids.shape[1]) for s in range(0, len(self.raw), step)])
+            self.raw = None
+        token = spans(self.start[rows], self.count[rows])
+        return segment_maxsim(self.codec.vectors(self.code[token], self.buckets[token]) @ q.T, self.count[rows], np.zeros(1, np.int64))[:, 0]
+
+
+def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ..., start + count - 1 of each, one after another."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _candidates_of(docs: _Coded, batches, entries: int = 4 << 20):
+    """(query id, vectors, places of its candidates, their rough scores), query by query."""
+    for batch in batches:
+        count = np.asarray(batch.column("n")).astype(np.int64)
+        q = grid.numbers(batch.column("data"), np.float64).reshape(int(count.sum()), -1)
+        ids, ends = np.asarray(batch.column("id")), np.cumsum(count)
+        cells = [np.frombuffer(c or b"", np.int32) for c in batch.column("more").to_pylist()]
+        for s, n in slices_of(count, max(1, len(docs.code)), entries):
+            begin = ends[s] - count[s]
+            part = q[begin : ends[s + n - 1]]
+            scores, inside = docs.rough(part, ends[s : s + n] - count[s : s + n] - begin, cells[s : s + n])
+            for j in range(n):
+                place = np.flatnonzero(inside[:, j])
+                if len(place):
+                    yield ids[s + j], q[ends[s + j] - count[s + j] : ends[s + j]], place, scores[place, j]
+
+
+def _searched(index: VectorIndex, codes: DataFrame, asked: DataFrame, work, schema: str) -> tuple[DataFrame, int]:
+    """(what work(documents, query batches) yields in a grid that holds documents, their shares)."""
+    codec, shared = replace(index.codec, centroids=None), shared_book(index)
+    own, other = grid.shares(index.meta["tokens"] * index.codec.centroids.shape[1], CODED, grid.tasks(codes.sparkSession))
+
+    def packed(batches):
+        for batch in batches:
+            count = np.asarray(batch.column("codes").value_lengths().fill_null(0)).astype(np.int64)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(count.astype(np.int32)), batch.column("residuals"), grid.binaries(np.asarray(batch.column("codes").flatten()).astype(np.int32), count)], names=["id", "n", "data", "more"])
+
+    def run(table, batches):
+        yield from work(_Coded(table, codec, shared.value), batches)
+
+    rows = codes.select(F.col("doc_id").cast("long").alias("doc_id"), "codes", "residuals").mapInArrow(packed, grid.PACKED)
+    return grid.crossed(rows, asked, own, other, run, schema), own
+
+
+def rough_candidates(index: VectorIndex, codes: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id, score by centroids alone of every live document in the cells of asked (probed()): no
+    pair is shuffled."""
+
+    def work(docs, batches):
+        for query_id, _, place, score in _candidates_of(docs, batches):
+            yield pa.record_batch([pa.array(np.full(len(place), query_id)), pa.array(docs.ids[place]), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return _searched(index, index.alive(codes), asked, work, "query_id long, doc_id long, score double")[0]
+
+
+def _search_grid(index: VectorIndex, codes: DataFrame, asked: DataFrame, parameters: SearchParameters) -> DataFrame:
+    """query_id, doc_id, score, worse: all steps of search() in the tasks of a grid. A task that has all documents
+    gives the k best of a query, else the rough cut is made over all shares."""
+    limit, k, digits = rough_limit(parameters), parameters.k, parameters.digits
+    whole = grid.shares(index.meta["tokens"] * index.codec.centroids.shape[1], CODED, 1)[0] == 1
+
+    def work(docs, batches):
+        held, size = [], 0
+        for query_id, q, place, rough in _candidates_of(docs, batches):
+            if len(place) > limit:
+                first = np.argsort(-rough, kind="stable")[:limit]
+                place, rough = place[first], rough[first]
+            score = docs.exact(place, q)
+            score = score if digits is None else np.round(score, digits)
+            if whole:
+                best = np.lexsort((place, np.zeros(len(place)) if digits is not None else -rough, -score))[:k]
+                place, rough, score = place[best], rough[best], score[best]
+            held.append((np.full(len(place), query_id), docs.ids[place], score, -rough))
+            size += len(place)
+            if size > 1 << 17:
+                yield _rows(held)
+                held, size = [], 0
+        if held:
+            yield _rows(held)
+
+    found, _ = _searched(index, index.alive(codes), asked, work, _FULL)
+    if whole:
+        return found
+    return ranked(found.withColumn("_full", F.col("score")).withColumn("score", -F.col("worse")), limit).select("query_id", "doc_id", F.col("_full").alias("score"), "worse")
+
+
+_FULL = "query_id long, doc_id long, score double, worse double"
+
+
+def _rows(parts) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["query_id", "doc_id", "score", "worse"])
+
+
 def search(index: VectorIndex, queries: DataFrame, parameters: SearchParameters = SearchParameters(), subset: DataFrame | None = None) -> DataFrame:
     """query_id, rank, doc_id, score of queries(query_id, qpos, qvec), pruned in four steps:
 
@@ -235,16 +380,26 @@ def search(index: VectorIndex, queries: DataFrame, parameters: SearchParameters
     centroids alone and keep max(full_scores / 4, k) (full_scores at most), then score exactly from
     the decoded vectors. A subset(doc_id) is applied before probing: only its cells are probed, and
     the more of them the smaller it is. Without candidates the result is empty.
+
+    A batch of up to FEW numbers reads the lists of its cells; for a larger one, whose cells are most of them, a
+    grid of tasks (operators/grid.py) holds the codes, so that no pair of query and candidate is shuffled.
+    With parameters.digits equal rounded scores go by doc_id, else by rough scores first.
     """
     spark = index.codes.sparkSession
     codes, ivf, eligible, scale = probe_plan(index, subset)
-    cells = probe(index, queries, parameters, eligible, scale).toArrow()
-    if not cells.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    rough = rough_scores(index, codes, candidates(index, ivf, cells), queries)
-    kept = ranked(rough, rough_limit(parameters)).select("query_id", "doc_id", "score")
-    full = exact_scores(index, codes, kept, queries)
-    found = ranked(full, parameters.k, "worse", "doc_id").select("query_id", "rank", "doc_id", "score")
+    if query_numbers(queries) > FEW:
+        full = _search_grid(index, codes, probed(index, queries, parameters, eligible, scale), parameters)
+    else:
+        cells = probe(index, queries, parameters, eligible, scale).toArrow()
+        if not cells.num_rows:
+            return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+        rough = rough_scores(index, codes, candidates(index, ivf, cells), queries)
+        kept = ranked(rough, rough_limit(parameters)).select("query_id", "doc_id", "score")
+        full = exact_scores(index, codes, kept, queries)
+        if parameters.digits is not None:
+            full = full.withColumn("score", F.round("score", parameters.digits))
+    ties = ("worse", "doc_id") if parameters.digits is None else ("doc_id",)
+    found = ranked(full, parameters.k, *ties).select("query_id", "rank", "doc_id", "score")
     return index.placed(found)
 
 

@@ -88,3 +88,47 @@ def test_exact_search_rounds_before_it_ranks(spark):
     asked = spark.createDataFrame([(0, 0, [1.0, 0.0])], "query_id long, qpos int, qvec array<double>")
     index = indexes.create(docs, codec=Codec(4, np.eye(2), np.linspace(-1, 1, 15), np.zeros(16), np.zeros(2), 0.0))
     assert [r.doc_id for r in indexes.exact_search(index, asked, 10, digits=6).orderBy("rank").collect()] == list(range(10))
+
+
+@pytest.mark.parametrize("coded", [64 << 20, 3000])
+@pytest.mark.parametrize("digits", [None, 6])
+def test_pruned_search_in_a_grid(spark, monkeypatch, coded, digits):
+    """As by lists, whether a task has all documents or a share of them: cuts, subsets, deleted documents, ties."""
+    import polyvec.operators.ids as places
+    import polyvec.operators.index as indexes
+    from polyvec.operators.codec import Codec
+
+    rng = np.random.default_rng(8)
+    data = [rng.normal(size=(int(rng.integers(0, 6)), 8)).round(1) for _ in range(70)] * 3
+    docs = spark.createDataFrame([(i, d.tolist()) for i, d in enumerate(data)], "doc_id long, embs array<array<double>>").repartition(4)
+    asked = spark.createDataFrame([(i, j, v.tolist()) for i, d in enumerate(data[:30]) for j, v in enumerate(d)], "query_id long, qpos int, qvec array<double>")
+    book = rng.normal(size=(12, 8))
+    index = indexes.create(docs, codec=Codec(4, book, np.linspace(-1, 1, 15), np.linspace(-1, 1, 16), np.zeros(8), 0.0))
+    gone = places.blocks(spark.range(0, 210, 11).withColumnRenamed("id", "doc_id"), 210)
+    subset = spark.range(0, 190, 3).withColumnRenamed("id", "doc_id")
+    own = indexes.VectorIndex(index.codec, index.docs, index.codes, index.ivf, index.meta, gone)
+    monkeypatch.setattr(indexes, "CODED", coded)
+    for parameters in (indexes.SearchParameters(6, 2, 80, None, digits), indexes.SearchParameters(6, 3, 4096, 0.4, digits)):
+        for chosen in (None, subset):
+            runs = []
+            for few in (1 << 20, 0):
+                monkeypatch.setattr(indexes, "FEW", few)
+                runs.append(sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in indexes.search(own, asked, parameters, chosen).collect()))
+            assert runs[0] and runs[0] == runs[1]
+    cells = indexes.probe(own, asked, parameters).toArrow()
+    pairs = indexes.rough_scores(own, own.codes, indexes.candidates(own, own.ivf, cells), asked)
+    grid = indexes.rough_candidates(own, own.codes, indexes.probed(own, asked, parameters))
+    rows = lambda t: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in t.collect())
+    assert rows(pairs) and rows(pairs) == rows(grid)
+
+
+def test_pruned_search_of_equal_rounded_scores(spark, small, monkeypatch):
+    """The registered searches are the same by lists and in a grid."""
+    import polyvec.catalog as catalog
+    import polyvec.operators.index as indexes
+
+    runs = []
+    for few in (1 << 30, 0):
+        monkeypatch.setattr(indexes, "FEW", few)
+        runs.append([sorted(map(tuple, catalog.queries()[n](spark, small).collect())) for n in ("pruned_search", "pruned_search_filtered")])
+    assert runs[0] == runs[1]
