@@ -265,15 +265,33 @@ class _Coded:
         self.own, self.at = np.unique(self.code, return_inverse=True)
         self.number = np.full(len(book), -1)
         self.number[self.own] = np.arange(len(self.own))
-
-    def rough(self, q: np.ndarray, first: np.ndarray, cells: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by centroids alone, is it a candidate) [documents, queries]."""
-        scores = segment_maxsim((self.codec.centroids[self.own] @ q.T)[self.at], self.count, first)
-        inside = np.zeros((len(self.own), len(cells)), np.float32)
-        for j, c in enumerate(cells):
-            here = self.number[c]
-            inside[here[here >= 0], j] = 1
-        return scores, segment_maxsim(inside[self.at], self.count, np.arange(len(cells))) > 0
+        # The documents by own centroid, as lists one after another.
+        by_code = np.argsort(self.at, kind="stable")
+        self.listed = np.repeat(np.arange(len(self.count)), self.count)[by_code]
+        self.size = np.bincount(self.at, minlength=len(self.own))
+        self.first = np.cumsum(self.size) - self.size
+        even = len(self.count) > 0 and self.count[0] > 0 and (self.count == self.count[0]).all()
+        self.table = np.ascontiguousarray(self.at.reshape(len(self.count), -1).T) if even else None
+
+    def candidates(self, cells: np.ndarray) -> np.ndarray:
+        """The places of the documents in the lists of cells."""
+        own = self.number[cells]
+        own = own[own >= 0]
+        there = np.zeros(len(self.count), bool)
+        there[self.listed[spans(self.first[own], self.size[own])]] = True
+        return np.flatnonzero(there)
+
+    def rough(self, place: np.ndarray, products: np.ndarray) -> np.ndarray:
+        """Scores by centroids alone from products [query tokens, own centroids]."""
+        if self.table is not None:
+            best = products[:, self.table[0, place]]
+            for row in self.table[1:]:
+                np.maximum(best, products[:, row[place]], out=best)
+        else:
+            count = self.count[place]
+            best = np.maximum.reduceat(products[:, self.at[spans(self.start[place], count)]], np.cumsum(count) - count, axis=1)
+        best[~np.isfinite(best)] = 0
+        return best.sum(axis=0)
 
     def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The scores of documents, by their place, from the decoded vectors."""
@@ -292,19 +310,19 @@ def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _candidates_of(docs: _Coded, batches, entries: int = 4 << 20):
     """(query id, vectors, places of its candidates, their rough scores), query by query."""
+    book = docs.codec.centroids[docs.own].T
     for batch in batches:
         count = np.asarray(batch.column("n")).astype(np.int64)
         q = grid.numbers(batch.column("data"), np.float64).reshape(int(count.sum()), -1)
         ids, ends = np.asarray(batch.column("id")), np.cumsum(count)
         cells = [np.frombuffer(c or b"", np.int32) for c in batch.column("more").to_pylist()]
-        for s, n in slices_of(count, max(1, len(docs.code)), entries):
+        for s, n in slices_of(count, max(1, len(docs.own)), entries):
             begin = ends[s] - count[s]
-            part = q[begin : ends[s + n - 1]]
-            scores, inside = docs.rough(part, ends[s : s + n] - count[s : s + n] - begin, cells[s : s + n])
-            for j in range(n):
-                place = np.flatnonzero(inside[:, j])
+            products = q[begin : ends[s + n - 1]] @ book
+            for j in range(s, s + n):
+                place = docs.candidates(cells[j])
                 if len(place):
-                    yield ids[s + j], q[ends[s + j] - count[s + j] : ends[s + j]], place, scores[place, j]
+                    yield ids[j], q[ends[j] - count[j] : ends[j]], place, docs.rough(place, products[ends[j] - count[j] - begin : ends[j] - begin])
 
 
 def _searched(index: VectorIndex, codes: DataFrame, asked: DataFrame, work, schema: str) -> tuple[DataFrame, int]:
