@@ -126,6 +126,11 @@ def store_indices(spark, sf_dir):
     return spark.createDataFrame([(name, Store(spark, f"{root}/{name}").load().codes.count()) for name in list_indices(spark, root)], "name string, documents long")
 
 
+def _one_file(rows):
+    """rows in one partition, after an exchange: they are made in many tasks, and the one that writes holds few of them."""
+    return rows.repartition(1)
+
+
 def stream_ingest(spark, sf_dir):
     """Documents that come as a stream of files, one a batch, each batch one version; then a stream of deletes."""
     from polyvec.streaming.ingest import deletions, ingest
@@ -133,7 +138,7 @@ def stream_ingest(spark, sf_dir):
     folder = workspace(spark)
     every = docs(spark, sf_dir).join(_metadata(spark, sf_dir), "doc_id")
     for k in range(3):
-        every.where(f"doc_id % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        _one_file(every.where(f"doc_id % 3 = {k}")).write.mode("append").parquet(f"{folder}/in")
     engine = Engine(spark, f"{folder}/index", SMALL)
     stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     ingest(stream, engine, f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()

@@ -56,3 +56,11 @@ def test_ward_pool_with_a_short_document(spark, small, tmp_path, last):
     folder, con = _with_embeddings(tmp_path, small, f"vec_id < {last}")
     got, want = catalog.queries()["ward_pool"](spark, folder).toPandas(), con.sql(SQL["ward_pool"]).df()
     assert rows_of(got, sorted(got.columns)) == rows_of(want, sorted(got.columns))
+
+
+def test_a_file_is_written_from_many_tasks(spark, small):
+    """The rows of a stream's file are aggregated and joined before the exchange to the task that writes."""
+    from polyvec.plans import base, engine_queries
+
+    plan = engine_queries._one_file(base.docs(spark, small))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and plan.index("Exchange SinglePartition") < plan.index("Aggregate")
