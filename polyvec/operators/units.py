@@ -243,10 +243,15 @@ def skipped(files: DataFrame) -> DataFrame:
 
 
 def call_graph(rows: DataFrame) -> DataFrame:
-    """name, called_by of the units that are called by name: sorted distinct callers."""
-    edges = rows.select(F.col("name").alias("caller"), F.explode("calls").alias("name"))
-    known = rows.select("name").distinct()
-    return edges.join(known, "name").groupBy("name").agg(F.sort_array(F.collect_set("caller")).alias("called_by"))
+    """name, called_by of the units that are called by name: sorted distinct callers.
+
+    Units and calls are one table, so that rows is made once; whether a name is a unit's is told by a window,
+    and only then are its callers gathered."""
+    calls = F.transform(F.coalesce("calls", F.array().cast("array<string>")), lambda c: F.struct(c.alias("name"), F.col("name").alias("caller"), F.lit(False).alias("own")))
+    own = F.array(F.struct(F.col("name").cast("string").alias("name"), F.lit(None).cast("string").alias("caller"), F.lit(True).alias("own")))
+    every = rows.select(F.explode(F.concat(own, calls)).alias("e")).select("e.*").where("name is not null")
+    known = every.withColumn("_known", F.max("own").over(Window.partitionBy("name")))
+    return known.where("_known and not own").groupBy("name").agg(F.sort_array(F.collect_set("caller")).alias("called_by"))
 
 
 LISTS = ("parameters", "calls", "called_by", "variables", "imports")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from polyvec.functions import patterns, text as texts
 from polyvec.functions.predicate import where
 from polyvec.operators import fulltext, fusion, maxsim, metadata, ranking, units
+from polyvec.operators.grid import tasks
 from polyvec.plans.base import SCORES, docs, every_query, read, top
 
 K = 10
@@ -306,7 +307,8 @@ def _sources(spark, sf_dir):
         here = F.col("p_partkey") % len(_TEMPLATES) == k
         rows = F.struct(F.concat(F.lit("src/f"), key, F.lit(f".{ending}")).alias("file"), text.alias("source"))
         out = F.when(here, rows) if out is None else out.when(here, rows)
-    return read(spark, sf_dir, "part").select(out.alias("r")).select("r.*")
+    # Few bytes a part, but each is parsed: dealt out evenly, whatever the files are like.
+    return read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(tasks(spark)).select(out.alias("r")).select("r.*")
 
 
 def code_units(spark, sf_dir):

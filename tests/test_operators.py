@@ -422,3 +422,17 @@ def test_encoding_takes_little_memory():
     wide[39_999] = wide[7]
     assert codec.assign(wide[7:8], wide).tolist() == [39_999]
     assert codec.assign(np.full((1, 4), np.nan), wide).tolist() == [39_999]
+
+
+def test_call_graph_makes_its_units_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", ["b", "x", "b"]), ("b", ["a", None]), ("c", ["b"]), ("d", None), (None, ["d"]), ("c", [])], "name string, calls array<string>").mapInArrow(run, "name string, calls array<string>")
+    got = units.call_graph(rows).collect()
+    assert sorted((r.name, r.called_by) for r in got) == [("a", ["b"]), ("b", ["a", "c"]), ("d", [])]
+    assert made.value == 6
